@@ -44,7 +44,7 @@ def time_of_day(col: Column) -> Column:
 
 def interval_seconds(col: Column) -> Column:
     """Whole interval in seconds, fraction kept."""
-    day = F.extract(F.lit("day"), col)
+    day = F.extract(F.lit("day"), col).cast("bigint")
     hour = F.extract(F.lit("hour"), col)
     minute = F.extract(F.lit("minute"), col)
     second = F.extract(F.lit("second"), col)

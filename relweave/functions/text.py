@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def slice_text(col: Column, start: int, stop: int | None = None) -> Column:
@@ -57,7 +58,7 @@ def pad(col: Column, n: int, fill: str = " ", side: str = "left") -> Column:
     return F.lpad(col, n, fill) if side == "left" else F.rpad(col, n, fill)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decompose(s: pd.Series) -> pd.Series:
     """NFKD with combining marks dropped; only called on non-ASCII text."""
     def strip(x):
@@ -68,7 +69,7 @@ def decompose(s: pd.Series) -> pd.Series:
     return s.map(strip)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def compose(s: pd.Series) -> pd.Series:
     """NFC form."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))

@@ -96,6 +96,35 @@ def parse_duration(text: Column) -> Column:
     )
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, not once per use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _whole_months(then: Column, now: Column) -> Column:
+    months = (F.year(now) - F.year(then)) * 12 + (F.month(now) - F.month(then))
+    day, today = F.dayofmonth(then), F.dayofmonth(now)
+    behind = (day > today) | ((day == today) & (time_of_day(then) > time_of_day(now)))
+    return months - behind.cast("int")
+
+
+def _seconds_left(then: Column, now: Column, months: Column) -> Column:
+    """Seconds after the whole months.
+
+    Fixed rule: the pivot keeps the day up to the month's last day, and
+    February always counts 28.
+    """
+    start = F.add_months(F.trunc(F.to_date(then), "month"), months)
+    longest = F.when(F.month(start) == 2, 28).otherwise(F.dayofmonth(F.last_day(start)))
+    day = F.least(F.dayofmonth(then), longest)
+    pivot = F.date_add(start, day - 1).cast("timestamp_ntz") + time_of_day(trunc(then, "second"))
+    base = F.when(months == 0, then).otherwise(pivot)
+    return F.floor(interval_seconds(now - base)).cast("bigint")
+
+
+UNIT_NAMES = ("year", "month", "week", "day", "hour", "minute")
+
+
 def elapsed(then: Column, now: Column, depth: int = 2) -> Column:
     """Text such as ``1 year, 2 months``: the first non-zero unit and the
     adjacent non-zero ones, at most ``depth``; ``0 minutes`` for the future.
@@ -103,45 +132,30 @@ def elapsed(then: Column, now: Column, depth: int = 2) -> Column:
 
     Months are calendar months; the day of the pivot is clamped to the month.
     """
-    months = (F.year(now) - F.year(then)) * 12 + (F.month(now) - F.month(then))
-    behind = (F.dayofmonth(then) > F.dayofmonth(now)) | (
-        (F.dayofmonth(then) == F.dayofmonth(now)) & (time_of_day(then) > time_of_day(now))
-    )
-    months = months - behind.cast("int")
-    # Fixed rule: the pivot keeps the day up to the month's last day, and
-    # February always counts 28.
-    pivot_day = F.add_months(F.trunc(F.to_date(then), "month"), months)
-    longest = F.when(F.month(pivot_day) == 2, 28).otherwise(F.dayofmonth(F.last_day(pivot_day)))
-    day = F.least(F.dayofmonth(then), longest)
-    clock = time_of_day(trunc(then, "second"))
-    pivot = F.date_add(pivot_day, day - 1).cast("timestamp_ntz") + clock
-    rest = F.floor(interval_seconds(now - pivot)).cast("bigint")
-    short = F.floor(interval_seconds(now - then)).cast("bigint")
-    rest = F.when(months == 0, short).otherwise(rest)
-    values = [
-        ("year", F.floor(months / 12)),
-        ("month", months % 12),
-        ("week", F.floor(rest / (7 * DAY_SECONDS))),
-        ("day", F.floor(rest % (7 * DAY_SECONDS) / DAY_SECONDS)),
-        ("hour", F.floor(rest % DAY_SECONDS / 3600)),
-        ("minute", F.floor(rest % 3600 / 60)),
-    ]
-    units = F.array(
-        *[
-            F.struct(
-                v.cast("bigint").alias("n"),
-                F.concat(
-                    v.cast("bigint").cast("string"),
-                    F.lit(f"\u00a0{name}"),
-                    F.when(v == 1, "").otherwise("s"),
-                ).alias("text"),
-            )
-            for name, v in values
-        ]
-    )
-    first = F.array_position(F.transform(units, lambda u: u["n"] > 0), True).cast("int")
-    run = F.slice(units, F.greatest(first, F.lit(1)), depth)
-    stop = F.array_position(F.transform(run, lambda u: u["n"] > 0), False).cast("int")
-    kept = F.when(stop > 0, F.slice(run, 1, F.greatest(stop - 1, F.lit(1)))).otherwise(run)
-    text = F.array_join(F.transform(kept, lambda u: u["text"]), ", ")
-    return F.when((short <= 0) | (first == 0), F.lit("0\u00a0minutes")).otherwise(text)
+    if depth < 1:
+        raise ValueError("depth must be positive")
+    names = F.array(*[F.lit(n) for n in UNIT_NAMES])
+    nothing = F.lit("0\u00a0minutes")
+
+    def counts(months: Column) -> Column:
+        def split(rest: Column) -> Column:
+            week = 7 * DAY_SECONDS
+            parts = [months / 12, months % 12, rest / week, rest % week / DAY_SECONDS, rest % DAY_SECONDS / 3600, rest % 3600 / 60]
+            return F.array(*[F.floor(p).cast("bigint") for p in parts])
+
+        return let(_seconds_left(then, now, months), split)
+
+    def words(values: Column) -> Column:
+        text = F.transform(values, lambda v, i: F.concat(
+            v.cast("string"), F.lit("\u00a0"), F.get(names, i), F.when(v == 1, "").otherwise("s")))
+        some = F.transform(values, lambda v: v > 0)
+        first = F.array_position(some, True).cast("int")
+
+        def run(start: Column) -> Column:
+            stop = F.array_position(F.slice(some, start, F.lit(depth)), False).cast("int")
+            size = F.when(stop == 0, depth).otherwise(stop - 1)
+            return F.array_join(F.slice(text, start, size), ", ")
+
+        return F.when(first == 0, nothing).otherwise(let(F.greatest(first, F.lit(1)), run))
+
+    return F.when(now <= then, nothing).otherwise(let(let(_whole_months(then, now), counts), words))

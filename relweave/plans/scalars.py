@@ -11,8 +11,6 @@ from relweave.functions import text as tx
 from relweave.plans.registry import Data, query
 from relweave.runtime import ntz
 
-PN = F.col
-
 
 @query("upper_lower", "SELECT doc_id, upper(source) AS u, lower(upper(source)) AS l FROM documents")
 def upper_lower(d: Data):
@@ -105,9 +103,6 @@ def case_insensitive_columns(d: Data):
     return per.select(F.lower(F.collate("kind", "UTF8_BINARY")).alias("kind"), "n")
 
 
-TS = "to_timestamp(0)"
-
-
 @query("extract_date_parts", "SELECT o_orderkey, year(o_orderdate)::INT AS y, month(o_orderdate)::INT AS m, day(o_orderdate)::INT AS d, quarter(o_orderdate)::INT AS q FROM orders")
 def extract_date_parts(d: Data):
     t = F.col("o_orderdate")
@@ -164,27 +159,40 @@ def now(d: Data):
 
 @query("parse_dates", """
 SELECT o_orderkey, o_orderdate::DATE AS d1, CASE WHEN month(o_orderdate) < 3 THEN NULL ELSE o_orderdate::DATE END AS d2,
- o_orderdate + INTERVAL 3723 SECOND AS ts, 3723.5 AS clock, 97323.25::DOUBLE AS gap FROM orders""")
+ o_orderdate + INTERVAL 3723 SECOND AS ts, (3720.5 + o_orderkey % 60)::DOUBLE AS clock, ((o_orderkey % 9) * 86400 + 10923.25)::DOUBLE AS gap FROM orders""")
 def parse_dates(d: Data):
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     loose = F.when(F.month("o_orderdate") < 3, F.lit("2020-13-40")).otherwise(F.date_format("o_orderdate", "yyyy-M-d"))
+    key = F.col("o_orderkey")
+    clock = F.concat(F.lit("1:02:"), (key % 60).cast("string"), F.lit(".5"))
+    gap = F.concat((key % 9).cast("string"), F.lit(" days, 03:02:03.25"))
     return d.orders.select(
         "o_orderkey", tm.parse_date(day).alias("d1"), tm.parse_date(loose).alias("d2"),
         tm.parse_timestamp(F.concat(day, F.lit("T01:02:03"))).alias("ts"),
-        tm.interval_seconds(tm.parse_time(F.concat(F.lit("1:02:03.5"), F.left(F.lit(""), F.lit(1))))).alias("clock"),
-        tm.interval_seconds(tm.parse_duration(F.lit("1 day, 03:02:03.25"))).alias("gap"))
+        tm.interval_seconds(tm.parse_time(clock)).alias("clock"), tm.interval_seconds(tm.parse_duration(gap)).alias("gap"))
+
 
+def _unit(value: str, name: str) -> str:
+    return f"{value} || chr(160) || '{name}' || CASE WHEN {value} = 1 THEN '' ELSE 's' END"
 
-@query("time_since", """
-SELECT o_orderkey, CASE WHEN o_orderdate >= TIMESTAMP '1998-05-20' THEN '0' || chr(160) || 'minutes' ELSE
- (CASE WHEN m // 12 > 0 THEN (m // 12) || chr(160) || 'year' || (CASE WHEN m // 12 = 1 THEN '' ELSE 's' END)
-   || (CASE WHEN m % 12 > 0 THEN ', ' || (m % 12) || chr(160) || 'month' || (CASE WHEN m % 12 = 1 THEN '' ELSE 's' END) ELSE '' END)
-  ELSE '' END) END AS age
-FROM (SELECT *, date_diff('month', o_orderdate, TIMESTAMP '1998-05-20') - (CASE WHEN day(o_orderdate) > 20 THEN 1 ELSE 0 END) AS m FROM orders
- WHERE o_orderdate < '1997-05-20' OR o_orderdate >= '1998-05-20')""")
+
+def _run(*units: tuple[str, str]) -> str:
+    """SQL text of the first non-zero unit and the next one if non-zero."""
+    cases = ""
+    for (v, n), after in zip(units, [*units[1:], None]):
+        more = f" || CASE WHEN {after[0]} > 0 THEN ', ' || {_unit(*after)} ELSE '' END" if after else ""
+        cases += f" WHEN {v} > 0 THEN {_unit(v, n)}{more}"
+    return f"CASE{cases} ELSE '0' || chr(160) || 'minutes' END"
+
+
+@query("time_since", f"""
+WITH m AS (SELECT *, date_diff('month', o_orderdate, TIMESTAMP '1998-05-20') - (CASE WHEN day(o_orderdate) > 20 THEN 1 ELSE 0 END) AS m FROM orders WHERE o_orderdate < '1998-05-20'),
+ r AS (SELECT *, date_diff('day', o_orderdate + to_months(m::INT), TIMESTAMP '1998-05-20') AS r FROM m),
+ p AS (SELECT o_orderkey, (m // 12) AS y, (m % 12) AS mo, (r // 7) AS w, (r % 7) AS dd FROM r)
+SELECT o_orderkey, {_run(("y", "year"), ("mo", "month"), ("w", "week"), ("dd", "day"))} AS age FROM p
+UNION ALL SELECT o_orderkey, '0' || chr(160) || 'minutes' FROM orders WHERE o_orderdate >= '1998-05-20'""")
 def time_since(d: Data):
-    rows = d.orders.where((F.col("o_orderdate") < ntz("1997-05-20 00:00:00")) | (F.col("o_orderdate") >= ntz("1998-05-20 00:00:00")))
-    return rows.select("o_orderkey", tm.elapsed(F.col("o_orderdate"), ntz("1998-05-20 00:00:00")).alias("age"))
+    return d.orders.select("o_orderkey", tm.elapsed(F.col("o_orderdate"), ntz("1998-05-20 00:00:00")).alias("age"))
 
 
 @query("abs_sign_ceil_floor", "SELECT c_custkey, abs(c_acctbal) AS a, sign(c_acctbal)::DOUBLE AS s, ceil(c_acctbal)::BIGINT AS c, floor(c_acctbal)::BIGINT AS f FROM customer")
@@ -193,11 +201,11 @@ def abs_sign_ceil_floor(d: Data):
     return d.customer.select("c_custkey", F.abs(b).alias("a"), F.signum(b).alias("s"), F.ceil(b).alias("c"), F.floor(b).alias("f"))
 
 
-@query("round", "SELECT o_orderkey, round(o_totalprice, 1) AS r1, round(o_totalprice) AS r0, round(o_totalprice::BIGINT, -3)::BIGINT AS rn FROM orders WHERE round(o_totalprice * 100)::BIGINT % 10 <> 5")
+@query("round", "SELECT o_orderkey, round(sqrt(o_totalprice), 1) AS r1, round(sqrt(o_totalprice)) AS r0, round(o_totalprice::BIGINT, -3)::BIGINT AS rn FROM orders")
 def round_(d: Data):
-    p = F.col("o_totalprice")
-    rows = d.orders.where(F.round(p * 100, 0).cast("bigint") % 10 != 5)
-    return rows.select("o_orderkey", F.round(p, 1).alias("r1"), F.round(p, 0).alias("r0"), F.round(F.rint(p).cast("bigint"), -3).alias("rn"))
+    """Square roots never lie half-way, so every engine rounds them alike."""
+    p = F.sqrt("o_totalprice")
+    return d.orders.select("o_orderkey", F.round(p, 1).alias("r1"), F.round(p, 0).alias("r0"), F.round(F.rint("o_totalprice").cast("bigint"), -3).alias("rn"))
 
 
 @query("mod_power_sqrt_exp", "SELECT p_partkey, p_size % 7 AS m, pow(p_size, 3) AS p, round(sqrt(p_size), 8) AS s, round(exp(p_size / 25.0), 8) AS e FROM part")
@@ -239,11 +247,10 @@ def random_uuid(d: Data):
     return ids.agg(F.count("*").alias("n"), F.count_distinct("u").alias("different"), F.bool_and(F.substring("u", 15, 1) == "4").alias("version_4"))
 
 
-@query("cast", "SELECT o_orderkey, o_orderkey::VARCHAR AS s, o_totalprice::DECIMAL(12, 1)::DOUBLE AS dec, o_orderdate::DATE AS day, try_cast(o_orderpriority AS INTEGER) AS bad, left(o_orderpriority, 1)::INT AS good FROM orders WHERE round(o_totalprice * 100)::BIGINT % 10 <> 5")
+@query("cast", "SELECT o_orderkey, o_orderkey::VARCHAR AS s, sqrt(o_totalprice)::DECIMAL(12, 1)::DOUBLE AS dec, o_orderdate::DATE AS day, try_cast(o_orderpriority AS INTEGER) AS bad, left(o_orderpriority, 1)::INT AS good FROM orders")
 def cast(d: Data):
-    rows = d.orders.where(F.round(F.col("o_totalprice") * 100, 0).cast("bigint") % 10 != 5)
-    return rows.select(
-        "o_orderkey", F.col("o_orderkey").cast("string").alias("s"), F.col("o_totalprice").cast("decimal(12,1)").cast("double").alias("dec"),
+    return d.orders.select(
+        "o_orderkey", F.col("o_orderkey").cast("string").alias("s"), F.sqrt("o_totalprice").cast("decimal(12,1)").cast("double").alias("dec"),
         F.col("o_orderdate").cast("date").alias("day"), F.col("o_orderpriority").try_cast("int").alias("bad"), F.left("o_orderpriority", F.lit(1)).cast("int").alias("good"))
 
 

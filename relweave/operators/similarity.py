@@ -64,8 +64,8 @@ def ratio_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame
         raise ValueError("the gram filter needs a threshold above 2/3")
     grow = threshold / (2 - threshold)  # shortest partner per length
     gain = (1.5 * threshold - 1) * (1 + grow)
-    short = math.floor(1 / gain)  # up to here no shared gram is certain
-    near_short = math.floor(short / grow)
+    short = math.floor(1 / gain + 1e-9)  # up to here no shared gram is certain
+    near_short = math.floor(short / grow + 1e-9)
 
     # Ratios ignore case, so spelling variants share one candidate search.
     sides = [df.select(F.lower("name").alias("n")).where(F.length("n") > 0).distinct() for df in (left, right)]
@@ -87,7 +87,7 @@ def ratio_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame
         b = _prefix(parts[1], freq, tokens, keep).withColumnRenamed("n", "b")
         la, lb = F.length("a"), F.length("b")
         band = 2 * F.least(la, lb) >= threshold * (la + lb) - 1e-9
-        pairs = a.join(b, "token").where(band & within_edits(F.col("a"), F.col("b"), F.lit(threshold)))
+        pairs = spread(a, "token").join(spread(b, "token"), "token").where(band & within_edits(F.col("a"), F.col("b"), F.lit(threshold)))
         if kind == "char":
             pairs = pairs.where(F.least(la, lb) <= short)
         found.append(pairs.select("a", "b"))
@@ -104,9 +104,12 @@ def within_edits(a: Column, b: Column, ratio: Column) -> Column:
     return F.levenshtein(a, b) <= (1 - ratio) * (F.length(a) + F.length(b)) + 1e-9
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Even parts for Python work, which small byte sizes would put in one task."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Even parts for heavy per-row work, which small byte sizes would put into
+    one task. With keys the parts also serve the join that follows."""
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, *keys)
 
 
 def parameters(signature: Column) -> Column:
@@ -148,7 +151,8 @@ def similar_functions(functions: DataFrame, threshold: float = 0.7) -> DataFrame
     toks = toks.withColumn("token", F.explode(chars)).join(freq, ["seg", "token"])
     w = Window.partitionBy("name", "file_path", "line_number").orderBy("df", "token")
     toks = toks.withColumn("r", F.row_number().over(w)).where("r <= keep").drop("df", "r", "keep").withColumn("p", F.explode(params))
-    x, y = side(toks, "x"), side(toks, "y")
+    x = spread(side(toks, "x"), "x_seg", "x_token", "x_p")
+    y = spread(side(toks, "y"), "y_seg", "y_token", "y_p")
     b = x.join(y, (F.col("x_seg") == F.col("y_seg")) & (F.col("x_token") == F.col("y_token")) & (F.col("x_p") == F.col("y_p"))
                & (F.col("x_file_path") != F.col("y_file_path")) & earlier & ratio_over(t))
 

@@ -50,7 +50,7 @@ def source_files(d: Data) -> DataFrame:
         "\nclass ", box_name(key()), ":\n    def __init__(self, item: str):\n        self.item = item\n    async def pack(self, other: ", box_name(key()),
         ") -> str:\n        self.unpack(other)\n        return ", box_name(key() + 10), "(self.item)\n    def unpack(self, other):\n        box = ", box_name(key()),
         "(other)\n        def inner(x):\n            return box.pack(x)\n        return inner(other)\n")
-    helper = text("\ndef util_", key() % 40, "(value):\n    return value\n")
+    helper = text("\nimport lib.util\n\ndef util_", key() % 40, "(value):\n    return util(value)\n")
     content = F.when(key() % 50 == 1, "def broken(:\n    pass\n").when(key() % 10 == 0, F.concat(body, box)).when(
         key() % 20 == 3, F.concat(body, helper)).otherwise(body)
     path = text("pkg", F.floor(key() / 200), "/mod_", key(), ".py")
@@ -69,11 +69,12 @@ FILES = "(SELECT *, p_partkey AS k, 'pkg' || p_partkey // 200 || '/mod_' || p_pa
 BX = "('B' || md5('c' || ({}))[1:10])"
 ALL_FUNCTIONS = f"""(
  SELECT {FN.format('k')} AS name, path, 4 AS line, {FN.format('k')} || '(item, size)' AS signature, p_name || '.' AS docstring, 3.0 AS complexity, k FROM {FILES} WHERE k % 50 <> 1
- UNION ALL SELECT 'util_' || k % 40, path, 11, 'util_' || k % 40 || '(value)', '', 1.0, k FROM {FILES} WHERE k % 20 = 3
+ UNION ALL SELECT 'util_' || k % 40, path, 13, 'util_' || k % 40 || '(value)', '', 1.0, k FROM {FILES} WHERE k % 20 = 3
  UNION ALL SELECT {BX.format('k')} || '.' || m, path, l, m || '(' || a || ')', '', 1.0, k FROM {FILES},
   (VALUES ('__init__', 12, 'self, item'), ('pack', 14, 'self, other'), ('unpack', 17, 'self, other'), ('inner', 19, 'x')) v(m, l, a) WHERE k % 10 = 0)"""
 LAST = f"(SELECT DISTINCT ON (name) * FROM {ALL_FUNCTIONS} ORDER BY name, path DESC, line DESC)"
 CALLS = f"""(
+ SELECT 'util_' || k % 40 AS caller, 'util' AS call, k FROM {FILES} WHERE k % 20 = 3 UNION ALL
  SELECT {FN.format('k')} AS caller, c AS call, k FROM {FILES}, unnest([{FN.format('3*k+1')}, CASE WHEN k % 15 = 7 THEN {FN.format('3*k+2')}[1:12] ELSE {FN.format('3*k+2')} END, 'json.dumps', 'dumps', CASE WHEN k % 25 = 0 THEN {FN.format('k//3')} END]) u(c) WHERE k % 50 <> 1 AND c IS NOT NULL
  UNION ALL SELECT {BX.format('k')} || '.pack', c, k FROM {FILES}, unnest(['self.unpack', 'unpack', {BX.format('k')} || '.unpack', {BX.format('k + 10')}]) u(c) WHERE k % 10 = 0
  UNION ALL SELECT {BX.format('k')} || '.unpack', c, k FROM {FILES}, unnest([{BX.format('k')}, 'box.pack', 'pack', 'inner']) u(c) WHERE k % 10 = 0
@@ -158,7 +159,7 @@ def call_extraction(d: Data):
     return co.call_edges(co.parse_functions(source_files(d))).select("caller", "call")
 
 
-@query("import_extraction", f"SELECT path AS file_path, i AS import FROM {FILES}, unnest(['json', 'lib.mod_' || (3*k+1) || '.' || {FN.format('3*k+1')}]) u(i) WHERE k % 50 <> 1")
+@query("import_extraction", f"SELECT path AS file_path, i AS import FROM {FILES}, unnest(['json', 'lib.mod_' || (3*k+1) || '.' || {FN.format('3*k+1')}]) u(i) WHERE k % 50 <> 1 UNION ALL SELECT path, 'lib.util' FROM {FILES} WHERE k % 20 = 3")
 def import_extraction(d: Data):
     return co.import_table(co.parse_functions(source_files(d)))
 
@@ -187,7 +188,7 @@ WITH f AS (SELECT * FROM {LAST})
 SELECT 'class' AS index, split_part(name, '.', 1) AS key, split_part(name, '.', 2) AS value FROM f WHERE contains(name, '.')
 UNION SELECT 'method', split_part(name, '.', 2), name FROM f WHERE contains(name, '.')
 UNION SELECT 'file', path, name FROM f UNION SELECT 'package', split_part(path, '/', 1), name FROM f
-UNION SELECT 'import', i, path FROM f, unnest(['json', 'lib.mod_' || (3*k+1) || '.' || {FN.format('3*k+1')}]) u(i)""")
+UNION SELECT 'import', 'lib.util', path FROM f WHERE starts_with(name, 'util_') UNION SELECT 'import', i, path FROM f, unnest(['json', 'lib.mod_' || (3*k+1) || '.' || {FN.format('3*k+1')}]) u(i)""")
 def class_method_index(d: Data):
     return co.class_method_index(co.last_definitions(co.parse_functions(source_files(d))))
 
@@ -238,7 +239,7 @@ def fuzzy_match_join(d: Data):
     return pairs.select(F.col("a").alias("call"), F.col("b").alias("target"), F.round("ratio", 6).alias("ratio"))
 
 
-@query("import_resolution")
+@query("import_resolution", f"SELECT a.name AS source, 'util' AS call, b.name AS target, 0.8::DOUBLE AS confidence FROM {LAST} a, {LAST} b WHERE starts_with(a.name, 'util_') AND starts_with(b.name, 'util_')")
 def import_resolution(d: Data):
     f = functions(d)
     calls = f.select(F.col("name").alias("source"), F.col("file_path").alias("source_file"), F.explode("calls").alias("call"))

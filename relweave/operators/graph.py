@@ -22,9 +22,9 @@ ORCHESTRATION = (
 def reach(starts: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(start, name, depth): everything reachable over edges(source, target);
     depth is the fewest steps. The start itself has depth 0."""
-    step = edges.select("source", "target").distinct()
-    seen = cut_lineage(starts.select("start", F.col("start").alias("name"), F.lit(0).alias("depth")).distinct())
-    frontier, depth = seen, 0
+    step = cut_lineage(edges.select("source", "target").distinct())
+    frontier = cut_lineage(starts.select("start", F.col("start").alias("name"), F.lit(0).alias("depth")).distinct())
+    seen, depth = frontier, 0
     while max_depth is None or depth < max_depth:
         depth += 1
         new = frontier.join(step, frontier["name"] == step["source"])
@@ -33,7 +33,7 @@ def reach(starts: DataFrame, edges: DataFrame, max_depth: int | None = None) ->
         frontier = cut_lineage(new)
         if frontier.isEmpty():
             break
-        seen = cut_lineage(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)  # each part is stored; nothing is rewritten
     return seen
 
 
@@ -81,7 +81,7 @@ def peel(members: DataFrame, edges: DataFrame) -> DataFrame:
         ready = cut_lineage(ready)
         if ready.isEmpty():
             break
-        done = ready if done is None else cut_lineage(done.unionByName(ready))
+        done = ready if done is None else done.unionByName(ready)
         left = cut_lineage(left.join(ready.select(*keys), keys, "left_anti"))
         if left.isEmpty():
             break

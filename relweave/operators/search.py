@@ -23,12 +23,20 @@ def words(*cols: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({WORD})"), 1)
 
 
-def postings(df: DataFrame, key: str, **weighted: tuple[str, ...]) -> DataFrame:
+def postings(df: DataFrame, key: str, terms: list[str] | None = None, **weighted: tuple[str, ...]) -> DataFrame:
     """(key, token, position, weight) of columns given per label, for example
-    ``A=("title",), D=("body",)``; positions run on from column to column."""
+    ``A=("title",), D=("body",)``; positions run on from column to column.
+
+    With ``terms`` only their postings are made: other words are dropped inside
+    the text's array and never become rows.
+    """
     parts = [F.transform(words(F.col(c)), _labelled(label)) for label, cols in sorted(weighted.items()) for c in cols]
-    return df.select(key, F.posexplode(F.concat(*parts)).alias("at", "w")).select(
-        key, F.col("w.token").alias("token"), (F.col("at") + 1).alias("position"), F.col("w.weight").alias("weight"))
+    every = F.concat(*parts) if len(parts) > 1 else parts[0]
+    placed = F.transform(every, lambda w, i: F.struct(w["token"].alias("token"), (i + 1).alias("position"), w["weight"].alias("weight")))
+    if terms is not None:
+        wanted = sorted({t.lower() for t in terms})
+        placed = F.filter(placed, lambda w: w["token"].isin(wanted))
+    return df.select(key, F.inline(placed))
 
 
 def _labelled(label: str):

@@ -160,7 +160,7 @@ def cascade_delete(tables: dict[str, DataFrame], keys: dict[str, tuple[str, ...]
             new = cut_lineage(new)
             if not new.isEmpty():
                 frontier[name] = new
-                gone[name] = cut_lineage(gone[name].unionByName(new)) if name in gone else new
+                gone[name] = gone[name].unionByName(new) if name in gone else new
     for rule in rules:
         if rule.action in ("protect", "restrict") and rule.target in gone:
             hit = _pointing(tables, rule, gone[rule.target], keys)

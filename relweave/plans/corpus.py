@@ -54,7 +54,9 @@ def source_files(d: Data) -> DataFrame:
     content = F.when(key() % 50 == 1, "def broken(:\n    pass\n").when(key() % 10 == 0, F.concat(body, box)).when(
         key() % 20 == 3, F.concat(body, helper)).otherwise(body)
     path = text("pkg", F.floor(key() / 200), "/mod_", key(), ".py")
-    files = d.part.withColumn("n2", fn_name(key() * 3 + 2)).select(path.alias("path"), content.alias("content"))
+    # Few narrow rows become long texts and are parsed: use every core.
+    parts = sm.spread(d.part.select("p_partkey", "p_size", "p_name"))
+    files = parts.withColumn("n2", fn_name(key() * 3 + 2)).select(path.alias("path"), content.alias("content"))
     return files.select("path", F.length("content").cast("bigint").alias("length"), "content")
 
 
@@ -256,7 +258,7 @@ def snippets(d: Data) -> DataFrame:
     shape = F.when(key() % 4 == 0, text("def ", fn_name(key()), "(item, size=1):\n    return item")).when(
         key() % 4 == 1, text("  async def ", fn_name(key()), " (item:\n")).when(
         key() % 4 == 2, text("class ", box_name(key()), "(:")).otherwise(text("total = ", fn_name(key() * 3 + 1), "(item)"))
-    return d.part.select(key().alias("snippet_id"), shape.alias("text"))
+    return sm.spread(d.part.select("p_partkey")).select(key().alias("snippet_id"), shape.alias("text"))
 
 
 @query("snippet_function_name", f"SELECT k AS snippet_id, CASE k % 4 WHEN 0 THEN {FN.format('k')} WHEN 1 THEN {FN.format('k')} WHEN 2 THEN {BX.format('k')} END AS function_name FROM {FILES}")

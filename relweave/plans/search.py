@@ -34,7 +34,7 @@ def search_match(d: Data):
 
 @query("search_match_postings", f"SELECT doc_id FROM {POST} WHERE token IN ('the', 'and', 'of') GROUP BY 1 HAVING count(DISTINCT token) = 3")
 def search_match_postings(d: Data):
-    return se.match_postings(se.postings(d.documents, "doc_id", D=("text",)), "doc_id", ["the", "and", "of"])
+    return se.match_postings(se.postings(d.documents, "doc_id", ["the", "and", "of"], D=("text",)), "doc_id", ["the", "and", "of"])
 
 
 @query("search_rank", f"""
@@ -52,7 +52,7 @@ WITH h AS (SELECT doc_id, position, max(CASE WHEN token = 'and' THEN position EN
  s AS (SELECT doc_id, least(a, b) AS start, min(position - least(a, b) + 1) AS span FROM h WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL)
 SELECT doc_id, round(sum(1.0 / span), 6)::DOUBLE AS rank FROM s GROUP BY 1""")
 def search_rank_cover(d: Data):
-    out = se.rank_cover(se.postings(d.documents, "doc_id", D=("text",)), "doc_id", ["the", "and"])
+    out = se.rank_cover(se.postings(d.documents, "doc_id", ["the", "and"], D=("text",)), "doc_id", ["the", "and"])
     return out.select("doc_id", F.round("rank", 6).alias("rank"))
 
 

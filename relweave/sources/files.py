@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relweave.functions.temporal import let
+
 # Fixed values of the target behaviour.
 TEXT_EXTENSIONS = (
     ".py .java .cpp .c .h .txt .md .rst .json .yaml .yml .xml .html .css .sql .sh .bat"
@@ -124,8 +126,11 @@ LINE_BREAKS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
 def lines_of(files: DataFrame) -> DataFrame:
     """(path, line_number, line): one row per line, from 1."""
-    parts = F.split("content", LINE_BREAKS, -1)
-    parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    def trimmed(parts: Column) -> Column:
+        last = F.element_at(parts, -1) == ""
+        return F.slice(parts, 1, F.size(parts) - last.cast("int"))
+
+    parts = let(F.split("content", LINE_BREAKS, -1), trimmed)  # split once per file
     rest = [c for c in files.columns if c not in ("content", "length")]
     out = files.select(*rest, F.posexplode(parts).alias("at", "line"))
     return out.withColumn("line_number", (F.col("at") + 1).cast("int")).drop("at")
@@ -136,7 +141,10 @@ def content_search(files: DataFrame, pattern: str, file_patterns: list[str] | No
     """Matching lines (file_path, line_number, line_content, match_score), case ignored."""
     chosen = matching_patterns(files, file_patterns) if file_patterns else text_file_scan(files)
     rx = f"(?i){pattern}" if is_regex else "(?i)" + re.escape(pattern)
-    hits = lines_of(decoded(chosen, SEARCH_LIMIT, strict=False).select("path", "length", "content"))
+    texts = decoded(chosen, SEARCH_LIMIT, strict=False).select("path", "length", "content")
+    if not is_regex:  # a file without the text has no line with it
+        texts = texts.where(F.col("content").rlike(rx))
+    hits = lines_of(texts)
     hits = hits.where(F.col("line").rlike(rx)).select(
         F.col("path").alias("file_path"), "line_number",
         F.regexp_replace("line", r"^\s+|\s+$", "").alias("line_content"), F.lit(1.0).alias("match_score"))

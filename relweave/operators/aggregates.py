@@ -89,17 +89,16 @@ def date_hierarchy(df: DataFrame, col: str) -> DataFrame:
     """Choices of the first useful drill-down level.
 
     The level is year, or month if all rows fall in one year, or day if they
-    fall in one month; all decided inside the job.
+    fall in one month.
     """
     per_day = df.where(F.col(col).isNotNull()).groupBy(F.to_date(col).alias("day")).agg(F.count("*").alias("n"))
-    ends = per_day.agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
-    same = lambda u: F.trunc("lo", u) == F.trunc("hi", u)
-    level = F.when(same("month"), "day").when(same("year"), "month").otherwise("year")
-    ends = ends.select(level.alias("level"))
-    start = F.when(F.col("level") == "year", F.trunc("day", "year")).when(
-        F.col("level") == "month", F.trunc("day", "month")).otherwise(F.col("day"))
-    out = per_day.crossJoin(ends)  # one row on the right
-    return out.groupBy("level", start.alias("start")).agg(F.sum("n").alias("n"))
+    lo, hi = per_day.agg(F.min("day"), F.max("day")).first()
+    if lo is None or lo.year != hi.year:
+        level = "year"
+    else:
+        level = "month" if lo.month != hi.month else "day"
+    start = tm.trunc_date_unit(F.col("day"), level)
+    return per_day.groupBy(F.lit(level).alias("level"), start.alias("start")).agg(F.sum("n").alias("n"))
 
 
 def date_archive(df: DataFrame, col: str, period: str, at: dt.date, now: str | None = None) -> DataFrame:

@@ -78,10 +78,9 @@ def distinct_on(df: DataFrame, keys: list[str], order: list[Column]) -> DataFram
 def pages(df: DataFrame, order: list[Column], size: int, orphans: int = 0) -> DataFrame:
     """Page number on every row; up to ``orphans`` last rows join the page before."""
     rows = row_number(df, [], order, "__rn")
-    total = df.agg(F.count("*").alias("__total"))
-    last_page = F.greatest(F.ceil(F.greatest(F.col("__total") - orphans, F.lit(1)) / size), F.lit(1))
-    page = F.least(F.floor((F.col("__rn") - 1) / size) + 1, last_page)
-    return rows.crossJoin(total).withColumn("page", page.cast("bigint")).drop("__rn", "__total")
+    last_page = page_count(rows.count(), size, orphans)
+    page = F.least(F.floor((F.col("__rn") - 1) / size) + 1, F.lit(last_page))
+    return rows.withColumn("page", page.cast("bigint")).drop("__rn")
 
 
 def page_count(total: int, size: int, orphans: int = 0, allow_empty: bool = True) -> int:

@@ -80,9 +80,12 @@ def rank_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
         F.min("row_number").alias("rank"), F.max("row_number").alias("__last")
     )
     peers = running(peers, keys, sort, "dense_rank")
-    size = rows.groupBy(*keys).agg(F.count("*").alias("group_size"))
     out = null_safe_join(rows, peers, [*keys, *ties])
-    out = null_safe_join(out, size, keys)
+    if keys:
+        size = rows.groupBy(*keys).agg(F.count("*").alias("group_size"))
+        out = null_safe_join(out, size, keys)
+    else:
+        out = out.withColumn("group_size", F.lit(rows.count()))
     n = F.col("group_size")
     return (
         out.withColumn("percent_rank", F.when(n > 1, (F.col("rank") - 1) / (n - 1)).otherwise(F.lit(0.0)))
@@ -118,6 +121,9 @@ def nth_value(df: DataFrame, keys: list[str], number: str, value: str, n: int, n
     if n < 1:
         raise ValueError("n counts from 1")
     picked = df.where(F.col(number) == n).select(*keys, F.col(value).alias(name))
+    if not keys:
+        row = picked.first()
+        return df.withColumn(name, F.lit(row[0] if row else None).cast(df.schema[value].dataType))
     return null_safe_join(df, picked, keys, "left")
 
 

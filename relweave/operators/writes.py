@@ -40,8 +40,8 @@ def number_new(table: DataFrame, new: DataFrame, pk: str, order: list[Column]) -
 
     keyed = new.where(F.col(pk).isNotNull())
     blank = row_number(new.where(F.col(pk).isNull()), [], order, "__rn")
-    top = table.select(pk).unionByName(keyed.select(pk)).agg(F.coalesce(F.max(pk), F.lit(0)).alias("__top"))
-    numbered = blank.crossJoin(top).withColumn(pk, F.col("__top") + F.col("__rn")).drop("__top", "__rn")
+    top = table.select(pk).unionByName(keyed.select(pk)).agg(F.coalesce(F.max(pk), F.lit(0))).first()[0]
+    numbered = blank.withColumn(pk, F.lit(top) + F.col("__rn")).drop("__rn")
     return keyed.unionByName(numbered)
 
 

@@ -47,8 +47,9 @@ def bad_sql(rule: str, samples, key: str = "c_custkey", table: str = "customer")
 
 def broken(d: Data, rules: dict) -> F:
     """rules: name -> (samples, validator)."""
-    named = {n: (check(texts(s, "c_custkey")), texts(s, "c_custkey")) for n, (s, check) in rules.items()}
-    return qu.violations(d.customer, "c_custkey", named).select("rule", "key")
+    dirty = d.customer.select("c_custkey", *[texts(s, "c_custkey").alias(n) for n, (s, _) in rules.items()])
+    named = {n: (check(F.col(n)), F.col(n)) for n, (_, check) in rules.items()}
+    return qu.violations(dirty, "c_custkey", named).select("rule", "key")
 
 
 @query("check_constraint", f"SELECT o_orderkey FROM {NULLABLE} WHERE NOT coalesce(cust < 1400 AND o_totalprice > 2000, TRUE)")

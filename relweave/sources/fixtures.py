@@ -147,5 +147,5 @@ def table_load_order(spark: SparkSession, needs: list[tuple[str, str]], tables:
     levels = peel(members, edges)
     if not allow_cycles and not levels.where("level is null").isEmpty():
         raise ValueError("tables refer to each other in a cycle")
-    top = levels.agg(F.coalesce(F.max("level"), F.lit(-1)).alias("top"))
-    return levels.crossJoin(top).select("name", F.coalesce("level", F.col("top") + 1).alias("level"))
+    top = levels.agg(F.coalesce(F.max("level"), F.lit(-1))).first()[0]
+    return levels.select("name", F.coalesce("level", F.lit(top + 1)).alias("level"))

@@ -158,7 +158,7 @@ def parse_functions(d: Data):
 
 @query("call_extraction", f"SELECT DISTINCT caller, call FROM {CALLS}")
 def call_extraction(d: Data):
-    return co.call_edges(co.parse_functions(source_files(d))).select("caller", "call")
+    return co.call_edges(co.parse_functions(source_files(d))).distinct()
 
 
 @query("import_extraction", f"SELECT path AS file_path, i AS import FROM {FILES}, unnest(['json', 'lib.mod_' || (3*k+1) || '.' || {FN.format('3*k+1')}]) u(i) WHERE k % 50 <> 1 UNION ALL SELECT path, 'lib.util' FROM {FILES} WHERE k % 20 = 3")

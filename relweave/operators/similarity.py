@@ -108,7 +108,9 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Even parts for heavy per-row work, which small byte sizes would put into
     one task. With keys the parts also serve the join that follows."""
     spark = df.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cores = spark.sparkContext.defaultParallelism
+    planned = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(cores, planned) if cores >= 64 else 2 * cores  # few cores: few tasks
     return df.repartition(parts, *keys)
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from relweave.functions import lookups as lk
 from relweave.operators.relations import Rows, Store, star_catalog
 from relweave.plans.registry import Data, query
-from relweave.runtime import ntz
 
 
 def rows(d: Data, table: str) -> Rows:

@@ -1,6 +1,5 @@
 """Corpus operators on a small hand-written corpus and against brute force."""
 
-import io
 import itertools
 import zipfile
 from difflib import SequenceMatcher

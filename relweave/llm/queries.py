@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relweave.llm import simhash
+from relweave.llm import line_rules, mixing, simhash, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL_TWINS: dict[str, str] = {}
@@ -27,8 +27,117 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@_query("op2_exact_topk", """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) v from embeddings
+           where embedding is not null and len(embedding) > 0
+             and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+parts as (select q.vec_id query_id, c.vec_id, unnest(q.v) a, unnest(c.v) b from v q join v c
+          on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v)),
+s as (select query_id, vec_id, cast(sum(a * b) as bigint) score from parts group by all)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) rank, vec_id, score
+from s qualify rank <= 10
+""")
+def exact_topk(spark, folder):
+    """Ten best inner products of every hundredth embedding with all others."""
+    rows = topk.quantised(_table(spark, folder, "embeddings"))
+    return topk.top_k(rows, rows.where("vec_id % 100 = 0"), k=10)
+
+
+def _dated_lists(pages: DataFrame) -> DataFrame:
+    """Dated list entries for the patterns the pages' URLs can match.
+
+    A pattern's md5 says on which lists and days it is added and removed.
+    """
+    pattern = pages.select(F.explode(url_filter.patterns_of(F.col("url"))).alias("pattern")).distinct()
+    m = F.conv(F.substring(F.md5("pattern"), 1, 6), 16, 10).cast("int")
+    event = lambda name, verdict, days, action: F.struct(
+        F.lit(name).alias("list"), F.lit(verdict).alias("verdict"), F.lit(action).alias("action"),
+        F.date_add(F.lit("2024-01-01").cast("date"), days.cast("int")).alias("dated"),
+    )
+    first, trusted = F.col("m") % 365, F.floor(F.col("m") / 7) % 365
+    spam = F.array(
+        event("spam", "block", first, "add"), event("spam", "block", first + 30 + F.col("m") % 90, "remove"),
+        event("spam", "block", first + 150 + F.col("m") % 120, "add"),
+    )
+    allow = F.array(event("trusted", "allow", trusted, "add"), event("trusted", "allow", trusted + 200, "remove"))
+    none = F.slice(spam, 1, 0)
+    both = F.concat(F.when(F.col("m") % 3 == 0, spam).otherwise(none), F.when(F.col("m") % 5 == 0, allow).otherwise(none))
+    return pattern.select("pattern", m.alias("m")).select("pattern", F.explode(both).alias("e")).select("pattern", "e.*")
+
+
+@_query("op4_url_filter", r"""
+with captures as (
+  select page_id, url, cast(date '2024-01-01' + cast(page_id % 720 as integer) as date) fetched,
+    nullif(lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.$', '')), '') host,
+    regexp_extract(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '^/([^/]+)/', 1) seg from pages),
+labels as (select *, string_split(host, '.') l from captures where host is not null),
+asked as (
+  select page_id, fetched, array_to_string(l[len(l) - n + 1 :], '.') pattern
+  from (select *, unnest(range(greatest(1, least(2, len(l))), len(l) + 1)) n from labels)
+  union all select page_id, fetched, host || '/' || seg || '/' from labels where seg <> ''),
+keyed as (select pattern, cast('0x' || substr(md5(pattern), 1, 6) as integer) m from (select distinct pattern from asked)),
+events as (
+  select 'spam' list, 'block' verdict, pattern, m % 365 d, 'add' a from keyed where m % 3 = 0
+  union all select 'spam', 'block', pattern, m % 365 + 30 + m % 90, 'remove' from keyed where m % 3 = 0
+  union all select 'spam', 'block', pattern, m % 365 + 150 + m % 120, 'add' from keyed where m % 3 = 0
+  union all select 'trusted', 'allow', pattern, (m // 7) % 365, 'add' from keyed where m % 5 = 0
+  union all select 'trusted', 'allow', pattern, (m // 7) % 365 + 200, 'remove' from keyed where m % 5 = 0),
+h as (select list, verdict, pattern, d, min(a) = 'add' as on_list from events group by all),
+spans as (select list, verdict, pattern, on_list, cast(date '2024-01-01' + d as date) start,
+            cast(date '2024-01-01' + lead(d) over (partition by list, verdict, pattern order by d) as date) stop from h),
+hits as (select a.page_id, s.list, s.pattern, s.verdict,
+           row_number() over (partition by a.page_id order by contains(s.pattern, '/') desc, length(s.pattern) desc,
+                              s.verdict = 'allow' desc, s.list desc, s.pattern desc) r,
+           count(*) over (partition by a.page_id) n
+         from asked a join spans s on a.pattern = s.pattern and s.on_list and s.start <= a.fetched
+           and (s.stop is null or a.fetched < s.stop))
+select c.page_id capture_id, c.url, c.fetched, coalesce(n, 0) n_active,
+  case when list is null then '' else list || ':' || pattern end matched, coalesce(verdict = 'block', false) blocked
+from captures c left join hits h on c.page_id = h.page_id and r = 1
+""")
+def url_filters(spark, folder):
+    """Every page's URL against the list entries active on the day of its capture."""
+    pages = _table(spark, folder, "pages")
+    fetched = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 720).cast("int"))
+    captures = pages.select(F.col("page_id").alias("capture_id"), "url", fetched.alias("fetched"))
+    return url_filter.verdicts(captures, _dated_lists(pages))
+
+
 @_query("op5_simhash_components")
 def simhash_components(spark, folder):
     """SimHash fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(_table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@_query("op6_line_rules")
+def line_quality(spark, folder):
+    """Base counts and the line-first verdict for every document."""
+    out = line_rules.cleaned(_table(spark, folder, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id", *[F.col(f"q_{c}").alias(c) for c in line_rules.COUNTS],
+        F.col("q_base_failed").alias("base_failed"), F.col("q_kept").alias("kept"),
+    )
+
+
+@_query("op9_fair_queue", r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) size,
+             cast('0x' || substr(md5(concat_ws('|', doc_id, source)), 1, 12) as bigint) h from documents),
+s as (select source, cast(sum(size) as bigint) n, row_number() over (order by source nulls last) - 1 place from d group by source),
+w as (select *, cast([3, 1, 2][cast(place % 3 + 1 as integer)] as double) w, 2 * n most from s),
+t as (select cast(sum(n) as bigint) total from s),
+c as (select *, coalesce(sum(most) over o, 0) spent, sum(w) over () - coalesce(sum(w) over o, 0) open_w from w
+      window o as (order by most / w, place rows between unbounded preceding and 1 preceding)),
+level as (select arg_min((1.5 * total - spent) / open_w, most / w) lv from c, t where (1.5 * total - spent) / open_w * w <= most),
+g as (select source, place, n, case when w * lv > most then cast(most as double) else w * lv end target from w, level),
+q as (select d.*, g.n, g.place, g.target, lap,
+        (sum(size) over (partition by g.place, lap order by h, doc_id rows unbounded preceding) + lap * g.n) / target finish
+      from d join g on d.source is not distinct from g.source, (values (0), (1)) l(lap)),
+r as (select *, sum(size) over (order by finish, lap, place, h, doc_id rows unbounded preceding) upto from q)
+select doc_id, cast(size as bigint) size, any_value(n) source_size, any_value(target) target,
+  cast(sum(case when upto <= least(1.5 * total, 2 * total) then size else 0 end) as bigint) taken
+from r, t group by doc_id, size
+""")
+def mix_sources(spark, folder):
+    """Words that the mix takes of every document."""
+    return mixing.mix_report(_table(spark, folder, "documents"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relweave.llm import line_rules, mixing, simhash, topk, url_filter
+from relweave.llm import line_rules, mixing, pieces, simhash, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL_TWINS: dict[str, str] = {}
@@ -120,6 +121,12 @@ def line_quality(spark, folder):
     )
 
 
+@_query("op8_piece_codec")
+def piece_codec(spark, folder):
+    """Agenda encoding and decoding of every document, as digests."""
+    return pieces.digests(_table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @_query("op9_fair_queue", r"""
 with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) size,
              cast('0x' || substr(md5(concat_ws('|', doc_id, source)), 1, 12) as bigint) h from documents),

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relweave.llm import line_rules, mixing, pieces, simhash, topk, url_filter
+from relweave.llm import line_rules, mixing, pieces, simhash, topk, url_filter, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL_TWINS: dict[str, str] = {}
@@ -121,6 +121,12 @@ def line_quality(spark, folder):
     )
 
 
+@_query("op7_wavelet_shards")
+def wavelet_shards(spark, folder):
+    """Place, length and checksum of every document's ids, read back from the shard files."""
+    return wavelet.round_trip(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @_query("op8_piece_codec")
 def piece_codec(spark, folder):
     """Agenda encoding and decoding of every document, as digests."""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relweave.llm import line_rules, mixing, pieces, simhash, topk, url_filter, wavelet
+from relweave.llm import html_text, line_rules, mixing, pieces, simhash, site_quality, topk, url_filter, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL_TWINS: dict[str, str] = {}
@@ -28,6 +28,12 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@_query("op1_site_quality")
+def quality_posteriors(spark, folder):
+    """Quality of every document from its text, its source and the source's languages."""
+    return site_quality.posteriors(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 @_query("op2_exact_topk", """
 with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) v from embeddings
            where embedding is not null and len(embedding) > 0
@@ -44,6 +50,13 @@ def exact_topk(spark, folder):
     return topk.top_k(rows, rows.where("vec_id % 100 = 0"), k=10)
 
 
+@_query("op3_html_consensus")
+def html_consensus(spark, folder):
+    """Main text of every page."""
+    out = html_text.extracted(_table(spark, folder, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", F.col("t_text").alias("text"), F.length("t_text").cast("long").alias("n_chars"))
+
+
 def _dated_lists(pages: DataFrame) -> DataFrame:
     """Dated list entries for the patterns the pages' URLs can match.
 

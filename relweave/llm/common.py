@@ -8,7 +8,7 @@ import types
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from relweave.runtime import cut_lineage
+from relweave.runtime import cut_lineage, scratch_path
 
 #: What a word is, wherever an operator counts words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -119,3 +119,10 @@ def linked_in_buckets(members: DataFrame, verify, keep: list[str]) -> DataFrame:
     )
     rest = left.join(right, "key").where("ra < rb").where(verify()).select("a", "b").distinct()
     return star.unionByName(rest)
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relweave.llm import html_text, line_rules, mixing, pieces, simhash, site_quality, topk, url_filter, wavelet
+from relweave.llm import html_text, line_rules, mixing, passages, pieces, simhash, site_quality, topk, url_filter, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL_TWINS: dict[str, str] = {}
@@ -167,3 +167,10 @@ from r, t group by doc_id, size
 def mix_sources(spark, folder):
     """Words that the mix takes of every document."""
     return mixing.mix_report(_table(spark, folder, "documents"))
+
+
+@_query("op10_passage_dedup")
+def passage_dedup(spark, folder):
+    """Word spans to remove from every document and the documents that keep them."""
+    spans = passages.removals(_table(spark, folder, "documents"))
+    return spans.select("doc_id", "first_word", "end_word", (F.col("end_word") - F.col("first_word")).alias("n_words"), "kept_doc_ids")

@@ -7,6 +7,7 @@ import types
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from relweave.runtime import cut_lineage, scratch_path
 
@@ -126,3 +127,9 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def wider(df: DataFrame, **types: str) -> StructType:
+    """Schema of ``df`` with further columns behind, leaving the frame's own alone."""
+    more = StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in types.items()))
+    return StructType([*df.schema.fields, *more.fields])

@@ -21,6 +21,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from relweave.llm.common import wider
 from relweave.llm.url_filter import host_of
 
 #: Paths a host may keep, best first.
@@ -249,5 +250,5 @@ def extracted(pages: DataFrame) -> DataFrame:
         winners, F.col("__own") == F.col("__host"), "left"
     )
     return joined.select(*[F.col(f"`{c}`") for c in pages.columns], "__html", "__paths").mapInArrow(
-        run, pages.schema.add("t_text", "string")
+        run, wider(pages, t_text="string")
     )

@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relweave.llm.common import wider
+
 #: Phrases of notices and site furniture, lower case (own list).
 BOILERPLATE = (
     "all rights reserved|privacy policy|cookie policy|terms of use|terms of service|terms and conditions|"
@@ -125,10 +127,7 @@ def cleaned(docs: DataFrame, rules: LineRules | None = None) -> DataFrame:
                 [*[batch.column(f) for f in names], *arrays], names=[*names, *[f"q_{c}" for c in counts], "q_text"]
             )
 
-    schema = docs.schema
-    for c in counts:
-        schema = schema.add(f"q_{c}", "long")
-    schema = schema.add("q_text", "string")
+    schema = wider(docs, **{f"q_{c}": "long" for c in counts}, q_text="string")
     out = docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(run, schema)
     failed = (F.col("q_n_words") < rules.min_words) | (100 * F.col("q_n_repeat_words") > rules.repeat_percent * F.col("q_n_words"))
     kept = ~failed & (100 * F.col("q_n_lost_words") <= rules.lost_percent * F.col("q_n_words"))

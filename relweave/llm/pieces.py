@@ -23,7 +23,7 @@ import struct
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relweave.llm.common import worker_state
+from relweave.llm.common import wider, worker_state
 
 #: Units a worker keeps at most; beyond that it learns them anew.
 KEEP_UNITS = 250_000
@@ -190,7 +190,7 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
                 names=[*names, "p_ids", "p_decoded"],
             )
 
-    schema = docs.schema.add("p_ids", "binary").add("p_decoded", "string")
+    schema = wider(docs, p_ids="binary", p_decoded="string")
     return docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(run, schema)
 
 
@@ -208,7 +208,7 @@ def decoded(rows: DataFrame, model: str, ids: str = "p_ids") -> DataFrame:
             texts = [sp.decode(list(struct.unpack(f"<{len(x) // 4}I", x))) for x in raw]
             yield batch.append_column("p_text", pa.array(texts, pa.string()))
 
-    return rows.mapInArrow(run, rows.schema.add("p_text", "string"))
+    return rows.mapInArrow(run, wider(rows, p_text="string"))
 
 
 def digests(docs: DataFrame, model: str) -> DataFrame:

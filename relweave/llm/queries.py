@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -174,3 +175,8 @@ def passage_dedup(spark, folder):
     """Word spans to remove from every document and the documents that keep them."""
     spans = passages.removals(_table(spark, folder, "documents"))
     return spans.select("doc_id", "first_word", "end_word", (F.col("end_word") - F.col("first_word")).alias("n_words"), "kept_doc_ids")
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    SQL_TWINS["pipeline"] = corpus_pipeline.ORACLE_SQL

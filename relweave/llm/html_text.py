@@ -50,7 +50,7 @@ CLOSED_BY_BLOCK = frozenset(("p",))
 #: An opening tag of the first kind ends an open element of the second, up to the third.
 SIBLINGS = {
     "li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
+    "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
 }
 _TAG = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
@@ -230,6 +230,7 @@ def host_votes(pages: DataFrame) -> DataFrame:
 
 def extracted(pages: DataFrame) -> DataFrame:
     """``pages`` with t_text, the main text of each page."""
+    pages = pages.drop("t_text")
     order = Window.partitionBy("host").orderBy(F.desc("votes"), "path")
     best = host_votes(pages).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= PATHS_PER_HOST)
     winners = best.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("nth", "path"))).alias("w")).select(

@@ -110,7 +110,7 @@ def judge(text: str | None, rules: LineRules) -> tuple[list[int], str]:
 def cleaned(docs: DataFrame, rules: LineRules | None = None) -> DataFrame:
     """``docs`` with the counts, base_failed, kept and clean_text, one row each.
 
-    New columns are prefixed ``q_``.
+    New columns are prefixed ``q_`` and replace older ones of their names.
     """
     rules = rules or LineRules()
     counts, decide = COUNTS, judge
@@ -127,6 +127,7 @@ def cleaned(docs: DataFrame, rules: LineRules | None = None) -> DataFrame:
                 [*[batch.column(f) for f in names], *arrays], names=[*names, *[f"q_{c}" for c in counts], "q_text"]
             )
 
+    docs = docs.drop(*[f"q_{c}" for c in (*counts, "text", "base_failed", "kept")])
     schema = wider(docs, **{f"q_{c}": "long" for c in counts}, q_text="string")
     out = docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(run, schema)
     failed = (F.col("q_n_words") < rules.min_words) | (100 * F.col("q_n_repeat_words") > rules.repeat_percent * F.col("q_n_words"))

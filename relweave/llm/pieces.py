@@ -169,7 +169,7 @@ class Codec:
 
 
 def encoded(docs: DataFrame, model: str) -> DataFrame:
-    """``docs`` with p_ids (binary, little-endian 32-bit) and p_decoded."""
+    """``docs`` with p_ids (binary, little-endian 32-bit) and p_decoded, which replace older ones."""
     make, state = Codec, worker_state
 
     def run(batches):
@@ -190,6 +190,7 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
                 names=[*names, "p_ids", "p_decoded"],
             )
 
+    docs = docs.drop("p_ids", "p_decoded")
     schema = wider(docs, p_ids="binary", p_decoded="string")
     return docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(run, schema)
 
@@ -208,6 +209,7 @@ def decoded(rows: DataFrame, model: str, ids: str = "p_ids") -> DataFrame:
             texts = [sp.decode(list(struct.unpack(f"<{len(x) // 4}I", x))) for x in raw]
             yield batch.append_column("p_text", pa.array(texts, pa.string()))
 
+    rows = rows.drop("p_text")
     return rows.mapInArrow(run, wider(rows, p_text="string"))
 
 

@@ -9,7 +9,8 @@ Edge cases: of several entries of one pattern and list on one date the removal
 wins; a history that opens with a removal has no interval before its first add;
 an entry with a NULL field is void; a capture with a NULL or unparsable URL or a
 NULL fetch time is kept and meets no entry; repeated captures each get their row.
-Captures need a unique ``capture_id``; other columns are carried along.
+Captures need a unique ``capture_id``; one without meets no entry. Other columns are
+carried along, but columns named like a result give way to it.
 """
 
 from __future__ import annotations
@@ -78,10 +79,11 @@ def verdicts(captures: DataFrame, entries: DataFrame) -> DataFrame:
         (F.col("verdict") == "allow").cast("int").alias("allow"),
         F.col("list"), F.col("pattern"),
     )
-    decided = active.groupBy("capture_id").agg(F.count("*").alias("n_active"), F.max(rank).alias("top"))
-    return captures.join(decided, "capture_id", "left").select(
-        *captures.columns,
-        F.coalesce("n_active", F.lit(0)).alias("n_active"),
-        F.concat_ws(":", "top.list", "top.pattern").alias("matched"),
-        F.coalesce(F.col("top.allow") == 0, F.lit(False)).alias("blocked"),
+    decided = active.groupBy(F.col("capture_id").alias("__id")).agg(F.count("*").alias("__n"), F.max(rank).alias("__top"))
+    kept = [F.col(f"`{c}`") for c in captures.columns if c not in ("n_active", "matched", "blocked")]
+    return captures.join(decided, F.col("capture_id") == F.col("__id"), "left").select(
+        *kept,
+        F.coalesce("__n", F.lit(0)).alias("n_active"),
+        F.concat_ws(":", "__top.list", "__top.pattern").alias("matched"),
+        F.coalesce(F.col("__top.allow") == 0, F.lit(False)).alias("blocked"),
     )

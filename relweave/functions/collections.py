@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def contains(a: Column, b: Column) -> Column:
-    """Every element of b is in a."""
-    return F.size(F.array_except(b, a)) == 0
+    """Every element of b is in a; a NULL element is in no array."""
+    return (F.size(F.array_except(b, a)) == 0) & ~F.exists(b, lambda x: x.isNull())
 
 
 def contained_by(a: Column, b: Column) -> Column:

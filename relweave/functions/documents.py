@@ -21,17 +21,17 @@ def path_of(*steps: str | int) -> str:
 
 def value_at(doc: Column, *steps: str | int, kind: str = "string") -> Column:
     """Typed value at a path, NULL if absent or not of that type."""
-    return F.try_variant_get(F.parse_json(doc), path_of(*steps), kind)
+    return F.try_variant_get(F.try_parse_json(doc), path_of(*steps), kind)
 
 
 def is_null_value(doc: Column, *steps: str | int) -> Column:
     """The path holds a JSON null (not: the path is missing)."""
-    return F.coalesce(F.is_variant_null(F.try_variant_get(F.parse_json(doc), path_of(*steps), "variant")), F.lit(False))
+    return F.coalesce(F.is_variant_null(F.try_variant_get(F.try_parse_json(doc), path_of(*steps), "variant")), F.lit(False))
 
 
 def has_path(doc: Column, *steps: str | int) -> Column:
     """The path exists; a JSON null counts."""
-    return F.try_variant_get(F.parse_json(doc), path_of(*steps), "variant").isNotNull()
+    return F.try_variant_get(F.try_parse_json(doc), path_of(*steps), "variant").isNotNull()
 
 
 def has_key(doc: Column, key: str) -> Column:
@@ -49,7 +49,7 @@ def has_any_keys(doc: Column, keys: list[str]) -> Column:
 
 def canonical(doc: Column) -> Column:
     """Key-ordered compact text, for whole-document equality."""
-    return F.to_json(F.parse_json(doc))
+    return F.to_json(F.try_parse_json(doc))
 
 
 def same_document(doc: Column, value) -> Column:
@@ -90,7 +90,7 @@ def contains(doc: Column, value) -> Column:
         cond = F.lit(True)
         for k, v in value.items():
             got = value_at(doc, k, kind="string" if isinstance(v, str) else "double")
-            kind = F.schema_of_variant(F.try_variant_get(F.parse_json(doc), path_of(k), "variant"))
+            kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(doc), path_of(k), "variant"))
             right_kind = kind == "STRING" if isinstance(v, str) else ~kind.isin("STRING", "BOOLEAN")
             cond = cond & F.coalesce((got == v) & right_kind, F.lit(False))
         return cond

@@ -51,7 +51,7 @@ LOOKUPS: dict[str, Lookup] = {
     "endswith": lambda c, v: c.endswith(as_column(v)),
     "iendswith": _folded(lambda a, b: a.endswith(b)),
     "regex": lambda c, v: c.rlike(v),
-    "iregex": lambda c, v: c.rlike(f"(?i){v}"),
+    "iregex": lambda c, v: c.rlike(f"(?iuU){v}"),
 }
 
 TRANSFORMS: dict[str, Transform] = {

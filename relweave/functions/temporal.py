@@ -60,9 +60,6 @@ def parse_date(text: Column) -> Column:
 
 # Fixed patterns of accepted texts.
 TIME_PATTERN = r"^(\d{1,2}):(\d{1,2})(?::(\d{1,2})(?:[.,](\d{1,6})\d*)?)?$"
-DURATION_PATTERN = (
-    r"^(?:(-?\d+) (?:days?, )?)?(-?)((?:(\d+):)(?=\d+:\d+))?(?:(\d+):)?(\d+)(?:[.,](\d{1,6})\d*)?$"
-)
 
 
 def parse_time(text: Column) -> Column:
@@ -78,22 +75,60 @@ def parse_time(text: Column) -> Column:
 
 
 def parse_timestamp(text: Column) -> Column:
-    """ISO date and time, ``T`` or blank between, else NULL."""
-    ok = text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}:\d{1,2}(:\d{1,2}([.,]\d+)?)?$")
-    return F.when(ok, F.regexp_replace(text, ",", ".").try_cast("timestamp_ntz"))
+    """ISO date and time, ``T`` or blank between, else NULL. With an offset from
+    UTC (``Z``, ``+hh``, ``+hhmm``, ``+hh:mm``) the time is moved to UTC."""
+    zone = F.regexp_extract(text, r"\s*(Z|[+-]\d{2}(?::?\d{2})?)$", 1)
+    zone = F.when(text.rlike(r":\d{1,2}.*(Z|[+-]\d{2}(:?\d{2})?)$") | text.endswith("Z"), zone).otherwise("")
+    clock = F.rtrim(F.left(text, F.length(text) - F.length(zone)))
+    ok = clock.rlike(r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}:\d{1,2}(:\d{1,2}([.,]\d+)?)?$")
+    digits = F.regexp_replace(zone, "[^0-9]", "")
+    minutes = F.coalesce(F.left(digits, F.lit(2)).try_cast("int"), F.lit(0)) * 60
+    minutes = minutes + F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0))
+    minutes = F.when(zone.startswith("-"), -minutes).otherwise(minutes)
+    local = F.regexp_replace(clock, ",", ".").try_cast("timestamp_ntz")
+    return F.when(ok, local - F.make_dt_interval(F.lit(0), F.lit(0), minutes))
+
+
+def _seconds(number: Column) -> Column:
+    """Seconds with a point or comma, cut at microseconds."""
+    whole, part = F.regexp_extract(number, r"^(\d*)", 1), F.regexp_extract(number, r"[.,](\d+)$", 1)
+    micros = F.rpad(F.left(part, F.lit(6)), 6, "0").try_cast("int")
+    return F.coalesce(whole.try_cast("bigint"), F.lit(0)).cast("decimal(18,6)") + F.coalesce(micros, F.lit(0)) / F.lit(1000000).cast("decimal(18,6)")
+
+
+def _clock_duration(text: Column) -> Column:
+    """``[D [day[s][,]] ][-][[HH:]MM:]SS[.ffffff]`` or ``D day[s]``."""
+    day_part = r"^(-?\d+)( days?,?)?$"
+    words_only = text.rlike(r"^-?\d+ days?$")
+    clock = F.when(words_only, F.lit("0")).otherwise(F.substring_index(text, " ", -1))
+    days = F.when(words_only, text).otherwise(F.left(text, F.greatest(F.lit(0), F.length(text) - F.length(clock) - 1)))
+    days_ok = (days == "") & ~text.startswith(" ") | days.rlike(day_part)
+    minus = clock.startswith("-")
+    parts = F.reverse(F.split(F.regexp_replace(clock, "^[-+]", ""), ":"))  # seconds first
+    whole = F.forall(F.slice(parts, 2, 3), lambda x: x.rlike(r"^\d+$"))
+    ok = days_ok & (F.size(parts) <= 3) & whole & F.get(parts, F.lit(0)).rlike(r"^\d+([.,]\d{1,12})?$")
+    unit = lambda i, size: F.coalesce(F.get(parts, F.lit(i)).try_cast("bigint"), F.lit(0)) * size
+    total = _seconds(F.get(parts, F.lit(0))) + unit(1, 60) + unit(2, 3600)
+    total = F.when(minus, -total).otherwise(total)
+    count = F.coalesce(F.regexp_extract(days, day_part, 1).try_cast("int"), F.lit(0))
+    return F.when(ok, F.make_dt_interval(count, F.lit(0), F.lit(0), total.cast("decimal(18,6)")))
+
+
+def _iso_duration(text: Column) -> Column:
+    """``[-]PnDTnHnMn.nS``, each part optional."""
+    body = F.regexp_replace(text, "^[-+]?P", "")
+    date, clock = F.split_part(body, F.lit("T"), F.lit(1)), F.split_part(body, F.lit("T"), F.lit(2))
+    number = r"\d+(?:[.,]\d+)?"
+    ok = text.rlike(r"^[-+]?P") & date.rlike(rf"^(?:{number}D)?$") & clock.rlike(rf"^(?:{number}H)?(?:{number}M)?(?:{number}S)?$")
+    part = lambda of, mark, size: _seconds(F.regexp_extract(of, rf"({number}){mark}", 1)) * size
+    total = part(date, "D", 86400) + part(clock, "H", 3600) + part(clock, "M", 60) + part(clock, "S", 1)
+    total = F.when(text.startswith("-"), -total).otherwise(total)
+    return F.when(ok, F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), total.cast("decimal(18,6)")))
 
 
 def parse_duration(text: Column) -> Column:
-    """``[D ]HH:MM:SS[.ffffff]`` as an interval, else NULL."""
-    part = lambda i: F.regexp_extract(text, DURATION_PATTERN, i)
-    num = lambda i: F.coalesce(part(i).try_cast("int"), F.lit(0))
-    frac = F.coalesce(F.rpad(part(7), 6, "0").try_cast("int"), F.lit(0)) / F.lit(1e6)
-    clock = num(4) * 3600 + num(5) * 60 + num(6) + frac
-    signed = F.when(part(2) == "-", -clock).otherwise(clock)
-    return F.when(
-        text.rlike(DURATION_PATTERN),
-        F.make_dt_interval(num(1), F.lit(0), F.lit(0), signed.cast("decimal(18,6)")),
-    )
+    """Clock form, day and clock form, or ISO 8601 as an interval, else NULL."""
+    return F.coalesce(_clock_duration(text), _iso_duration(text))
 
 
 def let(value: Column, body) -> Column:

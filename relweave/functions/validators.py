@@ -70,12 +70,21 @@ def email(col: Column, allowed: tuple[str, ...] = ("localhost",)) -> Column:
 def url(col: Column, schemes: tuple[str, ...] = SCHEMES) -> Column:
     """Scheme, host name or address, port of at most five digits, no blanks."""
     scheme = F.lower(F.split_part(col, F.lit("://"), F.lit(1)))
-    six = F.regexp_extract(col, r"(?i)://(?:[^\s:@/]+(?::[^\s:@/]*)?@)?\[([0-9a-f:.]+)\]", 1)
-    host = F.regexp_extract(col, r"://(?:[^/?#@]*@)?([^/?#:]*)", 1)
-    name = LABEL + MIDDLE + TOP + r"\.?|localhost"
-    shape = rf"[a-z0-9.+-]*://(?:[^\s:@/]+(?::[^\s:@/]*)?@)?(?:{OCTET}(?:\.{OCTET}){{3}}|\[[0-9a-f:.]+\]|(?:{name}))(?::[0-9]{{1,5}})?(?:[/?#]\S*)?"
-    ok = scheme.isin(*schemes) & _full(col, shape) & (F.length(col) <= URL_MAX) & (F.length(host) <= HOST_MAX)
-    return ok & ((six == "") | ipv6(six))
+    behind = F.substring(col, F.length(scheme) + 4, F.length(col))
+    place = F.regexp_extract(behind, "^[^/?#]*", 0)  # user, host and port
+    tail = F.substring(behind, F.length(place) + 1, F.length(behind))
+    served = F.regexp_extract(place, "[^@]*$", 0)  # host and port
+    user = F.substring(place, F.lit(1), F.length(place) - F.length(served) - 1)
+    user_ok = ~place.contains("@") | user.rlike(r"^[^\s:@/]+(?::[^\s:@/]*)?\z")
+    port = F.regexp_extract(served, r":([^:\]]*)$", 1)
+    port_ok = ~served.rlike(r":[^:\]]*$") | port.rlike(r"^[0-9]{1,5}\z")
+    host = F.regexp_replace(served, r":[^:\]]*$", "")
+    six = F.regexp_extract(host, r"(?i)^\[([0-9a-f:.]+)\]$", 1)
+    numbers = _full(host, rf"{OCTET}(?:\.{OCTET}){{3}}")
+    host_ok = F.when(host.startswith("["), ipv6(six)).otherwise(
+        numbers | _full(host, LABEL + MIDDLE + TOP + r"\.?") | (F.lower(host) == "localhost"))
+    sizes = (F.length(col) <= URL_MAX) & (F.length(host) <= HOST_MAX)
+    return scheme.isin(*schemes) & col.contains("://") & user_ok & port_ok & host_ok & ~tail.rlike(r"\s") & sizes
 
 
 def slug(col: Column) -> Column:
@@ -83,7 +92,7 @@ def slug(col: Column) -> Column:
 
 
 def unicode_slug(col: Column) -> Column:
-    return _full(col, r"[-\p{L}\p{M}\p{N}_]+")
+    return _full(col, r"[-\p{L}\p{N}_]+")
 
 
 def integer(col: Column) -> Column:

@@ -57,9 +57,13 @@ def raw_calls(closure: DataFrame, functions: DataFrame) -> DataFrame:
 
 
 def scored_closure(starts: DataFrame, matches: DataFrame, max_depth: int = 5, min_confidence: float = 0.3,
-                   comprehensive: bool = True, excluded: tuple[str, ...] = ORCHESTRATION) -> DataFrame:
+                   comprehensive: bool = True, excluded: tuple[str, ...] = ORCHESTRATION,
+                   functions: DataFrame | None = None) -> DataFrame:
     """(start, name): the start and the targets matched within ``max_depth``
-    levels. Orchestration names stay only if matched with 0.9 or more."""
+    levels. Orchestration names stay only if matched with 0.9 or more. Starts
+    that are no name in ``functions``, if given, yield no row."""
+    if functions is not None:
+        starts = starts.join(functions.select(F.col("name").alias("start")), "start", "left_semi")
     used = matches if comprehensive else matches.where(F.col("confidence") > min_confidence)
     seen = reach(starts, used, max_depth - 1)
     hit = seen.join(used, seen["name"] == used["source"]).select("start", "target", "confidence")

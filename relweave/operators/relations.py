@@ -252,19 +252,21 @@ class Rows:
         return rows
 
     def exclude(self, **lookups) -> "Rows":
-        """NOT(AND of lookups). Rows with NULLs stay; a to-many lookup drops the
-        parents that have a matching child (anti join)."""
-        single, groups = self._sort_out(lookups)
+        """NOT(AND of lookups). Rows with NULLs stay; a to-many lookup is met if the
+        parent has a matching child (anti join), several lookups by several children."""
+        single, _ = self._sort_out(lookups)
+        # each to-many lookup may be met by a child of its own
+        groups = [g for path, v in lookups.items() for g in self._sort_out({path: v})[1].items()]
         rows = self
         if groups and not single and len(groups) == 1:
-            (hops, below), = groups.items()
+            (hops, below), = groups
             rows, keys, pairs = rows._children(hops, below)
             return rows._with(hop_join(rows.df, keys, pairs, "left_anti"))
         cond = F.lit(True)
         if single:
             rows, cond = rows.condition(**single)
         flags = []
-        for i, (hops, below) in enumerate(groups.items()):
+        for i, (hops, below) in enumerate(groups):
             rows, keys, pairs = rows._children(hops, below)
             flag = f"__match{i}"
             keys = keys.distinct().withColumn(flag, F.lit(True))

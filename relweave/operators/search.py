@@ -150,11 +150,16 @@ def headline(text: Column, terms: list[str], start: str = "<b>", stop: str = "</
 
 def trigrams(text: Column) -> Column:
     """Distinct trigrams of each word, padded by two blanks before and one after."""
+    return F.array_distinct(_trigram_row(text))
+
+
+def _trigram_row(text: Column) -> Column:
+    """The same in order, repeats included."""
     def grams(w: Column) -> Column:
         p = F.concat(F.lit("  "), w, F.lit(" "))
         return F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(p, i, F.lit(3)))
 
-    return F.array_distinct(F.flatten(F.transform(words(text), grams)))
+    return F.flatten(F.transform(words(text), grams))
 
 
 def set_similarity(a: Column, b: Column) -> Column:
@@ -188,10 +193,16 @@ def strict_word_similarity(needle: Column, text: Column) -> Column:
 
 
 def word_similarity(needle: Column, text: Column) -> Column:
-    """Largest share of the needle's trigrams found in a run of words."""
-    t = trigrams(needle)
-    share = lambda w: F.when(F.size(t) > 0, F.size(F.array_intersect(t, w)) / F.size(t)).otherwise(0.0)
-    return F.coalesce(F.array_max(F.transform(_windows(text), share)), F.lit(0.0))
+    """Best similarity of the needle to an unbroken extent of the text's trigrams.
+
+    Only extents that start and end with a trigram of the needle can be best.
+    """
+    t, row = trigrams(needle), _trigram_row(text)
+    hits = F.filter(F.sequence(F.lit(1), F.size(row)), lambda k: F.array_contains(t, F.element_at(row, k)))
+    extents = F.flatten(F.transform(hits, lambda i: F.transform(
+        F.filter(hits, lambda j: j >= i), lambda j: F.array_distinct(F.slice(row, i, j - i + 1)))))
+    best = F.array_max(F.transform(extents, lambda e: set_similarity(t, e)))
+    return F.when(F.size(row) > 0, F.coalesce(best, F.lit(0.0))).otherwise(0.0)
 
 
 def similarity_join(left: DataFrame, right: DataFrame, threshold: float = 0.3) -> DataFrame:

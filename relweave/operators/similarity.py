@@ -87,7 +87,7 @@ def ratio_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame
         b = _prefix(parts[1], freq, tokens, keep).withColumnRenamed("n", "b")
         la, lb = F.length("a"), F.length("b")
         band = 2 * F.least(la, lb) >= threshold * (la + lb) - 1e-9
-        pairs = spread(a, "token").join(spread(b, "token"), "token").where(band & within_edits(F.col("a"), F.col("b"), F.lit(threshold)))
+        pairs = a.join(b, "token").where(band & within_edits(F.col("a"), F.col("b"), F.lit(threshold)))
         if kind == "char":
             pairs = pairs.where(F.least(la, lb) <= short)
         found.append(pairs.select("a", "b"))
@@ -104,14 +104,11 @@ def within_edits(a: Column, b: Column, ratio: Column) -> Column:
     return F.levenshtein(a, b) <= (1 - ratio) * (F.length(a) + F.length(b)) + 1e-9
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """Even parts for heavy per-row work, which small byte sizes would put into
-    one task. With keys the parts also serve the join that follows."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    planned = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(cores, planned) if cores >= 64 else 2 * cores  # few cores: few tasks
-    return df.repartition(parts, *keys)
+    one task: as many as the session plans for a shuffle. Not meant for the
+    inputs of a join, whose exchanges Spark splits itself when a key is hot."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def parameters(signature: Column) -> Column:
@@ -124,15 +121,16 @@ def parameters(signature: Column) -> Column:
 def similar_functions(functions: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Pairs of functions, earlier one first by (path, line), scored
     0.5 name ratio + 0.3 parameter overlap + 0.2 place (1 same file, 0.5 same
-    package), above 0.7.
+    package), above ``threshold``.
 
     What the place is worth bounds the rest, so three joins find all pairs:
-    same file needs a common parameter (or none on both sides); same package a
-    ratio over 0.6 and overlap over 1/3; elsewhere a ratio over 0.8 and overlap
-    over 2/3.
+    same file needs a common parameter (or none on both sides); at 0.7, same package
+    needs a ratio over 0.6 and overlap over 1/3, elsewhere a ratio over 0.8 and
+    overlap over 2/3.
     """
-    if threshold != 0.7:
-        raise ValueError("the blocking bounds are worked out for 0.7")
+    if not 0.7 <= threshold < 1:
+        raise ValueError("below 0.7 functions without a common parameter could pass, which no join here finds")
+    alike = lambda place: (threshold - 0.3 - 0.2 * place) / 0.5  # noqa: E731  name ratio the other two parts leave
     seg = F.split_part("file_path", F.lit("/"), F.lit(1))
     f = functions.select(
         "name", "file_path", "line_number", seg.alias("seg"), F.lower("name").alias("low"), parameters(F.col("signature")).alias("params"))
@@ -143,22 +141,21 @@ def similar_functions(functions: DataFrame, threshold: float = 0.7) -> DataFrame
     same_file = f.withColumn("p", F.explode(params))
     x, y = side(same_file, "x"), side(same_file, "y")
     ratio_over = lambda r: 2 * F.least(F.length("x_low"), F.length("y_low")) > r * (F.length("x_low") + F.length("y_low"))
-    a = x.join(y, (F.col("x_file_path") == F.col("y_file_path")) & (F.col("x_p") == F.col("y_p")) & earlier & ratio_over(0.4))
+    a = x.join(y, (F.col("x_file_path") == F.col("y_file_path")) & (F.col("x_p") == F.col("y_p")) & earlier & ratio_over(alike(1.0)))
 
     # Same package: the rarest characters of the name, with a common parameter.
-    t = 0.6
+    t = alike(0.5)
     chars = char_tokens(F.col("low"))
     freq = f.select("seg", F.explode(chars).alias("token")).groupBy("seg", "token").agg(F.count("*").alias("df"))
     toks = f.withColumn("keep", F.length("low") - F.ceil(F.length("low") * (t / (2 - t)) - 1e-9) + 1)
     toks = toks.withColumn("token", F.explode(chars)).join(freq, ["seg", "token"])
     w = Window.partitionBy("name", "file_path", "line_number").orderBy("df", "token")
     toks = toks.withColumn("r", F.row_number().over(w)).where("r <= keep").drop("df", "r", "keep").withColumn("p", F.explode(params))
-    x = spread(side(toks, "x"), "x_seg", "x_token", "x_p")
-    y = spread(side(toks, "y"), "y_seg", "y_token", "y_p")
+    x, y = side(toks, "x"), side(toks, "y")
     b = x.join(y, (F.col("x_seg") == F.col("y_seg")) & (F.col("x_token") == F.col("y_token")) & (F.col("x_p") == F.col("y_p"))
                & (F.col("x_file_path") != F.col("y_file_path")) & earlier & ratio_over(t))
 
-    names = ratio_join(f.select("name"), f.select("name"), 0.8)
+    names = ratio_join(f.select("name"), f.select("name"), alike(0.0) - 1e-9)
     x, y = side(f, "x"), side(f, "y")
     c = names.join(x, F.col("a") == F.col("x_name")).join(y, F.col("b") == F.col("y_name"))
     c = c.where((F.col("x_seg") != F.col("y_seg")) & earlier)

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from relweave.runtime import cut_lineage, null_safe_join
 
-BLOCK = "__block"
+BLOCK, TIE = "__block", "__tie"
+#: Rows a frame window takes together.
+STRETCH = 100_000
 
 
 def _cols(names: list[str]) -> list[Column]:
@@ -30,8 +32,10 @@ def sort_keys(*names: str) -> list[Column]:
 
 
 def blocks(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Range-split rows; the block id is stored, as sampling may differ on a rerun."""
-    split = df.repartitionByRange(*_cols(keys), *order)
+    """Range-split rows; the block id is stored, as sampling may differ on a rerun.
+    Rows of one order value are told apart by a hash, so that they may be split."""
+    rows = df.withColumn(TIE, F.xxhash64(*_cols(df.columns)))
+    split = rows.repartitionByRange(*_cols(keys), *order, F.col(TIE))
     return cut_lineage(split.withColumn(BLOCK, F.spark_partition_id()))
 
 
@@ -50,7 +54,7 @@ def running(df: DataFrame, keys: list[str], order: list[Column], name: str = "ro
     carried = {"__n": F.count(F.lit(1))}
     carried |= {f"__s_{out}": F.sum(col) for out, col in sums.items()}
     before = _carry(rows, keys, carried)
-    w = Window.partitionBy(*_cols(keys), F.col(BLOCK)).orderBy(*order)
+    w = Window.partitionBy(*_cols(keys), F.col(BLOCK)).orderBy(*order, F.col(TIE))
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     local = rows.withColumn(name, F.row_number().over(w))
     for out, col in sums.items():
@@ -61,7 +65,7 @@ def running(df: DataFrame, keys: list[str], order: list[Column], name: str = "ro
         prior = F.col(f"__s_{out}")
         total = F.when(prior.isNull(), F.col(out)).otherwise(prior + F.coalesce(out, F.lit(0)))
         out_df = out_df.withColumn(out, total)
-    return out_df.drop(BLOCK, *carried)
+    return out_df.drop(BLOCK, TIE, *carried)
 
 
 def row_number(df: DataFrame, keys: list[str], order: list[Column], name: str = "row_number") -> DataFrame:
@@ -127,23 +131,69 @@ def nth_value(df: DataFrame, keys: list[str], number: str, value: str, n: int, n
     return null_safe_join(df, picked, keys, "left")
 
 
-def frame_sum(df: DataFrame, keys: list[str], number: str, total: str, size: str,
-              start: int | None, end: int | None, name: str) -> DataFrame:
-    """Sum over ROWS [start, end] around the row, as a difference of running sums.
+def _stretches(df: DataFrame, keys: list[str], number: str, start: int, end: int) -> DataFrame:
+    """Rows cut into stretches of STRETCH by row number, with the rows that frames
+    of [start, end] reach beyond a stretch copied to it.
+
+    ``__own`` is a row's stretch, ``__at`` the one this copy serves.
+    """
+    own = F.floor((F.col(number) - 1) / STRETCH)
+    low = F.floor((F.col(number) - 1 - max(end, 0)) / STRETCH)
+    high = F.floor((F.col(number) - 1 - min(start, 0)) / STRETCH)
+    at = F.explode(F.sequence(F.greatest(low, F.lit(0)), high))
+    return df.withColumn("__own", own).withColumn("__at", at)
+
 
-    ``total`` is the running sum of the value, ``size`` the partition size.
+def framed(df: DataFrame, keys: list[str], number: str, start: int, end: int, **exprs: Column) -> DataFrame:
+    """Window expressions over ROWS [start, end] around each row, both ends bounded.
+
+    ``number`` is the row number in the partition. Spark's own windows run inside
+    stretches, so sums, NULLs, first, last and n-th values are what they are there.
     """
-    if start is not None and end is not None and start > end:
+    if start > end:
         raise ValueError("a frame cannot start after its end")
-    at = df.select(*keys, F.col(number).alias("__at"), F.col(total).alias("__t"))
-    hi = F.col(size) if end is None else F.least(F.col(number) + end, F.col(size))
-    out = df.withColumn("__at", hi)
-    out = null_safe_join(out, at.withColumnRenamed("__t", "__hi"), [*keys, "__at"], "left")
-    lo = F.lit(0).cast("bigint") if start is None else F.col(number) + (start - 1)
-    out = out.withColumn("__at", lo)
-    out = null_safe_join(out, at.withColumnRenamed("__t", "__lo"), [*keys, "__at"], "left")
-    value = F.coalesce("__hi", F.lit(0)) - F.coalesce("__lo", F.lit(0))
-    return out.withColumn(name, value).drop("__at", "__hi", "__lo")
+    rows = _stretches(df, keys, number, start, end)
+    w = Window.partitionBy(*_cols(keys), F.col("__at")).orderBy(number).rowsBetween(start, end)
+    rows = rows.select("*", *[e.over(w).alias(n) for n, e in exprs.items()])
+    return rows.where("__own = __at").drop("__own", "__at")
+
+
+def _plus(a: Column, b: Column) -> Column:
+    """Sum in which NULL is nothing."""
+    return F.coalesce(a + b, a, b)
+
+
+def _onward(df: DataFrame, keys: list[str], place: Column, value: str, name: str) -> DataFrame:
+    """(keys, __place, name): running sum of ``value`` along ``place`` (from 1)."""
+    slim = df.select(*keys, place.alias("__place"), F.col(value).alias("__v"))
+    slim = slim.withColumn("__at", F.floor((F.col("__place") - 1) / STRETCH))
+    totals = slim.groupBy(*keys, "__at").agg(F.sum("__v").alias("__t"))
+    earlier = Window.partitionBy(*_cols(keys)).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*keys, "__at", F.sum("__t").over(earlier).alias("__before"))
+    inside = Window.partitionBy(*_cols(keys), F.col("__at")).orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
+    slim = slim.withColumn("__in", F.sum("__v").over(inside))
+    out = null_safe_join(slim, totals, [*keys, "__at"])
+    return out.select(*keys, "__place", _plus(F.col("__before"), F.col("__in")).alias(name))
+
+
+def frame_sum(df: DataFrame, keys: list[str], number: str, value: str, size: str,
+              start: int | None, end: int | None, name: str) -> DataFrame:
+    """Sum of ``value`` over ROWS [start, end] around each row; None is an open end.
+
+    NULL where the frame holds no value. ``size`` is the partition size. With one
+    open end the sums run from that end, never as a difference of larger sums.
+    """
+    if start is not None and end is not None:
+        return framed(df, keys, number, start, end, **{name: F.sum(value)})
+    if start is None and end is None:
+        start, end = None, 2**62  # the last row's running sum
+    if start is None:
+        sums = _onward(df, keys, F.col(number), value, name)
+        place = F.least(F.col(number) + end, F.col(size)) if end < 2**62 else F.col(size)
+    else:
+        sums = _onward(df, keys, F.col(size) - F.col(number) + 1, value, name)
+        place = F.least(F.col(size) - F.col(number) + 1 - start, F.col(size))
+    return null_safe_join(df.withColumn("__place", place), sums, [*keys, "__place"], "left").drop("__place")
 
 
 def peer_sums(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str]) -> DataFrame:

@@ -237,6 +237,6 @@ def date_archive(d: Data):
 
 @query("neighbour_periods", """
 SELECT period, n, lag(period) OVER (ORDER BY period) AS previous, lead(period) OVER (ORDER BY period) AS next FROM
- (SELECT date_trunc('week', o_orderdate)::TIMESTAMP AS period, count(*) AS n FROM orders WHERE o_custkey = 7 GROUP BY 1)""")
+ (SELECT date_trunc('week', o_orderdate)::TIMESTAMP AS period, count(*) AS n FROM orders GROUP BY 1)""")
 def neighbour_periods(d: Data):
-    return ag.neighbour_periods(d.orders.where("o_custkey = 7"), "o_orderdate", "week")
+    return ag.neighbour_periods(d.orders, "o_orderdate", "week")

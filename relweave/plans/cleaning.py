@@ -122,9 +122,9 @@ def value_filters(d: Data):
 
 
 @query("encodings", """
-SELECT doc_id, md5(replace(url_encode(left(text, 200)), '%2F', '/')) AS quoted, left(text, 200) = left(text, 200) AS same, text AS back, doc_id AS n FROM documents""")
+SELECT doc_id, md5(replace(url_encode(text), '%2F', '/')) AS quoted, text = text AS same, text AS back, doc_id AS n FROM documents""")
 def encodings(d: Data):
-    t = F.left("text", F.lit(200))
+    t = F.col("text")
     sample = F.concat(F.col("text"), F.lit(" é/?&"))
     trip = cl.url_decode(cl.url_encode(sample)) == sample
     b64 = cl.from_url_base64(cl.to_url_base64(F.encode("text", "UTF-8"))).cast("string")

@@ -310,7 +310,7 @@ def dependency_raw_calls(d: Data):
 def dependency_closure_scored(d: Data):
     f = functions(d)
     matches = cut_lineage(rs.resolve_scored(f))
-    return gr.scored_closure(roots(f), matches, comprehensive=False)
+    return gr.scored_closure(roots(f), matches, comprehensive=False, functions=f)
 
 
 MEMBERS = f"""{CLOSURE}, e AS MATERIALIZED (SELECT DISTINCT a.start, a.name, b.name AS needs FROM c a JOIN {CALLS} k ON k.caller = a.name JOIN c b ON b.start = a.start AND b.name = k.call),

@@ -111,18 +111,22 @@ def select_related(d: Data):
 
 
 @query("prefetch_related", """
-SELECT c_custkey, coalesce(o.n, 0) AS n_orders, coalesce(o.keys, []) AS order_keys FROM customer LEFT JOIN
- (SELECT o_custkey, count(*) AS n, list(o_orderkey ORDER BY o_orderdate DESC, o_orderkey) AS keys FROM orders GROUP BY 1) o ON c_custkey = o_custkey""")
+WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER w AS rn, count(*) OVER (PARTITION BY o_custkey) AS n
+ FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey)),
+ p AS (SELECT o_custkey, (rn - 1) // 1000 AS chunk, any_value(n) AS n, list(o_orderkey ORDER BY rn) AS keys FROM o GROUP BY ALL)
+SELECT c_custkey, coalesce(chunk, 0) AS chunk, coalesce(n, 0) AS n_orders, coalesce(keys, []) AS order_keys FROM customer LEFT JOIN p ON c_custkey = o_custkey""")
 def prefetch_related(d: Data):
-    """Ordered child lists per parent, in chunks of 1000; a parent without
-    children gets one empty list."""
+    """Ordered child lists per parent and their number; lists come in chunks of
+    1000, and a parent without children gets one empty list."""
+    counts = d.orders.groupBy("o_custkey").agg(F.count("*").alias("n")).withColumnRenamed("o_custkey", "k")
     lists = win.chunked_lists(
         d.orders.select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"],
         win.sort_keys("-o_orderdate", "o_orderkey"), F.col("o_orderkey"), name="order_keys",
     )
-    out = d.customer.join(lists, F.col("c_custkey") == F.col("o_custkey"), "left")
+    out = d.customer.join(counts, F.col("c_custkey") == F.col("k"), "left").join(lists, F.col("c_custkey") == F.col("o_custkey"), "left")
     empty = F.coalesce("order_keys", F.array().cast("array<bigint>"))
-    return out.select("c_custkey", F.size(empty).cast("bigint").alias("n_orders"), empty.alias("order_keys"))
+    zero = lambda c, name: F.coalesce(c, F.lit(0)).alias(name)
+    return out.select("c_custkey", zero("chunk", "chunk"), zero("n", "n_orders"), empty.alias("order_keys"))
 
 
 @query("sliced_prefetch", """

@@ -12,27 +12,27 @@ from relweave.plans.registry import Data, query
 NULLABLE = "(SELECT *, CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS cust FROM orders)"
 
 
-@query("order_by", "SELECT o_orderkey, c_name AS customer__c_name FROM orders JOIN customer ON o_custkey = c_custkey ORDER BY c_name DESC, o_totalprice, o_orderkey LIMIT 200")
+@query("order_by", "SELECT o_orderkey, c_name AS customer__c_name FROM orders JOIN customer ON o_custkey = c_custkey ORDER BY c_name DESC, o_totalprice, o_orderkey")
 def order_by(d: Data):
     r, col, _ = rows(d, "orders").resolve("customer__c_name")
-    out = r.df.orderBy(col.desc(), "o_totalprice", "o_orderkey").limit(200)
+    out = r.df.orderBy(col.desc(), "o_totalprice", "o_orderkey")
     return out.select("o_orderkey", "customer__c_name")
 
 
 @query("nulls_first_last", f"""
-(SELECT 'last' AS form, o_orderkey, cust FROM {NULLABLE} ORDER BY cust ASC NULLS LAST, o_orderkey LIMIT 50)
-UNION ALL (SELECT 'first', o_orderkey, cust FROM {NULLABLE} ORDER BY cust DESC NULLS FIRST, o_orderkey LIMIT 50)""")
+(SELECT 'last' AS form, o_orderkey, cust FROM {NULLABLE} ORDER BY cust ASC NULLS LAST, o_orderkey)
+UNION ALL (SELECT 'first', o_orderkey, cust FROM {NULLABLE} ORDER BY cust DESC NULLS FIRST, o_orderkey)""")
 def nulls_first_last(d: Data):
     df = nullable_orders(d)
-    a = df.orderBy(*sort_keys("cust", "o_orderkey")).limit(50).select(F.lit("last").alias("form"), "o_orderkey", "cust")
-    b = df.orderBy(*sort_keys("-cust", "o_orderkey")).limit(50).select(F.lit("first").alias("form"), "o_orderkey", "cust")
+    a = df.orderBy(*sort_keys("cust", "o_orderkey")).select(F.lit("last").alias("form"), "o_orderkey", "cust")
+    b = df.orderBy(*sort_keys("-cust", "o_orderkey")).select(F.lit("first").alias("form"), "o_orderkey", "cust")
     return a.union(b)
 
 
-@query("reverse_order", f"SELECT o_orderkey, cust FROM {NULLABLE} ORDER BY cust DESC NULLS FIRST, o_totalprice ASC NULLS LAST, o_orderkey DESC LIMIT 60")
+@query("reverse_order", f"SELECT o_orderkey, cust FROM {NULLABLE} ORDER BY cust DESC NULLS FIRST, o_totalprice ASC NULLS LAST, o_orderkey DESC")
 def reverse_order(d: Data):
     keys = od.reversed_keys("cust", "-o_totalprice", "o_orderkey")
-    return nullable_orders(d).orderBy(*keys).limit(60).select("o_orderkey", "cust")
+    return nullable_orders(d).orderBy(*keys).select("o_orderkey", "cust")
 
 
 @query("slice", """

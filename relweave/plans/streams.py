@@ -55,13 +55,13 @@ def stream_ttl_store(d: Data):
     stream._read["events"] = events(d)
     jobs.keep_batches(jobs.ttl_updates(pw.operations(stream)), out, mark)
     rows = jobs.latest(d.spark, out, ["key"]).withColumn("expires", F.col("expires").cast("timestamp_ntz"))
-    return rows.where(F.col("live") & (F.col("expires") > ntz("2024-01-29 00:00:00"))).select("key", "value", "expires")
+    return rows.where(F.col("live") & (F.col("expires").isNull() | (F.col("expires") > ntz("2024-01-29 00:00:00")))).select("key", "value", "expires")
 
 
 @query("stream_upsert", "SELECT user_id, max(ts) AS ts, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1")
 def stream_upsert(d: Data):
     out, mark = scratch_path(d.spark, "table"), scratch_path(d.spark, "mark")
-    body = jobs.upsert_sink(d.spark, out, ["user_id"], ["ts", "value"], [-F.unix_micros(F.col("ts").cast("timestamp")), -F.col("event_id")])
+    body = jobs.upsert_sink(d.spark, out, ["user_id"], ["ts", "value", "event_id"], [-F.unix_micros(F.col("ts").cast("timestamp")), -F.col("event_id")])
     jobs.each_batch(events(d).select("user_id", "ts", "value", "event_id"), body, mark)
     return jobs.last_version(d.spark, out).select("user_id", "ts", "value")
 

@@ -74,15 +74,26 @@ def aggregate_over_window(d: Data):
 @query("row_range_frame", """
 SELECT o_orderkey, round(sum(o_totalprice) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS last3,
  round(sum(o_totalprice) OVER (w ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING), 2) AS next2,
+ round(sum(o_totalprice) OVER (w ROWS BETWEEN 2 FOLLOWING AND 3 FOLLOWING), 2) AS after,
+ round(sum(o_totalprice) OVER (w ROWS BETWEEN 3 PRECEDING AND 2 PRECEDING), 2) AS before,
+ round(sum(o_totalprice) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 2) AS rest,
+ first_value(o_orderkey) OVER (w ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS first_near,
+ nth_value(o_orderkey, 3) OVER (w ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS third_near,
  round(sum(o_totalprice) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS upto
 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
 def row_range_frame(d: Data):
     rows = win.running(slim(d), BY, win.sort_keys("o_orderdate", "o_orderkey"), sums={"upto": "o_totalprice"})
+    price = F.sum("o_totalprice")
     size = slim(d).groupBy(*BY).agg(F.count("*").alias("group_size"))
     rows = rows.join(size, BY)
-    rows = win.frame_sum(rows, BY, "row_number", "upto", "group_size", -2, 0, "last3")
-    rows = win.frame_sum(rows, BY, "row_number", "upto", "group_size", 0, 1, "next2")
-    return rows.select("o_orderkey", *[F.round(c, 2).alias(c) for c in ("last3", "next2", "upto")])
+    rows = win.framed(rows, BY, "row_number", -2, 0, last3=price)
+    rows = win.framed(rows, BY, "row_number", 0, 1, next2=price)
+    rows = win.framed(rows, BY, "row_number", 2, 3, after=price)
+    rows = win.framed(rows, BY, "row_number", -3, -2, before=price)
+    rows = win.framed(rows, BY, "row_number", -1, 1, first_near=F.first("o_orderkey"), third_near=F.nth_value("o_orderkey", 3))
+    rows = win.frame_sum(rows, BY, "row_number", "o_totalprice", "group_size", 1, None, "rest")
+    sums = [F.round(c, 2).alias(c) for c in ("last3", "next2", "after", "before", "rest", "upto")]
+    return rows.select("o_orderkey", *sums, "first_near", "third_near")
 
 
 @query("value_range_frame", """

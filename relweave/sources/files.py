@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,8 +21,6 @@ TEXT_EXTENSIONS = (
 IGNORE_PATTERNS = (
     "__pycache__ *.pyc .git .svn .DS_Store *.log .pytest_cache .mypy_cache"
 ).split()
-PARSE_LIMIT = 10 * 1024 * 1024
-SEARCH_LIMIT = 50 * 1024 * 1024
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
@@ -58,7 +57,7 @@ def glob_regex(pattern: str, fold: bool = False) -> str:
         else:
             out += re.escape(ch)
         i += 1
-    return ("(?is)" if fold else "(?s)") + f"^{out}$"
+    return ("(?isuU)" if fold else "(?s)") + f"^{out}$"
 
 
 def ignored(path: Column, patterns: list[str]) -> Column:
@@ -84,13 +83,18 @@ def text_file_scan(files: DataFrame) -> DataFrame:
     return files.where(suffix(F.col("path")).isin(TEXT_EXTENSIONS))
 
 
-def decoded(files: DataFrame, limit: int, strict: bool) -> DataFrame:
-    """Files up to ``limit`` bytes with ``content`` as text.
+def skipped_files(files: DataFrame, limit: int) -> DataFrame:
+    """(path, length) of the files a size limit leaves out."""
+    return files.where(F.col("length") > limit).select("path", "length")
+
+
+def decoded(files: DataFrame, limit: int | None, strict: bool) -> DataFrame:
+    """Files, up to ``limit`` bytes if given, with ``content`` as text.
 
     Undecodable files are dropped if ``strict``; otherwise bad bytes are
     left out. The size test comes before the content is touched.
     """
-    small = files.where(F.col("length") <= limit)
+    small = files if limit is None else files.where(F.col("length") <= limit)
     if dict(files.dtypes)["content"] == "string":
         return small
     if strict:
@@ -100,7 +104,7 @@ def decoded(files: DataFrame, limit: int, strict: bool) -> DataFrame:
     return small.withColumn("content", text)
 
 
-def file_search(files: DataFrame, pattern: str, max_results: int | None = 1000) -> DataFrame:
+def file_search(files: DataFrame, pattern: str, max_results: int | None = None) -> DataFrame:
     """Paths that match a glob (whole path) or hold a text, case ignored."""
     if "*" in pattern or "?" in pattern:
         hit = F.col("path").rlike(glob_regex(pattern, fold=True))
@@ -137,11 +141,11 @@ def lines_of(files: DataFrame) -> DataFrame:
 
 
 def content_search(files: DataFrame, pattern: str, file_patterns: list[str] | None = None,
-                   is_regex: bool = False, max_results: int | None = 1000) -> DataFrame:
+                   is_regex: bool = False, max_results: int | None = None, size_limit: int | None = None) -> DataFrame:
     """Matching lines (file_path, line_number, line_content, match_score), case ignored."""
     chosen = matching_patterns(files, file_patterns) if file_patterns else text_file_scan(files)
-    rx = f"(?i){pattern}" if is_regex else "(?i)" + re.escape(pattern)
-    texts = decoded(chosen, SEARCH_LIMIT, strict=False).select("path", "length", "content")
+    rx = f"(?iuU){pattern}" if is_regex else "(?iuU)" + re.escape(pattern)
+    texts = decoded(chosen, size_limit, strict=False).select("path", "length", "content")
     if not is_regex:  # a file without the text has no line with it
         texts = texts.where(F.col("content").rlike(rx))
     hits = lines_of(texts)
@@ -152,18 +156,21 @@ def content_search(files: DataFrame, pattern: str, file_patterns: list[str] | No
     return hits.limit(max_results) if max_results else hits
 
 
-def files_searched(files: DataFrame, file_patterns: list[str] | None = None) -> DataFrame:
+def files_searched(files: DataFrame, file_patterns: list[str] | None = None, size_limit: int | None = None) -> DataFrame:
     chosen = matching_patterns(files, file_patterns) if file_patterns else text_file_scan(files)
-    return chosen.where(F.col("length") <= SEARCH_LIMIT).agg(F.count("*").alias("total_files_searched"))
+    chosen = chosen if size_limit is None else chosen.where(F.col("length") <= size_limit)
+    return chosen.agg(F.count("*").alias("total_files_searched"))
 
 
+BAD_ARCHIVE = (zipfile.BadZipFile, zlib.error, EOFError, OSError, RuntimeError, NotImplementedError, ValueError)
 MEMBER_SCHEMA = "archive string, path string, length bigint, content binary, error string"
 
 
 def archive_scan(archives: DataFrame) -> DataFrame:
     """Members of zip and wheel archives given as (path, content).
 
-    One row per member; a bad archive gives one row with ``error``.
+    One row per member; an archive that is damaged, encrypted or packed by an
+    unknown method gives one row with ``error``, and no members.
     """
     columns = ["archive", "path", "length", "content", "error"]
 
@@ -173,14 +180,19 @@ def archive_scan(archives: DataFrame) -> DataFrame:
             for name, blob in zip(batch["path"], batch["content"]):
                 try:
                     with zipfile.ZipFile(io.BytesIO(blob)) as z:
-                        for m in (m for m in z.infolist() if not m.is_dir()):
+                        members = [m for m in z.infolist() if not m.is_dir()]
+                        for m in members:  # to the end and its checksum, block by block
+                            with z.open(m) as f:
+                                while f.read(2**20):
+                                    pass
+                        for m in members:
                             data = z.read(m)
                             rows.append((name, m.filename, len(data), data, None))
                             size += len(data)
                             if size > 2**24:
                                 yield pd.DataFrame(rows, columns=columns)
                                 rows, size = [], 0
-                except (zipfile.BadZipFile, EOFError, OSError):
+                except BAD_ARCHIVE:
                     rows.append((name, None, None, None, f"Invalid or corrupted archive: {name}"))
         yield pd.DataFrame(rows, columns=columns)
 

@@ -75,24 +75,26 @@ def _fold(key, batches, state: GroupState):
     """Latest write and latest touch of a key. Both are maxima, so neither the
     order nor the grouping of the input matters, and memory stays constant."""
     at = list(state.get) if state.exists else [None] * 8
+    whole = lambda x: None if pd.isna(x) else int(x)  # no timeout: never expires
     for b in batches:
         order = lambda df: df.sort_values(["ts", "seq"]).iloc[-1]
         writes, touches = b[b["op"] != "touch"], b[b["op"] == "touch"]
         if len(writes):
             r = order(writes)
             if at[0] is None or (r["ts"], r["seq"]) > (at[0], at[1]):
-                at[:5] = [r["ts"].to_pydatetime(), int(r["seq"]), r["op"], float(r["value"]), int(r["timeout"])]
+                at[:5] = [r["ts"].to_pydatetime(), int(r["seq"]), r["op"], float(r["value"]), whole(r["timeout"])]
         if len(touches):
             r = order(touches)
             if at[5] is None or (r["ts"], r["seq"]) > (at[5], at[6]):
-                at[5:] = [r["ts"].to_pydatetime(), int(r["seq"]), int(r["timeout"])]
+                at[5:] = [r["ts"].to_pydatetime(), int(r["seq"]), whole(r["timeout"])]
     state.update(tuple(at))
     live = at[2] == "set"
     expires = None
     if live:
         touched = at[5] is not None and (at[5], at[6]) > (at[0], at[1])
-        expires = at[5] + pd.Timedelta(seconds=at[7]) if touched else at[0] + pd.Timedelta(seconds=at[4])
-    yield pd.DataFrame({"key": [key[0]], "value": [at[3] if live else None], "expires": [pd.Timestamp(expires) if live else pd.NaT], "live": [live]})
+        since, lasts = (at[5], at[7]) if touched else (at[0], at[4])
+        expires = None if lasts is None else since + pd.Timedelta(seconds=lasts)
+    yield pd.DataFrame({"key": [key[0]], "value": [at[3] if live else None], "expires": [pd.NaT if expires is None else pd.Timestamp(expires)], "live": [live]})
 
 
 def ttl_updates(ops: DataFrame) -> DataFrame:
@@ -104,11 +106,18 @@ def ttl_updates(ops: DataFrame) -> DataFrame:
 
 def upsert_sink(spark: SparkSession, path: str, keys: list[str], fields: list[str], order: list[Column]):
     """foreachBatch body: upserts each micro-batch into a versioned table. The
-    version number is the batch number, so a repeated batch gives the same table."""
+    version number is the batch number, so a repeated batch gives the same table.
+
+    A row only replaces one that comes behind it by ``order``, so late rows of a
+    later batch do no harm. ``fields`` must hold the columns ``order`` reads.
+    """
     def write(batch: DataFrame, number: int) -> None:
         new = wr.first_per_key(batch, keys, order)
         if number:
-            new = wr.upsert(spark.read.parquet(f"{path}/v={number - 1}"), new, keys, fields)
+            old = spark.read.parquet(f"{path}/v={number - 1}")
+            both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
+            ahead = wr.first_per_key(both, keys, [*order, F.col("__new")]).where("__new = 1").drop("__new")
+            new = wr.upsert(old, ahead, keys, fields)
         new.write.mode("overwrite").parquet(f"{path}/v={number}")
 
     return write

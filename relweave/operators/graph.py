@@ -97,11 +97,17 @@ def peel(members: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def topo_order(closure: DataFrame, functions: DataFrame) -> DataFrame:
-    """(start, name, level) counting only calls equal to a member's name;
-    members of cycles get level NULL and are dropped by ``ordered``."""
-    edges = functions.select("name", F.explode("calls").alias("needs"))
-    members = closure.select("start", "name").distinct()
-    return peel(members, members.join(edges, "name"))
+    """(start, name, level) counting only calls equal to a function's name;
+    members of cycles get level NULL and are dropped by ``ordered``.
+
+    A closure holds whatever its members call by name, so a function has the same
+    level and the same cycles under every start. They are worked out once per
+    function and joined to the closure.
+    """
+    one = F.lit(0).alias("start")
+    edges = functions.select(one, "name", F.explode("calls").alias("needs"))
+    levels = cut_lineage(peel(functions.select(one, "name"), edges).select("name", "level"))
+    return closure.select("start", "name").distinct().join(levels, "name").select("start", "name", "level")
 
 
 def ordered(levels: DataFrame) -> DataFrame:

@@ -126,6 +126,8 @@ def rank_cover(index: DataFrame, key: str, terms: list[str], normalization: int
 def _normalized(ranks: DataFrame, index: DataFrame, key: str, flags: int) -> DataFrame:
     """Flags add up: 1 and 2 divide by text length (log, plain), 8 and 16 by
     distinct words (plain, log), 32 maps r to r / (r + 1)."""
+    if flags & 4:
+        raise ValueError("the distance between stretches (4) is not counted")
     if flags & (1 | 2 | 8 | 16):
         size = index.groupBy(key).agg(F.count("*").alias("__n"), F.count_distinct("token").alias("__u"))
         ranks = ranks.join(size, key)
@@ -138,6 +140,67 @@ def _normalized(ranks: DataFrame, index: DataFrame, key: str, flags: int) -> Dat
     return ranks
 
 
+def _placed(**weighted: tuple[str, ...]) -> Column:
+    """Words of a row with label, in order; as in ``postings``, but kept in the row."""
+    parts = [F.transform(words(F.col(c)), _labelled(label)) for label, cols in sorted(weighted.items()) for c in cols]
+    every = F.concat(*parts) if len(parts) > 1 else parts[0]
+    return F.transform(every, lambda w, i: F.struct(w["token"].alias("token"), (i + 1).alias("position"), w["weight"].alias("weight")))
+
+
+def _is(token: str):
+    return lambda x: x["token"] == token
+
+
+def rank_texts(df: DataFrame, key: str, terms: list[str], weights: dict[str, float] | None = None,
+               normalization: int = 0, **weighted: tuple[str, ...]) -> DataFrame:
+    """``rank`` for texts not indexed: each text is one row, and nothing is shuffled."""
+    weights = WEIGHTS | (weights or {})
+    wanted = sorted({t.lower() for t in terms})
+    worth = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(v))])
+    total = F.lit(0.0)
+    for t in wanted:
+        found = F.filter("__w", _is(t))
+        parts = F.transform(found, lambda x, i: F.element_at(worth, x["weight"]) / ((i + 1) * (i + 1)))
+        total = total + F.aggregate(parts, F.lit(0.0), lambda a, b: a + b)
+    rows = df.select(key, _placed(**weighted).alias("__w"))
+    rows = rows.where(F.exists("__w", lambda x: x["token"].isin(wanted)))
+    return _sized(rows.withColumn("rank", total / (math.pi**2 / 6) / len(wanted)), normalization).select(key, "rank")
+
+
+def cover_rank_texts(df: DataFrame, key: str, terms: list[str], normalization: int = 0, **weighted: tuple[str, ...]) -> DataFrame:
+    """``rank_cover`` for texts not indexed, by one fold over each text's matches.
+
+    A stretch that holds all terms starts at the least of the terms' last places;
+    the first match that sees a new start ends the smallest stretch from it.
+    """
+    wanted = sorted({t.lower() for t in terms})
+    hits = F.filter("__w", lambda x: x["token"].isin(wanted))
+    names = F.array(*[F.lit(t) for t in wanted])
+    zero = F.struct(F.transform(names, lambda _: F.lit(0)).alias("last"), F.lit(0).alias("start"), F.lit(0.0).alias("sum"))
+
+    def step(state, hit):
+        last = F.zip_with(state["last"], names, lambda p, t: F.when(t == hit["token"], hit["position"]).otherwise(p))
+        start = F.array_min(last)
+        new = (start > 0) & (start != state["start"])
+        return F.struct(
+            last.alias("last"), F.when(new, start).otherwise(state["start"]).alias("start"),
+            F.when(new, state["sum"] + 1 / (hit["position"] - start + 1)).otherwise(state["sum"]).alias("sum"))
+
+    rows = df.select(key, _placed(**weighted).alias("__w"))
+    rows = rows.withColumn("rank", F.aggregate(hits, zero, step)["sum"]).where("rank > 0")
+    return _sized(rows, normalization).select(key, "rank")
+
+
+def _sized(rows: DataFrame, flags: int) -> DataFrame:
+    """``_normalized`` for rows that hold their words; distinct words are counted only if asked for."""
+    n, u, r = F.size("__w"), F.size(F.array_distinct(F.transform("__w", lambda x: x["token"]))), F.col("rank")
+    if flags & 4:
+        raise ValueError("the distance between stretches (4) is not counted")
+    for bit, by in ((1, 1 + F.log(n)), (2, n), (8, u), (16, 1 + F.log(u))):
+        r = r / by if flags & bit else r
+    return rows.withColumn("rank", r / (r + 1) if flags & 32 else r)
+
+
 def headline(text: Column, terms: list[str], start: str = "<b>", stop: str = "</b>", max_words: int = 35, lead: int = 5) -> Column:
     """A stretch of ``max_words`` words from ``lead`` before the first match,
     matches wrapped in the markers."""

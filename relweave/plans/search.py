@@ -42,7 +42,7 @@ SELECT doc_id, round(sum(0.1 / (j * j)) / (pi() * pi() / 6) / 2 / (1 + ln(n)), 8
  (SELECT *, row_number() OVER (PARTITION BY doc_id, token ORDER BY position) AS j FROM {POST} WHERE token IN ('the', 'and'))
  JOIN (SELECT doc_id, len({TOKS.format('text')}) AS n FROM documents) USING (doc_id) GROUP BY doc_id, n""")
 def search_rank(d: Data):
-    out = se.rank(se.postings(d.documents, "doc_id", D=("text",)), "doc_id", ["the", "and"], normalization=1)
+    out = se.rank_texts(d.documents, "doc_id", ["the", "and"], normalization=1, D=("text",))
     return out.select("doc_id", F.round("rank", 8).alias("rank"))
 
 
@@ -52,7 +52,7 @@ WITH h AS (SELECT doc_id, position, max(CASE WHEN token = 'and' THEN position EN
  s AS (SELECT doc_id, least(a, b) AS start, min(position - least(a, b) + 1) AS span FROM h WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL)
 SELECT doc_id, round(sum(1.0 / span), 6)::DOUBLE AS rank FROM s GROUP BY 1""")
 def search_rank_cover(d: Data):
-    out = se.rank_cover(se.postings(d.documents, "doc_id", ["the", "and"], D=("text",)), "doc_id", ["the", "and"])
+    out = se.cover_rank_texts(d.documents, "doc_id", ["the", "and"], D=("text",))
     return out.select("doc_id", F.round("rank", 6).alias("rank"))
 
 

@@ -183,3 +183,18 @@ def test_urls(spark):
     bad = ["http://", "a.example", "http://a.example:123456/", "http://a b.example/", "http://a.example/x y", "http://u:p:q@a.example/", "http://[::g]/", "http://-a.example", "http://256.1.1.1", "gopher://a.example/"]
     frame = spark.createDataFrame(good + bad, "string").withColumn("ok", va.url(F.col("value")))
     assert {r["value"] for r in frame.collect() if r.ok} == set(good)
+
+
+@pytest.mark.parametrize("flags", [0, 1, 2, 8, 16, 32, 1 | 8 | 32])
+def test_ranks_with_and_without_index(spark, flags):
+    rng = random.Random(flags)
+    rows = [(i, " ".join(rng.choices(["a", "b", "c", "d", "E"], k=rng.randint(0, 30))), rng.choice(["a x", "b", None])) for i in range(60)]
+    texts = spark.createDataFrame(rows, "id long, body string, title string")
+    index = se.postings(texts, "id", A=("title",), D=("body",))
+    near = lambda df: {r.id: pytest.approx(r["rank"]) for r in df.collect()}
+    exact = lambda df: {r.id: r["rank"] for r in df.collect()}
+    assert exact(se.rank_texts(texts, "id", ["a", "E"], normalization=flags, A=("title",), D=("body",))) == near(se.rank(index, "id", ["a", "E"], normalization=flags))
+    terms = ["a", "b", "c"]
+    assert exact(se.cover_rank_texts(texts, "id", terms, flags, A=("title",), D=("body",))) == near(se.rank_cover(index, "id", terms, flags))
+    with pytest.raises(ValueError):
+        se.rank_texts(texts, "id", ["a"], normalization=4, D=("body",))

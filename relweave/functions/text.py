@@ -75,15 +75,28 @@ def compose(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
-# Accented Latin letters and their bare forms.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-BARE = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+# Latin letters that are no letter with a mark, and how they are written without.
+PLAIN = {
+    "ß": "ss", "ẞ": "SS", "Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe", "Þ": "TH", "þ": "th", "Ø": "O", "ø": "o", "Ł": "L", "ł": "l",
+    "Đ": "D", "đ": "d", "Ð": "D", "ð": "d", "Ħ": "H", "ħ": "h", "ı": "i", "Ŧ": "T", "ŧ": "t",
+}
+
+
+def _marked() -> dict[str, str]:
+    """Latin letters with a mark, and the letter it sits on."""
+    letters = map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)])
+    found = {c: unicodedata.normalize("NFD", c)[0] for c in letters}
+    return {c: PLAIN.get(x, x) for c, x in found.items() if c != x and len(PLAIN.get(x, x)) == 1 and c not in PLAIN}
 
 
 def unaccent(col: Column) -> Column:
     """Latin letters without diacritics, JVM-side; see decompose for all scripts."""
-    expanded = F.replace(F.replace(F.replace(col, F.lit("ß"), F.lit("ss")), F.lit("œ"), F.lit("oe")), F.lit("æ"), F.lit("ae"))
-    return F.translate(expanded, ACCENTED, BARE)
+    single = _marked() | {c: x for c, x in PLAIN.items() if len(x) == 1}
+    for letter, plain in PLAIN.items():
+        if len(plain) > 1:
+            col = F.replace(col, F.lit(letter), F.lit(plain))
+    # marks that stand by themselves go as well
+    return F.regexp_replace(F.translate(col, "".join(single), "".join(single.values())), r"[\x{300}-\x{36f}]", "")
 
 
 def fold_case(col: Column) -> Column:

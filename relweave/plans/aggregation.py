@@ -121,6 +121,28 @@ def agg_array(d: Data):
     return win.chunked_lists(src, ["o_custkey"], win.sort_keys("o_totalprice", "o_orderkey"), F.col("o_orderkey"), name="keys")
 
 
+PRIORITIES = """(SELECT o_custkey, o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders)"""
+
+
+@query("agg_string_ordered", f"""
+SELECT o_custkey, (rn - 1) // 1000 AS chunk, string_agg(o_orderpriority, ', ' ORDER BY rn) AS priorities FROM {PRIORITIES} GROUP BY ALL""")
+def agg_string_ordered(d: Data):
+    """All values in order, repeats kept; the text of a hot key comes in chunks."""
+    src = d.orders.select("o_custkey", "o_orderkey", "o_orderdate", "o_orderpriority")
+    lists = win.chunked_lists(src, ["o_custkey"], win.sort_keys("o_orderdate", "o_orderkey"), F.col("o_orderpriority"), name="p")
+    return lists.select("o_custkey", "chunk", F.array_join("p", ", ").alias("priorities"))
+
+
+@query("agg_json_ordered", f"""
+SELECT o_custkey, (rn - 1) // 1000 AS chunk, '[' || string_agg('{{"key":' || o_orderkey || ',"priority":"' || o_orderpriority || '"}}', ',' ORDER BY rn) || ']' AS rows FROM {PRIORITIES} GROUP BY ALL""")
+def agg_json_ordered(d: Data):
+    """Objects in order as JSON arrays, chunked in the same way."""
+    src = d.orders.select("o_custkey", "o_orderkey", "o_orderdate", "o_orderpriority")
+    item = F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("priority"))
+    lists = win.chunked_lists(src, ["o_custkey"], win.sort_keys("o_orderdate", "o_orderkey"), item, name="r")
+    return lists.select("o_custkey", "chunk", F.to_json("r").alias("rows"))
+
+
 @query("agg_array_distinct", "SELECT l_returnflag, list(DISTINCT l_linenumber ORDER BY l_linenumber) AS numbers FROM lineitem GROUP BY 1")
 def agg_array_distinct(d: Data):
     return d.lineitem.groupBy("l_returnflag").agg(F.array_sort(F.collect_set("l_linenumber")).alias("numbers"))

@@ -198,3 +198,11 @@ def test_ranks_with_and_without_index(spark, flags):
     assert exact(se.cover_rank_texts(texts, "id", terms, flags, A=("title",), D=("body",))) == near(se.rank_cover(index, "id", terms, flags))
     with pytest.raises(ValueError):
         se.rank_texts(texts, "id", ["a"], normalization=4, D=("body",))
+
+
+def test_unaccent(spark):
+    from relweave.functions import text as tx
+
+    cases = {"Łódź žaba Ærø": "Lodz zaba AEro", "Straße": "Strasse", "e\u0301t\u00e9": "ete", "Ελλάδα": "Ελλάδα", "Việt Đức": "Viet Duc", "ﬁn": "ﬁn"}
+    frame = spark.createDataFrame(list(cases), "string").select("value", tx.unaccent(F.col("value")).alias("got"))
+    assert {r["value"]: r.got for r in frame.collect()} == cases

@@ -21,7 +21,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from relweave.llm.common import wider
+from relweave.llm.common import stored, wider
 from relweave.llm.url_filter import host_of
 
 #: Paths a host may keep, best first.
@@ -233,9 +233,10 @@ def extracted(pages: DataFrame) -> DataFrame:
     pages = pages.drop("t_text")
     order = Window.partitionBy("host").orderBy(F.desc("votes"), "path")
     best = host_votes(pages).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= PATHS_PER_HOST)
-    winners = best.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("nth", "path"))).alias("w")).select(
+    # a table of known size: Spark sends it to the pages if it is small enough for that
+    winners = stored(best.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("nth", "path"))).alias("w")).select(
         F.col("host").alias("__host"), F.col("w.path").alias("__paths")
-    )
+    ), "paths")
     read, take = parse, text_under
 
     def run(batches):

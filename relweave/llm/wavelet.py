@@ -23,7 +23,7 @@ import struct
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relweave.llm.common import worker_state
+from relweave.llm.common import stored, worker_state
 from relweave.runtime import cut_lineage, scratch_path
 
 #: Tokens after which a writer closes its shard; a document is never split.
@@ -321,11 +321,12 @@ def read_shards(spark: SparkSession, folder: str, shards: DataFrame) -> DataFram
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("t"))
     earlier = F.sum("t").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1))
-    starts = (
+    starts = stored(
         shards.withColumn("in", F.coalesce(inside, F.lit(0)))
         .join(parts.select("part", F.coalesce(earlier, F.lit(0)).alias("before")), "part")
-        .select("name", (F.col("before") + F.col("in")).alias("base"))
-    )
+        .select("name", (F.col("before") + F.col("in")).alias("base")),
+        "starts",
+    )  # of known size, so that it can be sent to the files instead of these being shuffled
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wvm").load(folder)
     listed = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").join(starts, "name")
     reader = Shard

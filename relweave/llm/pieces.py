@@ -16,6 +16,7 @@ words cost n log n; repeated rows each give a row; other columns are carried by
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 import struct
@@ -26,7 +27,11 @@ from pyspark.sql import functions as F
 from relweave.llm.common import wider, worker_state
 
 #: Units a worker keeps at most; beyond that it learns them anew.
-KEEP_UNITS = 250_000
+KEEP_UNITS = 400_000
+#: Characters up to which scanning a list beats a heap.
+SHORT = 48
+#: Where a cut is looked for: around everything but letters.
+_RUNS = re.compile(r"▁*[^\W\d_]+|.", re.S)
 
 
 class Codec:
@@ -58,12 +63,28 @@ class Codec:
         self.fresh: list[str] = []
 
     def merged(self, text: str) -> list[str]:
-        """Pieces of one part by the agenda."""
+        """Pieces of one part by the agenda.
+
+        A short part's agenda is a plain list, one entry per neighbouring pair,
+        whose least entry is looked up; a long part's is a heap.
+        """
         rank = self.rank
         n = len(text)
         if n == 1:
             return [text]
         symbols = list(text)
+        if n <= SHORT:
+            get, none = rank.get, 1 << 60
+            agenda = [get(text[i : i + 2], none) for i in range(n - 1)]
+            while agenda and (best := min(agenda)) != none:
+                i = agenda.index(best)
+                symbols[i] = joined = symbols[i] + symbols[i + 1]
+                del symbols[i + 1], agenda[i]
+                if i < len(agenda):
+                    agenda[i] = get(joined + symbols[i + 1], none)
+                if i:
+                    agenda[i - 1] = get(symbols[i - 1] + joined, none)
+            return symbols
         agenda = []
         for i in range(n - 1):
             r = rank.get(text[i : i + 2])
@@ -114,18 +135,22 @@ class Codec:
 
     def unit(self, word: str) -> bytes:
         """Ids of ``word`` behind one space."""
-        text = "▁" + word.replace(" ", "▁")
         pairs, parts = self.pairs, self.parts
-        cuts = [0, *[i for i in range(1, len(text)) if text[i - 1 : i + 1] not in pairs], len(text)]
-        out = []
-        for a, b in zip(cuts, cuts[1:]):
-            t = text[a:b]
+        out, held = [], ""
+        for run in _RUNS.findall("▁" + word.replace(" ", "▁")):
+            if held and held[-1] + run[0] not in pairs:
+                out.append(held)
+                held = run
+            else:
+                held += run
+        out.append(held)
+        for i, t in enumerate(out):
             ids = parts.get(t)
             if ids is None:
                 ids = self.part(t)
                 if len(parts) < KEEP_UNITS:
                     parts[t] = ids
-            out.append(ids)
+            out[i] = ids
         return b"".join(out)
 
     def encode(self, text: str) -> bytes:
@@ -177,18 +202,22 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
 
         codec = state(f"piece_codec:{model}", lambda: make(model))
         unpack = struct.unpack
-        for batch in batches:
-            ids, decoded = [], []
-            for t in batch.column("__text"):
-                data = codec.encode(t.as_py() or "")
-                ids.append(data)
-                decoded.append(codec.library.decode(list(unpack(f"<{len(data) // 4}I", data))))
-            codec.verify()
-            names = [f for f in batch.schema.names if f != "__text"]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(f) for f in names], pa.array(ids, pa.binary()), pa.array(decoded, pa.string())],
-                names=[*names, "p_ids", "p_decoded"],
-            )
+        gc.disable()  # nothing here forms cycles, and a collection walks all units
+        try:
+            for batch in batches:
+                ids, decoded = [], []
+                for t in batch.column("__text"):
+                    data = codec.encode(t.as_py() or "")
+                    ids.append(data)
+                    decoded.append(codec.library.decode(list(unpack(f"<{len(data) // 4}I", data))))
+                codec.verify()
+                names = [f for f in batch.schema.names if f != "__text"]
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(f) for f in names], pa.array(ids, pa.binary()), pa.array(decoded, pa.string())],
+                    names=[*names, "p_ids", "p_decoded"],
+                )
+        finally:
+            gc.enable()
 
     docs = docs.drop("p_ids", "p_decoded")
     schema = wider(docs, p_ids="binary", p_decoded="string")

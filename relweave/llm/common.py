@@ -13,6 +13,10 @@ from relweave.runtime import cut_lineage, scratch_path
 
 #: What a word is, wherever an operator counts words.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Members from which a bucket is crowded.
+CROWD = 32
+#: Rows of a settled table that make a part.
+PART_ROWS = 500_000
 
 
 def worker_state(name: str, make):
@@ -52,6 +56,14 @@ def global_rank(df: DataFrame, column: str, rank: str) -> DataFrame:
     )
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in as many parts as its rows need, which later shuffles start from."""
+    out = cut_lineage(df)
+    parts = out.rdd.getNumPartitions()
+    rows = out.coalesce(max(1, parts // 16)).count()
+    return out.coalesce(min(parts, 1 + rows // PART_ROWS))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b): rows (node, root), root the smallest node.
 
@@ -61,17 +73,17 @@ def components(edges: DataFrame) -> DataFrame:
     AQE. Nodes without an edge to another node give no row. Each round is a
     reliable checkpoint; only a count and a checksum reach the driver.
     """
-    links = cut_lineage(
+    links = settled(
         edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
     mark = _mark(links)
     while mark[0]:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(root, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = cut_lineage(small.unionByName(root.select("u", F.col("m").alias("v"))).where("u != v").distinct())
+        links = settled(small.unionByName(root.select("u", F.col("m").alias("v"))).where("u != v").distinct())
         now = _mark(links)
         if now == mark:
             break
@@ -85,41 +97,30 @@ def _mark(links: DataFrame) -> tuple:
     return tuple(row)
 
 
-def linked_in_buckets(members: DataFrame, verify, keep: list[str]) -> DataFrame:
+def linked_in_buckets(members: DataFrame, verify, crowded=None) -> DataFrame:
     """Links that connect all similar members of common buckets: rows (a, b).
 
-    ``members`` has (key, id, *keep); ``verify(left, right)`` makes the exact test
-    of two such rows from their ``keep`` columns (prefix ``l_`` and ``r_``). First
-    every member meets the least member of its bucket. Then members meet pairwise
-    only if the first links left them in different components. So a bucket of
-    copies costs one row each, and pairs left out are connected already.
+    ``members`` has distinct (key, id, weight); ``verify`` keeps the distinct
+    similar pairs of a frame (a, b). First every member meets the heaviest member
+    of its bucket. Then members meet pairwise only if the first links left them in
+    different components. So a bucket of copies costs one row each, and pairs left
+    out are connected already. ``crowded`` may find the similar pairs of different
+    roots in another exact way, from the (id, root) of all members of buckets over
+    CROWD.
     """
-    payload = [F.col(c).alias(f"l_{c}") for c in keep]
-    left = members.select("key", F.col("id").alias("a"), *payload)
-    right = members.select("key", F.col("id").alias("b"), *[F.col(c).alias(f"r_{c}") for c in keep])
-    packed = F.struct("id", *keep)
-    pivot = members.groupBy("key").agg(F.min(packed).alias("p")).select(
-        "key", F.col("p.id").alias("b"), *[F.col(f"p.{c}").alias(f"r_{c}") for c in keep]
-    )
-    star = cut_lineage(left.join(pivot, "key").where("a != b").where(verify()).select("a", "b").distinct())
+    pivot = members.groupBy("key").agg(F.max(F.struct("weight", "id"))["id"].alias("b"))
+    star = settled(verify(members.select("key", F.col("id").alias("a")).join(pivot, "key").where("a != b").select("a", "b")))
     roots = components(star)
-    named = (
-        members.select("key", "id")
-        .join(roots, F.col("id") == F.col("node"), "left")
-        .select("key", "id", F.coalesce("root", "id").alias("root"))
-    )
-    mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    open_rows = cut_lineage(
-        members.join(mixed.select("key"), "key", "left_semi")
-        .join(roots, F.col("id") == F.col("node"), "left")
-        .select("key", "id", *keep, F.coalesce("root", "id").alias("root"))
-    )
-    left = open_rows.select("key", F.col("id").alias("a"), F.col("root").alias("ra"), *payload)
-    right = open_rows.select(
-        "key", F.col("id").alias("b"), F.col("root").alias("rb"), *[F.col(c).alias(f"r_{c}") for c in keep]
-    )
-    rest = left.join(right, "key").where("ra < rb").where(verify()).select("a", "b").distinct()
-    return star.unionByName(rest)
+    named = members.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo < hi")
+    open_rows = settled(named.join(mixed.select("key", "k"), "key"))
+    few = open_rows if crowded is None else open_rows.where(F.col("k") <= CROWD)
+    left = few.select("key", F.col("id").alias("a"), F.col("root").alias("ra"))
+    right = few.select("key", F.col("id").alias("b"), F.col("root").alias("rb"))
+    links = star.unionByName(verify(left.join(right, "key").where("ra < rb").select("a", "b")))
+    if crowded is None:
+        return links
+    return links.unionByName(crowded(open_rows.where(F.col("k") > CROWD).select("id", "root").distinct()))
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

@@ -9,7 +9,7 @@ texts are cut a second time, by content: a passage of PASSAGE_WORDS words starts
 at each shingle whose hash is least among WINNOW neighbours. Any run of
 PASSAGE_WORDS + WINNOW - 1 = 47 equal words holds such a passage in both texts.
 These overlap, so near-equal ones come in multitudes; they count as equal only if
-their whole signature, that is every word, is.
+the 64-bit hash of all their words is.
 
 The document of least doc_id keeps a repeated passage; it is removed from the
 others. Repeats inside one document stay.
@@ -25,13 +25,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from relweave.llm.common import components, linked_in_buckets, stored
-from relweave.runtime import cut_lineage
+from relweave.llm.common import components, linked_in_buckets, settled, stored
 
 SHINGLE = 5
 MIN_WORDS = 20
-PASSAGE_WORDS = 24
-WINNOW = 24
+PASSAGE_WORDS = 20
+WINNOW = 28
 SIMILARITY = 0.8
 RECALL = 0.99
 #: Rows of a band: four make chance collisions of half-alike paragraphs rare.
@@ -47,9 +46,9 @@ def bands_for(similarity: float = SIMILARITY, recall: float = RECALL, rows: int
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, first, n, h, c, shingles) of all passages and paragraphs.
+    """(doc_id, tag, first, n, h, shingles) of all passages and paragraphs.
 
-    ``first`` and ``n`` count words; (h, c) hash the words; shingles is NULL for
+    ``first`` and ``n`` count words; ``h`` hashes the words; shingles is NULL for
     passages. ``tag`` is the text's CRC.
     """
     size, span, near, least = SHINGLE, PASSAGE_WORDS, WINNOW, MIN_WORDS
@@ -70,13 +69,13 @@ def units(docs: DataFrame) -> DataFrame:
             x = (x ^ (x >> np.uint64(31))) * even
             return x ^ (x >> np.uint64(29))
 
-        p_shingle, p_one, p_two = powers(odd, size), powers(odd, span), powers(even | np.uint64(1), span)
+        p_shingle, p_whole = powers(odd, size), powers(odd, span)
         offsets = np.arange(span)
         kinds = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("first", pa.int32()), ("n", pa.int32()),
-                           ("h", pa.int64()), ("c", pa.int32()), ("shingles", pa.list_(pa.int32()))])
+                           ("h", pa.int64()), ("shingles", pa.list_(pa.int32()))])
 
         def passages(text):
-            """(first, h, c) of content-cut passages and (first, n, h, c, shingles) of paragraphs."""
+            """(first, h) of content-cut passages and (first, n, h, shingles) of paragraphs."""
             data = text.encode()
             words = data.split()
             n = len(words)
@@ -96,33 +95,32 @@ def units(docs: DataFrame) -> DataFrame:
                 else:
                     at = np.array([s.argmin()])
                 at = at[at + span <= n]
-                w = hashes[at[:, None] + offsets]
-                found = at, mixed((w * p_one).sum(axis=1, dtype=np.uint64)), mixed((w * p_two).sum(axis=1, dtype=np.uint64))
+                found = at, mixed((hashes[at[:, None] + offsets] * p_whole).sum(axis=1, dtype=np.uint64))
             lines, first = [], 0
             for line in data.split(b"\n"):
                 own = line.split()
                 m = len(own)
                 if m >= least:
                     whole = b" ".join(own)
-                    lines.append((first, m, digest(whole, 1), digest(whole, 2), np.unique(s[first : first + m - size + 1] >> np.uint64(32))))
+                    lines.append((first, m, digest(whole, 1), np.unique(s[first : first + m - size + 1] >> np.uint64(32))))
                 first += m
             return found, lines
 
         def table(rows):
-            ids, tags, firsts, sizes, hs, cs, sets, lengths = [], [], [], [], [], [], [], []
+            ids, tags, firsts, sizes, hs, sets, lengths = [], [], [], [], [], [], []
             for doc, tag, (found, lines) in rows:
                 if found is not None and len(found[0]):
-                    at, one, two = found
+                    at, whole = found
                     k = len(at)
                     ids.append(np.full(k, doc)), tags.append(np.full(k, tag)), firsts.append(at), sizes.append(np.full(k, span))
-                    hs.append(one), cs.append(two), lengths.append(np.zeros(k, np.int64))
+                    hs.append(whole), lengths.append(np.zeros(k, np.int64))
                 if lines:
                     k = len(lines)
                     ids.append(np.full(k, doc)), tags.append(np.full(k, tag))
                     firsts.append(np.array([x[0] for x in lines])), sizes.append(np.array([x[1] for x in lines]))
-                    hs.append(np.array([x[2] for x in lines], np.uint64)), cs.append(np.array([x[3] for x in lines], np.uint64))
-                    sets += [x[4] for x in lines]
-                    lengths.append(np.array([len(x[4]) for x in lines]))
+                    hs.append(np.array([x[2] for x in lines], np.uint64))
+                    sets += [x[3] for x in lines]
+                    lengths.append(np.array([len(x[3]) for x in lines]))
             if not ids:
                 return None
             lengths = np.concatenate(lengths)
@@ -130,10 +128,9 @@ def units(docs: DataFrame) -> DataFrame:
             values = (np.concatenate(sets) if sets else np.zeros(0, np.uint64)).astype(np.uint32).view(np.int32)
             shingles = pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=pa.array(lengths == 0))
             column = lambda x, kind: pa.array(np.concatenate(x).astype(kind))
-            c = (np.concatenate(cs) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             return pa.RecordBatch.from_arrays(
                 [column(ids, np.int64), column(tags, np.int64), column(firsts, np.int32), column(sizes, np.int32),
-                 pa.array(np.concatenate(hs).view(np.int64)), pa.array(c), shingles],
+                 pa.array(np.concatenate(hs).view(np.int64)), shingles],
                 schema=kinds,
             )
 
@@ -153,7 +150,7 @@ def units(docs: DataFrame) -> DataFrame:
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
         F.col("doc_id").cast("long"), F.crc32(F.col("text").cast("binary")).alias("tag"), F.col("text").cast("string").alias("text")
     )
-    return rows.mapInArrow(run, "doc_id long, tag long, first int, n int, h long, c int, shingles array<int>")
+    return rows.mapInArrow(run, "doc_id long, tag long, first int, n int, h long, shingles array<int>")
 
 
 def banded(paragraphs: DataFrame) -> DataFrame:
@@ -188,32 +185,70 @@ def banded(paragraphs: DataFrame) -> DataFrame:
     return keyed.select(F.explode("keys").alias("key"), "id")
 
 
+def similar_in_crowd(rows: DataFrame) -> DataFrame:
+    """Similar pairs (a, b) of different roots among (id, root, shingles).
+
+    Exact. Ordered by rarity, two similar sets share one of the first
+    n - ceil(similarity n) + 1 shingles of each, so what many paragraphs have in
+    common does not bring them together. Shingles that one paragraph alone has
+    count as differences before any set is compared. A pair is compared once, at
+    the least of the shingles that bring it together, and leaves the join only if
+    it is similar.
+    """
+    tokens = rows.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("k", "s"))
+    keep = F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-9) + 1
+    ranked = tokens.withColumn("k", F.count("*").over(Window.partitionBy("s"))).withColumn("nth", nth)
+    heads = ranked.groupBy("id", "n").agg(
+        F.sum((F.col("k") == 1).cast("int")).alias("own"),
+        F.sort_array(F.collect_list(F.when((F.col("nth") <= keep) & (F.col("k") > 1), F.col("s")))).alias("head"),
+    ).where((F.size("head") > 0) & (F.col("own") < keep))
+    told = settled(rows.join(heads, "id"))
+    spread = told.select("*", F.explode("head").alias("s"))
+    side = lambda x: spread.select("s", *[F.col(c).alias(f"{x}_{c}") for c in ("id", "root", "n", "own", "head", "shingles")])
+    size = F.col("a_n") + F.col("b_n")
+    differ = (1 - SIMILARITY) / (1 + SIMILARITY) * size + 1e-9  # most elements that only one of two similar sets has
+    first = F.col("s") == F.array_min(F.array_intersect("a_head", "b_head"))
+    common = F.size(F.array_intersect("a_shingles", "b_shingles"))
+    alike = common >= SIMILARITY * (size - common) - 1e-9
+    cheap = (F.col("a_root") < F.col("b_root")) & (F.abs(F.col("a_n") - F.col("b_n")) <= differ) & (F.col("a_own") + F.col("b_own") <= differ)
+    met = side("a").join(side("b").withColumnRenamed("s", "t"), (F.col("s") == F.col("t")) & cheap & first & alike)
+    return met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+
+
 def repeated(docs: DataFrame) -> DataFrame:
     """(doc_id, tag, first, n, kept_doc_id) of every passage to remove; spans may overlap."""
     all_units = stored(units(docs), "units")
-    cut = all_units.where("shingles is null")
-    lines = all_units.where("shingles is not null")
-    owners = cut.groupBy("h", "c").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("last"))
+    place = F.shiftleft(F.col("tag"), 32).bitwiseOR(F.col("first").cast("long"))
+    cut = all_units.where("shingles is null").select("h", "doc_id", place.alias("place"))
+    owners = cut.groupBy("h").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("last"))
     owners = owners.where("kept_doc_id < last").drop("last")
-    exact = cut.join(owners, ["h", "c"]).where("doc_id != kept_doc_id").select("doc_id", "tag", "first", "n", "kept_doc_id")
-
-    groups = stored(
-        lines.groupBy(F.col("h").alias("id")).agg(
-            F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.first("shingles").alias("shingles")
-        ), "paragraphs",
-    )
-    index = stored(banded(groups), "bands")
-    shared = index.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    members = cut_lineage(index.join(shared, "key").join(groups.select("id", "shingles"), "id"))
-    common = F.size(F.array_intersect("l_shingles", "r_shingles"))
-    alike = common >= SIMILARITY * (F.size("l_shingles") + F.size("r_shingles") - common) - 1e-9
-    roots = components(linked_in_buckets(members, lambda: alike, ["shingles"]))
-    named = groups.select("id", "lo", "hi").join(roots, F.col("id") == F.col("node"), "left").select(
-        "id", "lo", "hi", F.coalesce("root", "id").alias("root")
+    exact = cut.join(owners, "h").where("doc_id != kept_doc_id").select(
+        "doc_id", F.shiftrightunsigned("place", 32).alias("tag"), F.expr("cast(place & 4294967295 as int)").alias("first"),
+        F.lit(PASSAGE_WORDS).alias("n"), "kept_doc_id",
     )
+
+    lines = all_units.where("shingles is not null").withColumnRenamed("h", "id")
+    index = banded(lines.select("id", "shingles"))
+    shared = index.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
+    weights = lines.groupBy("id").agg(F.count("*").alias("weight"))
+    members = settled(index.join(shared, "key").distinct().join(weights, "id"))
+    wanted = members.select("id").distinct()
+    sets = stored(lines.select("id", "shingles").join(wanted, "id", "left_semi").dropDuplicates(["id"]), "shingles")
+
+    def alike(pairs):
+        left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
+        right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+        common = F.size(F.array_intersect("x", "y"))
+        enough = common >= SIMILARITY * (F.size("x") + F.size("y") - common) - 1e-9
+        return pairs.distinct().join(left, "a").join(right, "b").where(enough).select("a", "b")
+
+    roots = components(linked_in_buckets(members, alike, lambda ids: similar_in_crowd(ids.join(sets, "id"))))
+    groups = lines.groupBy("id").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    named = settled(groups.join(roots, F.col("id") == F.col("node"), "left").select("id", "lo", "hi", F.coalesce("root", "id").alias("root")))
     clusters = named.groupBy("root").agg(F.min("lo").alias("kept_doc_id"), F.max("hi").alias("last")).where("kept_doc_id < last")
-    owners = named.join(clusters, "root").select(F.col("id").alias("h"), "kept_doc_id")
-    near = lines.drop("shingles").join(owners, "h").where("doc_id != kept_doc_id").select("doc_id", "tag", "first", "n", "kept_doc_id")
+    owners = named.join(clusters, "root").select("id", "kept_doc_id")
+    near = lines.drop("shingles").join(owners, "id").where("doc_id != kept_doc_id").select("doc_id", "tag", "first", "n", "kept_doc_id")
     return exact.unionByName(near)
 
 

@@ -14,10 +14,10 @@ its whole component has none. Extra columns of the input are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from relweave.llm.common import components, linked_in_buckets
+from relweave.llm.common import components, linked_in_buckets, settled
 from relweave.runtime import cut_lineage
 
 SEGMENT_BITS = 32
@@ -25,7 +25,10 @@ MAX_BITS = 3
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """Rows (doc_id, fp): majority bits of the XXH64 (seed 42) of all word shingles."""
+    """Rows (doc_id, tag, fp): majority bits of the XXH64 (seed 42) of all word shingles.
+
+    ``tag`` is the CRC of the text, 0 for NULL.
+    """
 
     def run(batches):
         import numpy as np
@@ -52,53 +55,63 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
 
         for batch in batches:
-            fps = [fingerprint(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            fps = [fingerprint(t.as_py()) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], names=["doc_id", "tag", "fp"])
+
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _tag().alias("tag"), F.col("text").cast("string").alias("text"))
+    return chosen.mapInArrow(run, "doc_id long, tag long, fp long")
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, fp long")
+
+def _tag():
+    return F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0))
 
 
 def variants(fps: DataFrame) -> DataFrame:
-    """Index rows (key, id, fp): each segment with each of its bits left out once."""
+    """Index rows (key, id): each segment with each of its bits left out once."""
     position = F.explode(F.sequence(F.lit(0), F.lit(2 * SEGMENT_BITS - 1))).alias("position")
     rows = fps.select("fp", position)
     segment = F.expr("shiftrightunsigned(fp, 32 * (position div 32)) & 4294967295")
     cleared = segment.bitwiseAND(F.expr("~shiftleft(1L, cast(position % 32 as int))"))
     key = F.col("position").cast("long") * F.lit(1 << SEGMENT_BITS) + cleared
-    return rows.select(key.alias("key"), F.col("fp").alias("id"), "fp")
+    return rows.select(key.alias("key"), F.col("fp").alias("id"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """Rows (doc_id, fp, component_id); component_id is the smallest doc_id reachable."""
+    return _labelled(docs, shingle).select("doc_id", "fp", "component_id")
+
+
+def _labelled(docs: DataFrame, shingle: int) -> DataFrame:
+    """Rows (doc_id, tag, fp, root, component_id); root is the component's least fingerprint."""
     prints = cut_lineage(fingerprints(docs, shingle))
     distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     index = variants(distinct)
     shared = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = cut_lineage(index.join(shared, "key"))
-    near = F.expr(f"bit_count(l_fp ^ r_fp) <= {MAX_BITS}")
-    roots = components(linked_in_buckets(members, lambda: near, ["fp"]))
+    members = settled(index.join(shared, "key").withColumn("weight", F.lit(0)))
+    near = f"bit_count(a ^ b) <= {MAX_BITS}"
+    roots = components(linked_in_buckets(members, lambda pairs: pairs.where(near).distinct()))
     grouped = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     named = grouped.join(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "root")
-    return prints.join(named.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
-
+    return prints.join(named.select("fp", "root", "component_id"), "fp")
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the one of least doc_id.
 
-    Of several rows with that id the one with the least content hash stays.
+def deduplicated(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """``docs`` with one row of each near-duplicate component: that of least doc_id,
+    one without an id only if none has one, then of least text CRC; of equal
+    such rows the one of least hash.
     """
-    from pyspark.sql import Window
-
-    found = near_duplicates(docs).select("doc_id", "component_id").distinct()
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept"))
-    rows = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy("__tie")
+    none = F.col("doc_id").isNull()
+    first = F.min(F.struct(none, "doc_id", "tag")).alias("first")
+    keep = _labelled(docs, shingle).groupBy("root").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.tag").alias("__tag"))
+    rows = docs.withColumn("__own", _tag()).join(
+        keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__tag")), "left_semi"
+    )
+    order = Window.partitionBy("doc_id", "__own").orderBy("__tie")
     return (
         rows.withColumn("__tie", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
         .withColumn("__nth", F.row_number().over(order))
         .where("__nth = 1")
-        .drop("__tie", "__nth")
+        .drop("__tie", "__nth", "__own")
     )

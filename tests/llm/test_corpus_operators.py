@@ -245,7 +245,8 @@ def test_simhash(docs, rows, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.deduplicated(empty).count() == 0
     kept = simhash.deduplicated(docs)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))
+    # two texts of one id may stand for two components
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(least.values())
 
 
 def test_simhash_links(spark, monkeypatch):
@@ -260,7 +261,7 @@ def test_simhash_links(spark, monkeypatch):
             at ^= 1 << rng.randrange(64)
     fps |= {rng.getrandbits(64) for _ in range(100)}
     signed = [f - 2**64 if f >> 63 else f for f in fps]
-    frame = spark.createDataFrame(list(zip(range(len(signed)), signed)), "doc_id long, fp long")
+    frame = spark.createDataFrame(list(zip(range(len(signed)), signed)), "doc_id long, fp long").withColumn("tag", F.lit(0))
     monkeypatch.setattr(simhash, "fingerprints", lambda docs, shingle=3: docs)
     got = {r.fp & (2**64 - 1): r.component_id for r in simhash.near_duplicates(frame).collect()}
     roots = brute_components(fps)
@@ -371,6 +372,10 @@ def test_agenda_equals_library():
         text = "".join(rng.choices(parts, k=rng.randint(0, 25)))
         ids = codec.library.encode(text, add_bos=True, add_eos=True)
         assert np.frombuffer(codec.encode(text), "<u4").tolist() == ids, text
+    for _ in range(60):  # long words go through the heap
+        text = "".join(rng.choices("abcdeinorst", k=rng.randint(40, 400)))
+        ids = codec.library.encode(text, add_bos=True, add_eos=True)
+        assert np.frombuffer(codec.encode(text), "<u4").tolist() == ids, text
     codec.verify()
 
 

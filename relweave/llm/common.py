@@ -61,7 +61,7 @@ def settled(df: DataFrame) -> DataFrame:
     out = cut_lineage(df)
     parts = out.rdd.getNumPartitions()
     rows = out.coalesce(max(1, parts // 16)).count()
-    return out.coalesce(min(parts, 1 + rows // PART_ROWS))
+    return out.coalesce(max(1, min(parts, 1 + rows // PART_ROWS)))
 
 
 def components(edges: DataFrame) -> DataFrame:

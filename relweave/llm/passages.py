@@ -3,7 +3,8 @@
 Paragraphs are the lines of a text of at least MIN_WORDS words. Their five-word
 shingles are MinHashed, bands are tuned for a recall of at least 0.99 at the
 similarity threshold, paragraphs that collide in a band are joined and verified
-by exact Jaccard similarity, and components of verified pairs are removed
+by the exact Jaccard similarity of their 32-bit shingle hashes, and components of
+verified pairs are removed
 together. A passage may also repeat inside otherwise different paragraphs. So
 texts are cut a second time, by content: a passage of PASSAGE_WORDS words starts
 at each shingle whose hash is least among WINNOW neighbours. Any run of
@@ -195,6 +196,7 @@ def similar_in_crowd(rows: DataFrame) -> DataFrame:
     the least of the shingles that bring it together, and leaves the join only if
     it is similar.
     """
+    rows = rows.repartition("id")  # settled members come in few parts
     tokens = rows.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     nth = F.row_number().over(Window.partitionBy("id").orderBy("k", "s"))
     keep = F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-9) + 1

@@ -10,7 +10,10 @@ texts are cut a second time, by content: a passage of PASSAGE_WORDS words starts
 at each shingle whose hash is least among WINNOW neighbours. Any run of
 PASSAGE_WORDS + WINNOW - 1 = 47 equal words holds such a passage in both texts.
 These overlap, so near-equal ones come in multitudes; they count as equal only if
-the 64-bit hash of all their words is.
+the 64-bit hash of all their words is. Shared picks of such a run lie at most
+WINNOW words apart and at most WINNOW - 1 from its ends, so each shared passage is
+extended word by word, by at most WINNOW - 1 to either side, as far as any document
+of smaller id that has the passage goes on alike. Together they cover the whole run.
 
 The document of least doc_id keeps a repeated passage; it is removed from the
 others. Repeats inside one document stay.
@@ -218,6 +221,80 @@ def similar_in_crowd(rows: DataFrame) -> DataFrame:
     return met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
 
+def surroundings(docs: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(doc_id, tag, first, left, side, cls, words) of each cut (h, doc_id, tag, first) and side.
+
+    ``words`` hashes the up to WINNOW - 1 words beside the passage, nearest first;
+    ``side`` stands for the passage and the side, ``cls`` for these and the words.
+    """
+    span, reach = PASSAGE_WORDS, WINNOW - 1
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
+
+        digest, signed = xxhash.xxh64_intdigest, lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+        kinds = pa.list_(pa.int32())
+
+        def table(rows):
+            docs, tags, firsts, lefts, sides, classes, words = zip(*rows)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(docs, pa.int64()), pa.array(tags, pa.int64()), pa.array(firsts, pa.int32()), pa.array(lefts, pa.bool_()),
+                 signed(sides), signed(classes), pa.array(words, kinds)],
+                names=["doc_id", "tag", "first", "left", "side", "cls", "words"],
+            )
+
+        for batch in batches:
+            rows = []
+            for doc, tag, text, cuts in zip(*(batch.column(i) for i in range(4))):
+                doc, tag = doc.as_py(), tag.as_py()
+                parts = text.as_py().encode().split()
+                hashes = (np.fromiter(map(digest, parts), np.uint64, len(parts)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                for c in cuts.as_py():
+                    at, h = c["first"], c["h"].to_bytes(8, "little", signed=True)
+                    for left in (False, True):
+                        beside = hashes[max(0, at - reach) : at][::-1] if left else hashes[at + span : at + span + reach]
+                        rows.append((doc, tag, at, left, digest(h, left), digest(h + beside.tobytes(), left), beside))
+                if len(rows) > 20_000:
+                    yield table(rows)
+                    rows = []
+            if rows:
+                yield table(rows)
+
+    texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.crc32(F.col("text").cast("binary")).alias("tag"), F.col("text").cast("string").alias("text")
+    )
+    lists = cuts.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first", "h")).alias("cuts"))
+    once = texts.join(lists.select("doc_id", "tag"), ["doc_id", "tag"], "left_semi").dropDuplicates(["doc_id", "tag"])
+    joined = once.join(lists, ["doc_id", "tag"]).select("doc_id", "tag", "text", "cuts")
+    return joined.mapInArrow(run, "doc_id long, tag long, first int, left boolean, side long, cls long, words array<int>")
+
+
+def extensions(docs: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(doc_id, tag, first, n, kept_doc_id): cuts with what equals a document of smaller id beside them.
+
+    Cuts with equal surroundings are one class, which its least document keeps; it
+    meets the other classes of its passage by the hashes of all its beginnings.
+    """
+    sides = stored(surroundings(docs, cuts), "sides")
+    least = stored(sides.groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("side").alias("side")), "classes")
+    mixed = least.groupBy("side").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("side")
+    open_classes = least.join(mixed, "side").select("cls", "least")
+    seeds = sides.join(open_classes, "cls").where("doc_id = least").select("cls", "side", "least", "words").dropDuplicates(["cls"])
+    steps = seeds.select("cls", "side", "least", "words", F.posexplode("words").alias("j", "w"))
+    steps = stored(steps.select("cls", "least", (F.col("j") + 1).alias("j"), F.xxhash64("side", F.slice("words", F.lit(1), F.col("j") + 1)).alias("key")), "steps")
+    met = steps.groupBy("key").agg(F.min("least").alias("lo"), F.max("least").alias("hi")).where("lo < hi").drop("hi")
+    reached = steps.join(met, "key").where("lo < least").groupBy("cls").agg(F.max("j").alias("j"), F.max_by("lo", "j").alias("lo"))
+    told = sides.drop("side").withColumn("size", F.size("words")).drop("words").join(least.drop("side").join(reached, "cls", "left"), "cls")
+    copy = F.col("doc_id") > F.col("least")
+    more = told.withColumn("more", F.when(copy, F.col("size")).otherwise(F.col("j"))).where("more > 0")
+    return more.select(
+        "doc_id", "tag", F.when(F.col("left"), F.col("first") - F.col("more")).otherwise(F.col("first")).alias("first"),
+        (F.col("more") + PASSAGE_WORDS).alias("n"), F.when(copy, F.col("least")).otherwise(F.col("lo")).alias("kept_doc_id"),
+    )
+
+
 def repeated(docs: DataFrame) -> DataFrame:
     """(doc_id, tag, first, n, kept_doc_id) of every passage to remove; spans may overlap."""
     all_units = stored(units(docs), "units")
@@ -225,10 +302,10 @@ def repeated(docs: DataFrame) -> DataFrame:
     cut = all_units.where("shingles is null").select("h", "doc_id", place.alias("place"))
     owners = cut.groupBy("h").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("last"))
     owners = owners.where("kept_doc_id < last").drop("last")
-    exact = cut.join(owners, "h").where("doc_id != kept_doc_id").select(
-        "doc_id", F.shiftrightunsigned("place", 32).alias("tag"), F.expr("cast(place & 4294967295 as int)").alias("first"),
-        F.lit(PASSAGE_WORDS).alias("n"), "kept_doc_id",
-    )
+    shared_cuts = stored(cut.join(owners, "h").distinct(), "cuts")
+    tag, first = F.shiftrightunsigned("place", 32).alias("tag"), F.expr("cast(place & 4294967295 as int)").alias("first")
+    exact = shared_cuts.where("doc_id != kept_doc_id").select("doc_id", tag, first, F.lit(PASSAGE_WORDS).alias("n"), "kept_doc_id")
+    exact = exact.unionByName(extensions(docs, shared_cuts.select("h", "doc_id", tag, first)))
 
     lines = all_units.where("shingles is not null").withColumnRenamed("h", "id")
     index = banded(lines.select("id", "shingles"))

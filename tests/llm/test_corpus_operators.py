@@ -497,6 +497,24 @@ def test_every_long_run_is_found(spark):
     assert all(any(r.doc_id % 40 in x.kept_doc_ids for x in found if x.doc_id == r.doc_id) for r in found)
 
 
+def test_long_runs_go_whole(spark):
+    """Equal runs inside lines are removed to their last word, whichever smaller document has them."""
+    rng = random.Random(18)
+    rows, want = [], {}
+    for i, n in enumerate([47, 51, 80, 200] * 6):
+        run, head = sentence(rng, n), rng.randint(0, 60)
+        rows += [(10 * i + 1, f"{sentence(rng, 30)} {run} {sentence(rng, 40)}"), (10 * i + 2, f"{sentence(rng, head)} {run} {sentence(rng, 25)}")]
+        middle = " ".join(run.split()[n // 2 - 12 : n // 2 + 12])
+        rows += [(10 * i, f"{sentence(rng, 30)} {middle} {sentence(rng, 30)}")]  # has a part only
+        want[10 * i + 2] = head, head + n
+    rows += [rows[1], rows[1]]
+    found = passages.removals(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = {}
+    for r in found:
+        got.setdefault(r.doc_id, []).append((r.first_word, r.end_word))
+    assert {d: got.get(d) for d in want} == {d: [x] for d, x in want.items()}
+
+
 def test_paragraph_bands(spark):
     """Band recall at the threshold, and verification by exact Jaccard."""
     assert passages.bands_for() == 9 and 1 - (1 - 0.8**4) ** 9 >= 0.99

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import gc
 import json
+import re
 import struct
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -42,7 +43,8 @@ class TextEncoder:
 
     A space between two non-space characters always opens a token, so a text cut
     there encodes piecewise; new units go to the library together. Texts with
-    other runs of white space around a space go to the library whole.
+    other runs of white space around a space go to the library whole, and so do
+    texts that hold the string of an added token, which may reach over a cut.
     """
 
     def __init__(self, vocabulary: str):
@@ -50,7 +52,8 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(vocabulary)
-        self.library.encode_special_tokens = True  # a special token's string is ordinary text
+        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         size = self.library.get_vocab_size()
         self.opens = np.array([(self.library.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         self.bits = max(1, (size - 1).bit_length())
@@ -82,7 +85,7 @@ class TextEncoder:
         return known
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
+        split = [[""] if self.added.search(t) else t.split(" ") for t in texts]  # no head: whole
         units = self.units
         new = self.learn(set().union(*[words[1:] for words in split]).difference(units))
         if len(units) < KEEP_UNITS:

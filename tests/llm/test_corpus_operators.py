@@ -362,6 +362,21 @@ def test_shards_round_trip(docs, rows, empty):
     assert wavelet.round_trip(empty, VOCABULARY).count() == 0
 
 
+def test_added_tokens_as_the_library_has_them(spark):
+    """The string of an added token anywhere in a text, against an untouched tokenizer."""
+    tokenizer, rng = Tokenizer.from_file(VOCABULARY), random.Random(15)
+    assert tokenizer.encode("end of part <|endoftext|> next part", add_special_tokens=False).ids == [437, 286, 636, 220, 50256, 1306, 636]
+    bits = ["a", "the", " ", "  ", "\n", "<|endoftext|>", "<|endof", "text|>", "é", "don't"]
+    texts = ["end of part <|endoftext|> next part", "<|endoftext|>", "x <|endoftext|>y"]
+    texts += ["".join(rng.choices(bits, k=rng.randint(0, 12))) for _ in range(2000)]
+    encoder = wavelet.TextEncoder(VOCABULARY)
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode_all(texts)] == want
+    got = wavelet.round_trip(spark.createDataFrame(list(enumerate(texts[:50])), "doc_id long, text string"), VOCABULARY)
+    crc = lambda ids: zlib.crc32(np.array(ids + [0], "<u4").tobytes())
+    assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in got.collect()} == {i: (len(x) + 1, crc(x)) for i, x in enumerate(want[:50])}
+
+
 # ---------------------------------------------------------------- 8 pieces
 
 

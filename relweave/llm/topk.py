@@ -137,9 +137,10 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, slices: int =
     """
     dim = F.size("v").alias("dim")
     nth = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    few = candidates.withColumn("nth", nth).where(F.col("nth") <= k + 1)
+    few = candidates.groupBy("v", "vec_id").agg(F.count("*").alias("n")).withColumn("nth", nth).where(F.col("nth") <= k + 1)
+    counted = F.sort_array(F.collect_list(F.struct("vec_id", F.least("n", F.lit(k)).cast("int").alias("n"))))
     reps = cut_lineage(
-        few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+        few.groupBy("v").agg(F.flatten(F.transform(counted, lambda x: F.array_repeat(x["vec_id"], x["n"]))).alias("ids"))
         .select(F.monotonically_increasing_id().alias("id"), "v", "ids", dim, F.struct().alias("extra"))
     )
     asked = cut_lineage(

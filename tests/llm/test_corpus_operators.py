@@ -142,6 +142,15 @@ def test_top_k(spark, slices):
     assert got == brute_top(data, [d for d in data if d[0] % 100 == 0], 10)
 
 
+def test_top_k_of_repeated_own_rows(spark):
+    """The query's own rows, however many, take no place from others with its vector."""
+    data = [(0, [3, 4])] * 15 + [(i, [3, 4]) for i in (5, 5, 5, *range(10, 30))] + [(40 + i, [1, 2]) for i in range(5)]
+    frame = spark.createDataFrame(data, "vec_id long, v array<long>")
+    asked = [(0, [3, 4]), (5, [3, 4]), (40, [1, 2])]
+    got = sorted(map(tuple, topk.top_k(frame, spark.createDataFrame(asked, frame.schema), 10).collect()))
+    assert got == brute_top(data, asked, 10)
+
+
 def test_top_k_quantises_and_skips(spark):
     data = [(0, [0.5, -0.0004], 1), (1, [float("nan"), 1.0], 1), (2, None, 1), (3, [1.0, None], 1), (None, [1.0, 1.0], 1),
             (4, [float("inf"), 1.0], 1), (5, [], 1), (6, [-0.25, 2.0], 1), (6, [0.0, 1.0], 1)]

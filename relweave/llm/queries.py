@@ -9,7 +9,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relweave.llm import html_text, line_rules, mixing, passages, pieces, simhash, site_quality, topk, url_filter, wavelet
+from relweave.llm import (
+    collocations,
+    html_text,
+    line_rules,
+    mixing,
+    passages,
+    pieces,
+    postings,
+    simhash,
+    site_quality,
+    topk,
+    url_filter,
+    vafile,
+    wavelet,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL_TWINS: dict[str, str] = {}
@@ -177,6 +191,68 @@ def passage_dedup(spark, folder):
     return spans.select("doc_id", "first_word", "end_word", (F.col("end_word") - F.col("first_word")).alias("n_words"), "kept_doc_ids")
 
 
+@_query("op11_collocations", r"""
+with docs as (select coalesce(lang, 'und') lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
+pieces as (select lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') w from docs),
+grams as (select lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i : i + size - 1], ' '))) g
+          from pieces, (values (1), (2), (3)) s(size) where len(w) >= size),
+f as materialized (select lang, size, g, count(*) n from grams group by all),
+total as (select lang, cast(sum(n) as bigint) n from f where size = 1 group by lang),
+cand as (select lang, size, g, n a, string_split(g, ' ') w from f where size > 1 and n >= 10),
+longer as (select lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) g, a from cand where size = 3),
+most as (select lang, g, max(a) most from longer group by all),
+kept as (select c.* from cand c left join most m using (lang, g) where c.size = 3 or most is null or 100 * most < 50 * a),
+cuts as (select k.lang, k.g, k.a, c, x.n l, y.n r, (1000000::hugeint * a * a) // (x.n::hugeint * y.n) score
+         from kept k, (values (1), (2)) v(c)
+         join f x on x.lang = k.lang and x.g = array_to_string(k.w[1:c], ' ') and x.size = c
+         join f y on y.lang = k.lang and y.g = array_to_string(k.w[c + 1 :], ' ') and y.size = k.size - c where c < k.size),
+best as (select * from cuts qualify row_number() over (partition by lang, g order by score, c) = 1)
+select lang, cast(row_number() over (partition by lang order by score desc, a desc, encode(g)) as integer) rank, g phrase, a, l, r, n, cast(score as bigint) score
+from best join total using (lang) qualify rank <= 2000
+""")
+def phrase_collocations(spark, folder):
+    """Each language's 2,000 best phrases of two and three words."""
+    return collocations.collocations(_table(spark, folder, "documents").select("lang", "text"))
+
+
+@_query("op12_posting_lists")
+def posting_lists(spark, folder):
+    """Ten nearest vectors found for every hundredth embedding."""
+    rows = postings.usable(_table(spark, folder, "embeddings"))
+    return postings.nearest(rows, rows.where("vec_id % 100 = 0"), k=10)
+
+
+def _rounds_sql(rounds: int) -> str:
+    """K-means rounds as a chain of tables: a_i assigns to c_i, c_(i+1) holds the new centroids."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+d{i} as (select r, k, sum((v.x - c.x) * (v.x - c.x)) d from v join c{i} c using (i) group by r, k),
+a{i} as materialized (select r, arg_min(k, (d, k)) k, min(d) d from d{i} group by r)""")
+        if i < rounds:
+            steps.append(f"""
+c{i + 1} as materialized (select k, i, coalesce(m.x, c.x) x from c{i} c left join
+  (select k, i, cast(floor(sum(x)::hugeint / count(*)) as bigint) x from v join a{i} using (r) group by k, i) m using (k, i))""")
+    return ",".join(steps)
+
+
+@_query("op13_vafile_clusters", f"""
+with e as (select vec_id, embedding, row_number() over (order by vec_id) r from embeddings
+           where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+v as materialized (select r, i, cast(floor(256 * cast(embedding[i] as double)) as bigint) x from e, range(1, 65) t(i)),
+firsts as (select r, row_number() over (order by sha256('2:' || vec_id)) - 1 k from e qualify k < 40),
+c0 as materialized (select k, i, x from v join firsts using (r)),{_rounds_sql(5)},
+own as (select k, cast(sum(d) as bigint) cluster_inertia from a5 group by k),
+names as (select k, sha256(string_agg(x, ',' order by i)) centroid_sha256 from c5 group by k)
+select vec_id, cast(k as integer) as cluster, cast(d as bigint) distance, cluster_inertia,
+  (select cast(sum(d) as bigint) from a5) inertia, centroid_sha256
+from a5 join e using (r) join own using (k) join names using (k)
+""")
+def vafile_clusters(spark, folder):
+    """Cluster of every embedding after five rounds of k-means, with the inertia."""
+    return vafile.clustered(_table(spark, folder, "embeddings"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     SQL_TWINS["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -33,8 +33,9 @@ TOP = 2000
 #: Characters a task counts at once, and characters of text per bucket of edges.
 RUN_CHARS = 8_000_000
 BUCKET_CHARS = 4_000_000
-#: Documents of the sample, and words of it that open or close split nodes.
+#: Documents of the sample, their characters, and words of it that open or close split nodes.
 SAMPLE_DOCS = 500
+SAMPLE_CHARS = 5_000
 HOT_WORDS = 64
 SALTS = 64
 #: Words of a path that are kept in one row.
@@ -49,13 +50,14 @@ def words_of(data: bytes) -> list[bytes]:
     return data.translate(table).replace(b"\n", b" \xff ").split()
 
 
-def hot_words(docs: DataFrame) -> list[bytes]:
-    """The commonest words of SAMPLE_DOCS documents, which only balance the load."""
+def hot_words(docs: DataFrame, rows: int) -> list[bytes]:
+    """The commonest words of up to SAMPLE_DOCS of ``rows`` documents, which only balance the load."""
     from collections import Counter
 
-    some = docs.where("text is not null").select(F.substring(F.col("text").cast("string"), 1, 20_000).alias("text"), F.xxhash64("text").alias("h"))
+    text = F.col("text").cast("string")
+    some = docs.where(text.isNotNull() & (F.pmod(F.xxhash64(text), F.lit(max(1, rows // SAMPLE_DOCS))) == 0))
     counts: Counter = Counter()
-    for row in some.orderBy("h").limit(SAMPLE_DOCS).collect():
+    for row in some.select(F.substring(text, 1, SAMPLE_CHARS).alias("text")).limit(SAMPLE_DOCS).collect():
         counts.update(words_of(row.text.encode()))
     counts.pop(b"\xff", None)
     return sorted(w for w, _ in counts.most_common(HOT_WORDS))
@@ -201,9 +203,9 @@ def merged(sent: DataFrame, min_count: int) -> DataFrame:
 
 def flows(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     """(lang, kind, phrase, next, n): frequent edges (3), nodes (2) and words (1), and all words of a language (0)."""
-    size = docs.agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0
-    buckets = max(16, size // BUCKET_CHARS)
-    parts = merged(parcels(docs, int(buckets), hot_words(docs)), min_count)
+    rows, size = docs.agg(F.count("text"), F.sum(F.length(F.col("text").cast("string")))).first()
+    buckets = max(16, (size or 0) // BUCKET_CHARS)
+    parts = merged(parcels(docs, int(buckets), hot_words(docs, rows)), min_count)
     total = parts.groupBy("lang", "kind", "phrase", "next").agg(F.sum("n").alias("n"))
     summed = total.where((F.col("kind") == 1) | (F.col("n") >= min_count))
     # words of all counts make up a language; rare ones are left out of the table afterwards

@@ -61,7 +61,8 @@ def cell_edges(vectors: DataFrame, components: int, bits: int):
 
     ends = vectors.select("v").mapInArrow(extent, "i int, lo long, hi long").groupBy("i").agg(F.min("lo"), F.max("hi"))
     ends = {i: (lo, hi) for i, lo, hi in ends.collect()}  # a row per component
-    some = np.array([r.v for r in vectors.select("v").orderBy(F.xxhash64("row")).limit(SAMPLE).collect()])
+    share = F.lit(max(1, vectors.count() // SAMPLE))
+    some = np.array([r.v for r in vectors.where(F.pmod(F.xxhash64("row"), share) == 0).select("v").limit(SAMPLE).collect()] or [[lo for _, (lo, _) in sorted(ends.items())]])
     shares = np.arange(1, 2**bits) / 2**bits
     inner = np.ceil(np.quantile(some, shares, axis=0)).astype(np.int64).T
     low, high = (np.array([[ends[i][j]] for i in range(components)]) for j in (0, 1))
@@ -148,8 +149,8 @@ def _nearest(v, centroids):
 def resolved(touched: DataFrame, centroids) -> DataFrame:
     """Fetched rows (row, cells, cluster, now, v) with their new cluster, and the moves of sums.
 
-    Rows with ``row`` are the new state; rows with ``k`` say by how much the count
-    (i = -1) or the sum of component i of centroid k changes.
+    Rows with ``row`` are the new state. Rows with ``k``, one per task and centroid, say
+    by how much the sums of centroid k and, behind them, its count change.
     """
     nearest = _nearest
 
@@ -157,6 +158,9 @@ def resolved(touched: DataFrame, centroids) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        names, void = ["row", "cells", "cluster", "k", "moves"], lambda kind, size: pa.nulls(size, kind)
+        kind = pa.list_(pa.int64())
+        moves = np.zeros((len(centroids), centroids.shape[1] + 1), np.int64)
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -165,25 +169,22 @@ def resolved(touched: DataFrame, centroids) -> DataFrame:
             now, known = batch.column(3).fill_null(-1).to_numpy().copy(), ~np.array(batch.column(3).is_null())
             now[~known] = nearest(v[~known], centroids)[0]
             was = batch.column(2).to_numpy()
-            moves = np.zeros((len(centroids), v.shape[1] + 1), np.int64)
             entered = np.hstack([v, np.ones((n, 1), np.int64)])
             changed = was != now
             np.add.at(moves, now[changed], entered[changed])
             left = changed & (was >= 0)
             np.subtract.at(moves, was[left], entered[left])
-            k, i = np.nonzero(moves)
-            void = lambda kind, size: pa.nulls(size, kind)
-            names = ["row", "cells", "cluster", "k", "i", "move"]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(now.astype(np.int32)), void(pa.int32(), n), void(pa.int32(), n), void(pa.int64(), n)], names=names
+                [batch.column(0), batch.column(1), pa.array(now.astype(np.int32)), void(pa.int32(), n), void(kind, n)], names=names
             )
-            i_or_count = np.where(i == v.shape[1], -1, i).astype(np.int32)
+        k = np.flatnonzero(moves.any(axis=1))
+        if len(k):
             yield pa.RecordBatch.from_arrays(
-                [void(pa.int64(), len(k)), void(pa.binary(), len(k)), void(pa.int32(), len(k)), pa.array(k.astype(np.int32)), pa.array(i_or_count), pa.array(moves[k, i])],
+                [void(pa.int64(), len(k)), void(pa.binary(), len(k)), void(pa.int32(), len(k)), pa.array(k.astype(np.int32)), pa.array(list(moves[k]), kind)],
                 names=names,
             )
 
-    return touched.select("row", "cells", "cluster", "now", "v").mapInArrow(run, "row long, cells binary, cluster int, k int, i int, move long")
+    return touched.select("row", "cells", "cluster", "now", "v").mapInArrow(run, "row long, cells binary, cluster int, k int, moves array<long>")
 
 
 def measured(assigned: DataFrame, centroids) -> DataFrame:
@@ -233,11 +234,10 @@ def clustered(
         told = stored(judged(state, centroids, edges, bits), "judged")
         same = F.col("now").eqNullSafe(F.col("cluster"))
         fetched = stored(resolved(told.where(~same).join(whole.select("row", "v"), "row"), centroids), "fetched")
-        for j, i, move in fetched.where("k is not null").groupBy("k", "i").agg(F.sum("move")).collect():
-            if i < 0:
-                counts[j] += move
-            else:
-                sums[j][i] += move
+        moved = fetched.where("k is not null").groupBy("k").agg(*[F.sum(F.get("moves", F.lit(i))) for i in range(components + 1)])
+        for j, *more, n in moved.collect():  # a row per centroid
+            counts[j] += n
+            sums[j] = [a + b for a, b in zip(sums[j], more)]
         centroids = np.array([[s // n for s in row] if n else list(c) for row, n, c in zip(sums, counts, centroids.tolist())], np.int64)
         state = told.where(same).select("row", "cells", "cluster").unionByName(fetched.where("row is not null").select("row", "cells", "cluster"))
     last = judged(state, centroids, edges, bits).select("row", "now")

@@ -90,7 +90,7 @@ def test_split_nodes_add_up(spark, monkeypatch):
     """A node that holds most edges is dealt over many buckets and still counts once."""
     rows = [(" ".join(f"of the n{(7 * i + j) % 90}" for j in range(40)), "en") for i in range(60)]
     frame = phrase_frame(spark, rows)
-    hot = collocations.hot_words(frame)
+    hot = collocations.hot_words(frame, 60)
     assert b"of" in hot and b"the" in hot
     sent = collocations.parcels(frame, 512, hot)
     assert sent.select("bucket").distinct().count() > 200

@@ -36,7 +36,7 @@ def duplicates(df: DataFrame, keys: list[Column], names: list[str], where: Colum
 
 
 def exclusion(df: DataFrame, key: str, equal: list[str], lo: str, hi: str, width: float) -> DataFrame:
-    """Pairs of rows, equal on some columns, whose [lo, hi) ranges overlap."""
+    """Pairs of rows, equal on some columns, whose [lo, hi) ranges overlap; a NULL bound is infinite."""
     a = df.select(key, *equal, lo, hi)
     b = a.select(*[F.col(c).alias(f"other_{c}") for c in a.columns])
     pairs = overlap_join(a, b, [(c, f"other_{c}") for c in equal], (lo, hi), (f"other_{lo}", f"other_{hi}"), width)

@@ -166,9 +166,11 @@ def import_extraction(d: Data):
     return co.import_table(co.parse_functions(source_files(d)))
 
 
-@query("param_and_return_types", f"SELECT {BX.format('k')} || '.' || m AS name, CASE m WHEN '__init__' THEN 'str' WHEN 'pack' THEN {BX.format('k')} END AS param_type, CASE m WHEN 'pack' THEN 'str' END AS return_type FROM {FILES}, unnest(['__init__', 'pack', 'unpack', 'inner']) u(m) WHERE k % 10 = 0")
+@query("param_and_return_types", f"""
+SELECT name, CASE WHEN name LIKE 'B%.__init__' THEN 'str' WHEN name LIKE 'B%.pack' THEN split_part(name, '.', 1) END AS param_type,
+ CASE WHEN name LIKE 'B%.pack' THEN 'str' END AS return_type FROM {ALL_FUNCTIONS}""")
 def param_and_return_types(d: Data):
-    f = co.parse_functions(source_files(d)).where(F.col("name").startswith("B"))
+    f = co.parse_functions(source_files(d))
     t = F.col("parameter_types")
     return f.select("name", F.coalesce(F.try_element_at(t, F.lit("item")), F.try_element_at(t, F.lit("other"))).alias("param_type"), "return_type")
 
@@ -232,11 +234,13 @@ def context_score(d: Data):
 
 @query("fuzzy_match_join", f"""
 SELECT {FN.format('3*k+2')}[1:12] AS call, {FN.format('3*k+2')} AS target, round(24 / 25.0, 6)::DOUBLE AS ratio FROM {FILES} p WHERE k % 15 = 7 AND k % 50 <> 1
- AND {FN.format('3*k+2')} IN (SELECT name FROM {LAST})""")
+ AND {FN.format('3*k+2')} IN (SELECT name FROM {LAST})
+UNION ALL SELECT {BX.format('k')}, {BX.format('k')} || '.pack', round(22 / 27.0, 6)::DOUBLE FROM {FILES} WHERE k % 10 = 0
+UNION ALL SELECT DISTINCT 'util', 'util_3', 0.8::DOUBLE FROM {FILES} WHERE k % 40 = 3""")
 def fuzzy_match_join(d: Data):
     """Unresolved function calls against all function names, ratio 0.8 or more."""
     f = functions(d)
-    calls = co.call_edges(f).select("call").distinct().where(F.col("call").rlike("^f[0-9a-f]{11}$"))
+    calls = co.call_edges(f).select("call").distinct().join(f.select(F.col("name").alias("call")), "call", "left_anti")
     pairs = sm.ratio_join(calls.withColumnRenamed("call", "name"), f.select("name"), rs.FUZZY_THRESHOLD)
     return pairs.select(F.col("a").alias("call"), F.col("b").alias("target"), F.round("ratio", 6).alias("ratio"))
 

@@ -226,3 +226,30 @@ def ip_range_join(d: Data):
     ip = F.concat_ws(".", *[o.cast("string") for o in octets])
     events = d.events.select("event_id", ip_number(ip).alias("ip"))
     return ip_enrich(events, ranges, "ip", ["country", "lat"]).select("event_id", "country", "lat")
+
+
+# Networks from a /3 to a single address; 4-in-6 addresses and 'fe80::1' fall into none.
+NETWORKS = {
+    "wide": ("2000::", "3fff:ffff:ffff:ffff:ffff:ffff:ffff:ffff"), "one": ("fd00::2a", "fd00::2a"), "local": ("fc00::", "fcff:ffff:ffff:ffff:ffff:ffff:ffff:ffff"),
+    "mapped": ("::ffff:10.0.0.0", "::ffff:10.255.255.255"), "home": ("::1", "::1"),
+}
+
+
+@query("ip6_range_join", """
+SELECT event_id, CASE user_id % 7 WHEN 0 THEN 'wide' WHEN 1 THEN CASE WHEN event_id % 5 = 0 THEN 'one' END WHEN 2 THEN 'local' WHEN 3 THEN 'mapped'
+ WHEN 4 THEN 'home' END AS country FROM events""")
+def ip6_range_join(d: Data):
+    """IPv6 and IPv4 addresses against networks of very different sizes."""
+    from relweave.operators.ranges import ip6_key, ip_enrich
+
+    i, u = F.col("event_id"), F.col("user_id")
+    octets = F.concat_ws(".", F.lit("10"), (i % 256).cast("string"), (u % 256).cast("string"), F.lit("9"))
+    address = (
+        F.when(u % 7 == 0, F.concat(F.element_at(F.array(F.lit("2"), F.lit("3")), (i % 2 + 1).cast("int")), F.lpad(F.lower(F.hex(i % 4096)), 3, "0"), F.lit("::"), F.lower(F.hex(u % 65536))))
+        .when(u % 7 == 1, F.when(i % 5 == 0, F.lit("fd00::2a")).otherwise(F.lit("fd00::2b")))
+        .when(u % 7 == 2, F.concat(F.lit("FC"), F.lpad(F.hex(i % 256), 2, "0"), F.lit("::9:"), F.hex(u % 65536)))
+        .when(u % 7 == 3, octets).when(u % 7 == 4, F.lit("::1")).when(u % 7 == 5, F.lit("not an address"))
+    )
+    nets = d.spark.createDataFrame([(n, *ends) for n, ends in NETWORKS.items()], "country string, a string, b string")
+    nets = nets.select("country", ip6_key("a").alias("lo"), ip6_key("b").alias("hi"))
+    return ip_enrich(d.events.select("event_id", ip6_key(address).alias("ip")), nets, "ip", ["country"]).select("event_id", "country")

@@ -36,16 +36,15 @@ def stream_corpus(d: Data):
 def stream_window_counts(d: Data):
     out, mark = scratch_path(d.spark, "hours"), scratch_path(d.spark, "mark")
     stream = events(d).withColumn("ts", F.col("ts").cast("timestamp"))
-    jobs.keep_batches(jobs.window_counts(stream, "ts", ["event_type"], "1 hour", "40 days"), out, mark)
-    rows = jobs.latest(d.spark, out, ["start", "event_type"])
+    rows = jobs.keep_newest(jobs.window_counts(stream, "ts", ["event_type"], "1 hour", "40 days"), out, mark, ["start", "event_type"])
     return rows.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("stream_calendar_counts", "SELECT date_trunc('month', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_calendar_counts(d: Data):
     out, mark = scratch_path(d.spark, "months"), scratch_path(d.spark, "mark")
-    jobs.keep_batches(jobs.calendar_counts(events(d), "ts", ["event_type"], "month"), out, mark)
-    return jobs.latest(d.spark, out, ["start", "event_type"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    counts = jobs.calendar_counts(events(d), "ts", ["event_type"], "month", "40 days")
+    return jobs.keep_newest(counts, out, mark, ["start", "event_type"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("stream_ttl_store", f"{pw.TTL} SELECT key, value, expires FROM live")
@@ -53,17 +52,17 @@ def stream_ttl_store(d: Data):
     out, mark = scratch_path(d.spark, "store"), scratch_path(d.spark, "mark")
     stream = Data(d.spark, d.folder)
     stream._read["events"] = events(d)
-    jobs.keep_batches(jobs.ttl_updates(pw.operations(stream)), out, mark)
-    rows = jobs.latest(d.spark, out, ["key"]).withColumn("expires", F.col("expires").cast("timestamp_ntz"))
+    updates = jobs.ttl_updates(pw.operations(stream), "40 days")
+    rows = jobs.keep_newest(updates, out, mark, ["key"]).withColumn("expires", F.col("expires").cast("timestamp_ntz"))
     return rows.where(F.col("live") & (F.col("expires").isNull() | (F.col("expires") > ntz("2024-01-29 00:00:00")))).select("key", "value", "expires")
 
 
 @query("stream_upsert", "SELECT user_id, max(ts) AS ts, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1")
 def stream_upsert(d: Data):
     out, mark = scratch_path(d.spark, "table"), scratch_path(d.spark, "mark")
-    body = jobs.upsert_sink(d.spark, out, ["user_id"], ["ts", "value", "event_id"], [-F.unix_micros(F.col("ts").cast("timestamp")), -F.col("event_id")])
-    jobs.each_batch(events(d).select("user_id", "ts", "value", "event_id"), body, mark)
-    return jobs.last_version(d.spark, out).select("user_id", "ts", "value")
+    newest = [-F.unix_micros(F.col("ts").cast("timestamp")), -F.col("event_id")]
+    rows = jobs.keep_newest(events(d).select("user_id", "ts", "value", "event_id"), out, mark, ["user_id"], newest)
+    return rows.select("user_id", "ts", "value")
 
 
 @query("stream_enrichment", "SELECT event_id, c_name, c_mktsegment FROM events LEFT JOIN customer ON user_id = c_custkey")

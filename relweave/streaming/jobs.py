@@ -33,21 +33,6 @@ def each_batch(stream: DataFrame, fn: Callable[[DataFrame, int], None], checkpoi
     q.outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 
 
-def keep_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> None:
-    """Each micro-batch in its own folder; a repeated batch overwrites itself."""
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    each_batch(stream, write, checkpoint, mode)
-
-
-def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Last value per key over the batches kept."""
-    rows = spark.read.parquet(path)
-    rest = [c for c in rows.columns if c not in (*keys, "batch")]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
-
-
 def parsed_functions(files: DataFrame) -> DataFrame:
     """Functions of new or changed source files, with the file's version."""
     named = files.withColumn("path", F.concat_ws("\u0001", F.col("version").cast("string"), F.col("path")))
@@ -62,9 +47,11 @@ def window_counts(stream: DataFrame, ts: str, keys: list[str], every: str, late:
     return stream.withWatermark(ts, late).groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *keys, "n")
 
 
-def calendar_counts(stream: DataFrame, ts: str, keys: list[str], unit: str) -> DataFrame:
-    """Counts per month, quarter or year (update mode; few groups)."""
-    return stream.groupBy(F.date_trunc(unit, ts).alias("start"), *keys).agg(F.count("*").alias("n"))
+def calendar_counts(stream: DataFrame, ts: str, keys: list[str], unit: str, late: str) -> DataFrame:
+    """Counts per month, quarter or year. The watermark is on the start of the unit,
+    so a unit's state is dropped once rows of units ``late`` behind can't come."""
+    start = F.date_trunc(unit, ts).cast("timestamp")
+    return stream.withColumn("start", start).withWatermark("start", late).groupBy("start", *keys).agg(F.count("*").alias("n"))
 
 
 STORE_STATE = "w_at timestamp, w_seq bigint, op string, value double, timeout int, t_at timestamp, t_seq bigint, t_timeout int"
@@ -73,11 +60,20 @@ STORE_OUT = "key string, value double, expires timestamp, live boolean"
 
 def _fold(key, batches, state: GroupState):
     """Latest write and latest touch of a key. Both are maxima, so neither the
-    order nor the grouping of the input matters, and memory stays constant."""
+    order nor the grouping of the input matters, and memory stays constant.
+
+    State ends with the entry: once the watermark passes its expiry, or for deleted
+    keys the deletion, nothing that still may come can change it.
+    """
+    if state.hasTimedOut:
+        state.remove()
+        return
     at = list(state.get) if state.exists else [None] * 8
     whole = lambda x: None if pd.isna(x) else int(x)  # no timeout: never expires
+    passed = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
     for b in batches:
         order = lambda df: df.sort_values(["ts", "seq"]).iloc[-1]
+        b = b[b["ts"] >= passed]
         writes, touches = b[b["op"] != "touch"], b[b["op"] == "touch"]
         if len(writes):
             r = order(writes)
@@ -87,46 +83,83 @@ def _fold(key, batches, state: GroupState):
             r = order(touches)
             if at[5] is None or (r["ts"], r["seq"]) > (at[5], at[6]):
                 at[5:] = [r["ts"].to_pydatetime(), int(r["seq"]), whole(r["timeout"])]
-    state.update(tuple(at))
+    if at[0] is None and at[5] is None:  # late rows only
+        return
     live = at[2] == "set"
     expires = None
     if live:
         touched = at[5] is not None and (at[5], at[6]) > (at[0], at[1])
         since, lasts = (at[5], at[7]) if touched else (at[0], at[4])
         expires = None if lasts is None else since + pd.Timedelta(seconds=lasts)
+    ends = expires if live else max(x for x in (at[0], at[5]) if x is not None)
+    if ends is not None and pd.Timestamp(ends) <= passed:
+        if state.exists:
+            state.remove()
+    else:
+        state.update(tuple(at))
+        if ends is not None:
+            state.setTimeoutTimestamp(max(int(pd.Timestamp(ends).timestamp() * 1000), state.getCurrentWatermarkMs()) + 1)
     yield pd.DataFrame({"key": [key[0]], "value": [at[3] if live else None], "expires": [pd.NaT if expires is None else pd.Timestamp(expires)], "live": [live]})
 
 
-def ttl_updates(ops: DataFrame) -> DataFrame:
+def ttl_updates(ops: DataFrame, late: str) -> DataFrame:
     """Current entry of each key touched in a micro-batch. ``ops`` as in the
-    batch store: key, op, value, ts, timeout, seq."""
+    batch store: key, op, value, ts, timeout, seq.
+
+    Rows more than ``late`` behind are dropped, and the state of an entry leaves when
+    the watermark passes its end. Within ``late`` the result is the batch store's; a
+    touch that comes after its entry has left starts nothing.
+    """
     typed = ops.select("key", "op", F.col("value").cast("double").alias("value"), F.col("ts").cast("timestamp").alias("ts"), F.col("timeout").cast("int").alias("timeout"), F.col("seq").cast("bigint").alias("seq"))
-    return typed.groupBy("key").applyInPandasWithState(_fold, STORE_OUT, STORE_STATE, "update", GroupStateTimeout.NoTimeout)
+    return typed.withWatermark("ts", late).groupBy("key").applyInPandasWithState(_fold, STORE_OUT, STORE_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+BUCKET = "bucket"
 
 
-def upsert_sink(spark: SparkSession, path: str, keys: list[str], fields: list[str], order: list[Column]):
-    """foreachBatch body: upserts each micro-batch into a versioned table. The
-    version number is the batch number, so a repeated batch gives the same table.
+def bucketed_upsert(spark: SparkSession, path: str, keys: list[str], order: list[Column] | None = None, buckets: int = 64):
+    """foreachBatch body: upserts micro-batches into a Parquet folder, of which each
+    batch reads and rewrites the key buckets it touches and no others.
 
-    A row only replaces one that comes behind it by ``order``, so late rows of a
-    later batch do no harm. ``fields`` must hold the columns ``order`` reads.
+    A row replaces one that comes behind it by ``order``, so late rows do no harm;
+    without ``order`` a later batch replaces earlier ones. A batch is first written
+    aside, whole; then its buckets take the place of the old ones. A batch run again
+    finds what it has written and only puts it in place once more. ``buckets`` stays
+    as it is for the life of the table.
     """
+    table, aside = f"{path}/table", f"{path}/aside"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    there = lambda p: hadoop(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop(p))
+
     def write(batch: DataFrame, number: int) -> None:
-        new = wr.first_per_key(batch, keys, order)
-        if number:
-            old = spark.read.parquet(f"{path}/v={number - 1}")
-            both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
-            ahead = wr.first_per_key(both, keys, [*order, F.col("__new")]).where("__new = 1").drop("__new")
-            new = wr.upsert(old, ahead, keys, fields)
-        new.write.mode("overwrite").parquet(f"{path}/v={number}")
+        bucket = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets)).cast("int")
+        staged = f"{aside}/batch={number}"
+        if not there(f"{staged}/_SUCCESS"):
+            rows = batch.withColumn(BUCKET, bucket).withColumn("__new", F.lit(1))
+            if there(table):
+                touched = [r[0] for r in rows.select(BUCKET).distinct().collect()]  # at most ``buckets`` numbers
+                old = spark.read.schema(rows.drop("__new").schema).parquet(table).where(F.col(BUCKET).isin(touched))
+                rows = rows.unionByName(old.withColumn("__new", F.lit(0)))
+            newest = [*(order or []), -F.col("__new")]
+            merged = wr.first_per_key(rows, keys, newest).drop("__new")
+            merged.repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(staged)
+        done = spark.read.schema(batch.withColumn(BUCKET, bucket).schema).parquet(staged)
+        writer = done.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(BUCKET).parquet(table)
+        earlier = hadoop(f"{aside}/batch={number - 2}")  # Spark runs no batch again before the last one
+        earlier.getFileSystem(spark._jsc.hadoopConfiguration()).delete(earlier, True)
 
     return write
 
 
-def last_version(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.parquet(path)
-    top = rows.agg(F.max("v").alias("v"))
-    return rows.join(top, "v", "left_semi").drop("v")
+def bucketed_table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/table").drop(BUCKET)
+
+
+def keep_newest(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """Runs a stream of updates into a bucketed table and reads it."""
+    each_batch(stream, bucketed_upsert(stream.sparkSession, path, keys, order), checkpoint)
+    return bucketed_table(stream.sparkSession, path)
 
 
 def enriched(stream: DataFrame, table: DataFrame, column: str, key: str, how: str = "left") -> DataFrame:

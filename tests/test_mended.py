@@ -84,21 +84,24 @@ def test_exclude_by_several_children(spark):
 def test_late_rows_do_not_overwrite(spark):
     path = scratch_path(spark, "late")
     order = [-F.col("ts"), -F.col("id")]
-    body = jobs.upsert_sink(spark, path, ["k"], ["ts", "id", "val"], order)
+    body = jobs.bucketed_upsert(spark, path, ["k"], order)
     batches = [[("a", 5, 1, "new"), ("b", 1, 1, "b1")], [("a", 3, 2, "late"), ("b", 2, 2, "b2"), ("c", 1, 1, "c1")], [("a", 5, 0, "tie"), ("c", 1, 2, "c2")]]
     for n, rows in enumerate(batches):
         body(spark.createDataFrame(rows, "k string, ts long, id long, val string"), n)
     body(spark.createDataFrame(batches[2], "k string, ts long, id long, val string"), 2)  # a batch run again
-    assert {r.k: r.val for r in jobs.last_version(spark, path).collect()} == {"a": "new", "b": "b2", "c": "c2"}
+    assert {r.k: r.val for r in jobs.bucketed_table(spark, path).collect()} == {"a": "new", "b": "b2", "c": "c2"}
 
 
 def test_entry_without_timeout():
     class State:
-        exists, kept = False, None
+        exists, kept, hasTimedOut = False, None, False
 
         def update(self, value):
             self.kept = value
 
+        def getCurrentWatermarkMs(self):
+            return 0
+
     at = pd.Timestamp("2024-01-01")
     batch = pd.DataFrame({"op": ["set", "touch"], "value": [1.5, None], "ts": [at, at + pd.Timedelta(1, "s")], "timeout": [10, None], "seq": [1, 2]})
     state = State()

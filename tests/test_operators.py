@@ -171,7 +171,7 @@ def test_ip(spark):
     assert [r[0] for r in df.select(ro.ip_number(F.col("ip"))).collect()] == [0x01020304, None, None, None]
     six = spark.createDataFrame([("2001:db8::1",), ("::1",)], "ip string").withColumn("ip", ro.ip6_key(F.col("ip")))
     nets = spark.createDataFrame([("20010db8" + "0" * 24, "20010db8" + "f" * 24, "X")], "lo string, hi string, country string")
-    assert sorted(str(r.country) for r in ro.ip6_enrich(six, nets, "ip", ["country"]).collect()) == ["None", "X"]
+    assert sorted(str(r.country) for r in ro.ip_enrich(six, nets, "ip", ["country"]).collect()) == ["None", "X"]
 
 
 def test_nearest_brute(spark):
@@ -349,10 +349,9 @@ def test_streams_in_small_batches(spark, data, tmp_path):
     ops = pw.operations(data)
     ops.repartition(4).write.parquet(src)
     stream = jobs.file_stream(spark, src, ops, 1)
-    jobs.keep_batches(jobs.ttl_updates(stream), str(tmp_path / "out"), str(tmp_path / "c1"))
-    live = jobs.latest(spark, str(tmp_path / "out"), ["key"]).withColumn("expires", F.col("expires").cast("timestamp_ntz"))
+    rows = jobs.keep_newest(jobs.ttl_updates(stream, "60 days"), str(tmp_path / "out"), str(tmp_path / "c1"), ["key"])
+    live = rows.withColumn("expires", F.col("expires").cast("timestamp_ntz"))
     live = live.where(F.col("live") & (F.col("expires") > ntz("2024-01-29 00:00:00"))).select("key", "value", "expires")
     assert sorted(map(tuple, live.collect())) == sorted(map(tuple, wr.ttl_state(ops, ntz("2024-01-29 00:00:00")).collect()))
-    body = jobs.upsert_sink(spark, str(tmp_path / "t"), ["key"], ["value"], [F.col("seq")])
-    jobs.each_batch(jobs.file_stream(spark, src, ops, 1).select("key", "value", "seq"), body, str(tmp_path / "c2"))
-    assert jobs.last_version(spark, str(tmp_path / "t")).count() == ops.select("key").distinct().count()
+    table = jobs.keep_newest(jobs.file_stream(spark, src, ops, 1).select("key", "value", "seq"), str(tmp_path / "t"), str(tmp_path / "c2"), ["key"], [F.col("seq")])
+    assert table.count() == ops.select("key").distinct().count()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 
@@ -106,21 +107,45 @@ def linked_in_buckets(members: DataFrame, verify, crowded=None) -> DataFrame:
     different components. So a bucket of copies costs one row each, and pairs left
     out are connected already. ``crowded`` may find the similar pairs of different
     roots in another exact way, from the (id, root) of all members of buckets over
-    CROWD.
+    CROWD; before it does, such buckets meet further members, one a round, as long
+    as a round settles a fifth of what was open.
     """
     pivot = members.groupBy("key").agg(F.max(F.struct("weight", "id"))["id"].alias("b"))
     star = settled(verify(members.select("key", F.col("id").alias("a")).join(pivot, "key").where("a != b").select("a", "b")))
     roots = components(star)
     named = members.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo < hi")
-    open_rows = settled(named.join(mixed.select("key", "k"), "key"))
+    open_rows = settled(_open(named))
     few = open_rows if crowded is None else open_rows.where(F.col("k") <= CROWD)
     left = few.select("key", F.col("id").alias("a"), F.col("root").alias("ra"))
     right = few.select("key", F.col("id").alias("b"), F.col("root").alias("rb"))
     links = star.unionByName(verify(left.join(right, "key").where("ra < rb").select("a", "b")))
     if crowded is None:
         return links
-    return links.unionByName(crowded(open_rows.where(F.col("k") > CROWD).select("id", "root").distinct()))
+    crowd = open_rows.where(F.col("k") > CROWD).drop("k")
+    waiting, turn = crowd.count(), 0
+    while waiting:
+        turn += 1
+        # any member serves: one of a large component comes up most often
+        lead = crowd.groupBy("key").agg(F.max(F.struct(F.xxhash64("id", F.lit(turn)), "id", "root")).alias("p"))
+        apart = crowd.join(lead, "key").where("root != p.root").select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
+        met = settled(verify(apart))
+        links = links.unionByName(met)
+        of = lambda name: crowd.select(F.col("id").alias(name), F.col("root").alias(f"r{name}")).distinct()
+        joined = met.join(of("a"), "a").join(of("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        lifted = components(joined).select(F.col("node").alias("old"), F.col("root").alias("new"))
+        moved = crowd.join(lifted, F.col("root") == F.col("old"), "left").select("key", "id", F.coalesce("new", "root").alias("root"))
+        crowd = settled(_open(moved).drop("k"))
+        now = crowd.count()
+        if now > 0.8 * waiting:
+            break
+        waiting = now
+    return links.unionByName(crowded(crowd.select("id", "root").distinct()))
+
+
+def _open(named: DataFrame) -> DataFrame:
+    """Rows (key, id, root) of the buckets with several roots, with their size ``k``."""
+    mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo < hi")
+    return named.join(mixed.select("key", "k"), "key")
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -130,6 +155,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes ``stored`` tables that no later plan reads, and lets the driver drop its
+    plans, so that the shuffle files behind them go as well. Results derived from the
+    tables must be stored before."""
+    spark = tables[0].sparkSession
+    for path in {file.rsplit("/", 1)[0] for table in tables for file in table.inputFiles()}:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def wider(df: DataFrame, **types: str) -> StructType:
     """Schema of ``df`` with further columns behind, leaving the frame's own alone."""
     more = StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in types.items()))

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from relweave.llm.common import components, linked_in_buckets, settled, stored
+from relweave.llm.common import components, discard, linked_in_buckets, settled, stored
 
 SHINGLE = 5
 MIN_WORDS = 20
@@ -221,11 +221,21 @@ def similar_in_crowd(rows: DataFrame) -> DataFrame:
     return met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
 
+def _with_text(docs: DataFrame, asked: DataFrame, columns: list[str]) -> DataFrame:
+    """(text, asked): each distinct text with its rows of ``asked`` (doc_id, tag, ...) as structs."""
+    texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.crc32(F.col("text").cast("binary")).alias("tag"), F.col("text").cast("string").alias("text")
+    )
+    lists = asked.groupBy("doc_id", "tag").agg(F.collect_list(F.struct(*columns)).alias("asked"))
+    once = texts.join(lists.select("doc_id", "tag"), ["doc_id", "tag"], "left_semi").dropDuplicates(["doc_id", "tag"])
+    return once.join(lists, ["doc_id", "tag"]).select("text", "asked", "doc_id", "tag")
+
+
 def surroundings(docs: DataFrame, cuts: DataFrame) -> DataFrame:
-    """(doc_id, tag, first, left, side, cls, words) of each cut (h, doc_id, tag, first) and side.
+    """(doc_id, tag, first, left, side, cls, size) of each cut (h, doc_id, tag, first) and side.
 
-    ``words`` hashes the up to WINNOW - 1 words beside the passage, nearest first;
-    ``side`` stands for the passage and the side, ``cls`` for these and the words.
+    ``side`` stands for the passage and the side, ``cls`` for these and the up to
+    WINNOW - 1 words beside the passage; ``size`` counts these words.
     """
     span, reach = PASSAGE_WORDS, WINNOW - 1
 
@@ -235,64 +245,90 @@ def surroundings(docs: DataFrame, cuts: DataFrame) -> DataFrame:
         import xxhash
 
         digest, signed = xxhash.xxh64_intdigest, lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-        kinds = pa.list_(pa.int32())
 
         def table(rows):
-            docs, tags, firsts, lefts, sides, classes, words = zip(*rows)
+            docs, tags, firsts, lefts, sides, classes, sizes = zip(*rows)
             return pa.RecordBatch.from_arrays(
                 [pa.array(docs, pa.int64()), pa.array(tags, pa.int64()), pa.array(firsts, pa.int32()), pa.array(lefts, pa.bool_()),
-                 signed(sides), signed(classes), pa.array(words, kinds)],
-                names=["doc_id", "tag", "first", "left", "side", "cls", "words"],
+                 signed(sides), signed(classes), pa.array(sizes, pa.int32())],
+                names=["doc_id", "tag", "first", "left", "side", "cls", "size"],
             )
 
         for batch in batches:
             rows = []
-            for doc, tag, text, cuts in zip(*(batch.column(i) for i in range(4))):
+            for text, cuts, doc, tag in zip(*(batch.column(i) for i in range(4))):
                 doc, tag = doc.as_py(), tag.as_py()
-                parts = text.as_py().encode().split()
-                hashes = (np.fromiter(map(digest, parts), np.uint64, len(parts)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                words = text.as_py().encode().split()
                 for c in cuts.as_py():
                     at, h = c["first"], c["h"].to_bytes(8, "little", signed=True)
                     for left in (False, True):
-                        beside = hashes[max(0, at - reach) : at][::-1] if left else hashes[at + span : at + span + reach]
-                        rows.append((doc, tag, at, left, digest(h, left), digest(h + beside.tobytes(), left), beside))
+                        beside = words[max(0, at - reach) : at][::-1] if left else words[at + span : at + span + reach]
+                        rows.append((doc, tag, at, left, digest(h, left), digest(h + b" ".join(beside), left), len(beside)))
                 if len(rows) > 20_000:
                     yield table(rows)
                     rows = []
             if rows:
                 yield table(rows)
 
-    texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.crc32(F.col("text").cast("binary")).alias("tag"), F.col("text").cast("string").alias("text")
-    )
-    lists = cuts.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first", "h")).alias("cuts"))
-    once = texts.join(lists.select("doc_id", "tag"), ["doc_id", "tag"], "left_semi").dropDuplicates(["doc_id", "tag"])
-    joined = once.join(lists, ["doc_id", "tag"]).select("doc_id", "tag", "text", "cuts")
-    return joined.mapInArrow(run, "doc_id long, tag long, first int, left boolean, side long, cls long, words array<int>")
+    joined = _with_text(docs, cuts, ["first", "h"])
+    return joined.mapInArrow(run, "doc_id long, tag long, first int, left boolean, side long, cls long, size int")
+
+
+def beginnings(docs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(cls, least, j, key): the first j words beside each seed's passage, for each j.
+
+    ``seeds`` has (doc_id, tag, first, left, side, cls), one row per class.
+    """
+    span, reach = PASSAGE_WORDS, WINNOW - 1
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
+
+        for batch in batches:
+            out = [], [], [], []
+            for text, asked, doc in zip(*(batch.column(i) for i in range(3))):
+                doc, words = doc.as_py(), text.as_py().encode().split()
+                for s in asked.as_py():
+                    at = s["first"]
+                    beside = words[max(0, at - reach) : at][::-1] if s["left"] else words[at + span : at + span + reach]
+                    running = xxhash.xxh64(s["side"].to_bytes(8, "little", signed=True))
+                    for j, word in enumerate(beside, 1):
+                        running.update(word + b" ")
+                        out[0].append(s["cls"]), out[1].append(doc), out[2].append(j), out[3].append(running.intdigest())
+            if out[0]:
+                keys = pa.array(np.array(out[3], np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), keys], names=["cls", "least", "j", "key"])
+
+    return _with_text(docs, seeds, ["first", "left", "side", "cls"]).mapInArrow(run, "cls long, least long, j int, key long")
 
 
 def extensions(docs: DataFrame, cuts: DataFrame) -> DataFrame:
     """(doc_id, tag, first, n, kept_doc_id): cuts with what equals a document of smaller id beside them.
 
-    Cuts with equal surroundings are one class, which its least document keeps; it
-    meets the other classes of its passage by the hashes of all its beginnings.
+    Cuts with equal surroundings are one class, which its least document keeps; where
+    a passage has several classes, one member of each has its words fetched and meets
+    the others by the hashes of all its beginnings.
     """
     sides = stored(surroundings(docs, cuts), "sides")
     least = stored(sides.groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("side").alias("side")), "classes")
     mixed = least.groupBy("side").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("side")
     open_classes = least.join(mixed, "side").select("cls", "least")
-    seeds = sides.join(open_classes, "cls").where("doc_id = least").select("cls", "side", "least", "words").dropDuplicates(["cls"])
-    steps = seeds.select("cls", "side", "least", "words", F.posexplode("words").alias("j", "w"))
-    steps = stored(steps.select("cls", "least", (F.col("j") + 1).alias("j"), F.xxhash64("side", F.slice("words", F.lit(1), F.col("j") + 1)).alias("key")), "steps")
+    place = F.min(F.struct("tag", "first", "left", "side")).alias("p")
+    seeds = sides.join(open_classes, "cls").where("doc_id = least").groupBy("cls", "doc_id").agg(place)
+    steps = stored(beginnings(docs, seeds.select("doc_id", "p.tag", "p.first", "p.left", "p.side", "cls")), "steps")
     met = steps.groupBy("key").agg(F.min("least").alias("lo"), F.max("least").alias("hi")).where("lo < hi").drop("hi")
     reached = steps.join(met, "key").where("lo < least").groupBy("cls").agg(F.max("j").alias("j"), F.max_by("lo", "j").alias("lo"))
-    told = sides.drop("side").withColumn("size", F.size("words")).drop("words").join(least.drop("side").join(reached, "cls", "left"), "cls")
+    told = sides.drop("side").join(least.drop("side").join(reached, "cls", "left"), "cls")
     copy = F.col("doc_id") > F.col("least")
     more = told.withColumn("more", F.when(copy, F.col("size")).otherwise(F.col("j"))).where("more > 0")
-    return more.select(
+    out = stored(more.select(
         "doc_id", "tag", F.when(F.col("left"), F.col("first") - F.col("more")).otherwise(F.col("first")).alias("first"),
         (F.col("more") + PASSAGE_WORDS).alias("n"), F.when(copy, F.col("least")).otherwise(F.col("lo")).alias("kept_doc_id"),
-    )
+    ), "spans")
+    discard(sides, least, steps)
+    return out
 
 
 def repeated(docs: DataFrame) -> DataFrame:
@@ -305,7 +341,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     shared_cuts = stored(cut.join(owners, "h").distinct(), "cuts")
     tag, first = F.shiftrightunsigned("place", 32).alias("tag"), F.expr("cast(place & 4294967295 as int)").alias("first")
     exact = shared_cuts.where("doc_id != kept_doc_id").select("doc_id", tag, first, F.lit(PASSAGE_WORDS).alias("n"), "kept_doc_id")
-    exact = exact.unionByName(extensions(docs, shared_cuts.select("h", "doc_id", tag, first)))
+    exact = stored(exact.unionByName(extensions(docs, shared_cuts.select("h", "doc_id", tag, first))), "exact")
+    discard(shared_cuts)
 
     lines = all_units.where("shingles is not null").withColumnRenamed("h", "id")
     index = banded(lines.select("id", "shingles"))

@@ -98,12 +98,13 @@ def _dated_lists(pages: DataFrame) -> DataFrame:
 with captures as (
   select page_id, url, cast(date '2024-01-01' + cast(page_id % 720 as integer) as date) fetched,
     nullif(lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.$', '')), '') host,
-    regexp_extract(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '^/([^/]+)/', 1) seg from pages),
+    string_split(coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), ''), '/'), '/') parts from pages),
 labels as (select *, string_split(host, '.') l from captures where host is not null),
 asked as (
   select page_id, fetched, array_to_string(l[len(l) - n + 1 :], '.') pattern
   from (select *, unnest(range(greatest(1, least(2, len(l))), len(l) + 1)) n from labels)
-  union all select page_id, fetched, host || '/' || seg || '/' from labels where seg <> ''),
+  union select page_id, fetched, host || array_to_string(parts[1:n], '/') || '/' from (select *, unnest(range(2, len(parts))) n from labels)
+  union select page_id, fetched, host || array_to_string(parts, '/') from labels where parts[-1] <> ''),
 keyed as (select pattern, cast('0x' || substr(md5(pattern), 1, 6) as integer) m from (select distinct pattern from asked)),
 events as (
   select 'spam' list, 'block' verdict, pattern, m % 365 d, 'add' a from keyed where m % 3 = 0

@@ -165,7 +165,7 @@ def test_top_k_quantises_and_skips(spark):
 
 
 def test_html_cases():
-    take = lambda page: html_text.text_under(html_text.parse(page), [])
+    take = lambda page: html_text.text_under(html_text.parse(page), {})
     assert take(None) == take("") == take("<!-- <p>x") == take("<script>var a = '<p>x</p>'</script>") == ""
     page = """<html><head><title>t</title></head><body><header>top</header><nav>menu</nav><div class="cookie-notice">ok?</div>
     <article class="post-12"><h1>Head &amp; tail</h1><p>One <b>two</b>\n three&nbsp;four<br>five<p>6 &lt; 7<script>if (a<b) x()</script>
@@ -191,6 +191,43 @@ def test_html_host_consensus(spark):
     assert html_text.extracted(pages.limit(0)).count() == 0
 
 
+LONG = "Plain words of a story that goes on for a while and says a few things, one after the other. " * 4
+
+
+@pytest.mark.parametrize("page, text", [
+    (f'<body><div class="menu">a b c</div><article class="post hentry comments-open"><p>{LONG}</p></article>', LONG.strip()),
+    (f'<body><main class="content has-sidebar"><p>{LONG}</p></main><div class="sidebar"><p>side</p></div>', LONG.strip()),
+    (f'<body><div class="re-search story"><p>{LONG}</p></div>', LONG.strip()),
+    (f'<body><article id="widget-notice-42"><p>{LONG}</p></article>', LONG.strip()),
+    (f'<body><div id="widget-notice-42"><p>{LONG}</p></div><div class="x"><p>small</p></div>', LONG.strip()),
+    (f'<body><div class="wrap no-sidebar"><p>{LONG}</p></div><div><p>neighbour text</p></div>', LONG.strip()),
+    (f'<body><div class="ad-free"><p>{LONG}</p></div><div class="related-posts"><p>{LONG[:90]}</p></div>', LONG.strip()),
+    ("<p>see the <span class='search-term'>key</span> word", "see the key word"),
+    ("<p>an <em class='related'>odd</em> case", "an odd case"),
+    ("<div><p>one <script>var x = 1</script>two <svg><path d='M0'/></svg>three <noscript>no</noscript>four <button>b</button>five</p></div>", "one two three four five"),
+    (f"<body><article><h1>{LONG[:60]}</h1><div class=intro><p>{LONG}</p></div><div class=body><p>{LONG}</p><p>{LONG}</p></div></article>",
+     "\n".join([LONG[:60].strip(), LONG.strip(), LONG.strip(), LONG.strip()])),
+    (f"<body><div class=post><h1>Title</h1><div class=intro><p>{LONG}</p></div><div class=body><p>{LONG}</p><p>{LONG}</p></div></div><footer>f</footer>",
+     "\n".join(["Title", LONG.strip(), LONG.strip(), LONG.strip()])),
+    (f"<body><header>site</header><article><header><h1>Own title</h1></header><p>{LONG}</p><footer>tags</footer></article>", f"Own title\n{LONG.strip()}"),
+    (f"<body><form action='/'><div class=page><p>{LONG}</p></div></form>", LONG.strip()),
+    (f"<body><div class='story'><p>{LONG}</p><div class='cookie-notice'>We use cookies</div><ul class='share-buttons'><li>mail</li></ul></div>", LONG.strip()),
+])
+def test_html_names_and_parts(page, text):
+    assert html_text.text_under(html_text.parse(page), {}) == text
+
+
+@pytest.mark.parametrize("templates", [2, 7])
+def test_html_templates_of_one_host(spark, templates):
+    """Every template has its own container; the others' containers hold a teaser on each page."""
+    rows = []
+    for i in range(12 * templates):
+        boxes = [f"<div class='t{chr(97 + j)}'><p>{LONG * 3 if j == i % templates else f'teaser {i}'}</p></div>" for j in range(templates)]
+        rows.append((i, "https://h.example/", "<body>" + "".join(boxes)))
+    got = html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.t_text for r in got} == {(LONG * 3).strip()} and len(got) == len(rows)
+
+
 def test_html_articles(spark):
     """Whole test pages: the article's blocks, found with plain patterns."""
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
@@ -225,6 +262,28 @@ def test_url_lists(spark):
     assert url_filter.verdicts(frame.limit(0).withColumn("fetched", F.to_date("fetched")), lists.limit(0)).count() == 0
 
 
+def test_url_patterns_of_any_depth(spark):
+    urls = ["https://a.b.example.com/x/y/page.html?q=1#f", "http://h.example/x/y/", "http://h.example", "http://h.example/page", "http://h.example//x//", None]
+    rows = spark.createDataFrame([(u,) for u in urls], "url string").select(url_filter.patterns_of(F.col("url"))).collect()
+    a, h = "a.b.example.com", "h.example"
+    assert [r[0] for r in rows] == [
+        ["example.com", "b.example.com", a, f"{a}/x/", f"{a}/x/y/", f"{a}/x/y/page.html"], [h, f"{h}/x/", f"{h}/x/y/"], [h], [h, f"{h}/page"],
+        [h, f"{h}//", f"{h}//x/", f"{h}//x//"], [],
+    ]
+    lists = spark.createDataFrame(
+        [("l", "block", p, "2024-01-01", "add") for p in ("example.com/a/b/", "example.com/a/page.html", "example.com", "example.com")],
+        "list string, verdict string, pattern string, dated string, action string",
+    ).withColumn("dated", F.to_date("dated"))
+    captures = [(1, "http://example.com/a/b/c/d", "2024-02-01"), (2, "http://example.com/a/page.html", "2024-02-01"), (3, "http://example.com/a/", "2024-02-01")]
+    captures += [(1, "http://example.com/a/b/c/d", "2024-02-01"), (1, "http://example.com/", "2023-01-01"), (None, "http://example.com/", "2024-02-01")]
+    frame = spark.createDataFrame(captures, "capture_id long, url string, fetched string").withColumn("fetched", F.to_date("fetched"))
+    got = sorted(((r.capture_id or 0), str(r.fetched), r.n_active, r.matched) for r in url_filter.verdicts(frame, lists).collect())
+    assert got == [
+        (0, "2024-02-01", 1, "l:example.com"), (1, "2023-01-01", 0, ""), (1, "2024-02-01", 2, "l:example.com/a/b/"), (1, "2024-02-01", 2, "l:example.com/a/b/"),
+        (2, "2024-02-01", 2, "l:example.com/a/page.html"), (3, "2024-02-01", 1, "l:example.com"),
+    ]
+
+
 # ---------------------------------------------------------------- 5 SimHash
 
 

@@ -34,8 +34,10 @@ END_ID = 0
 MAGIC = b"WVMX1\0"
 #: Bits per entry of the rank directory.
 BLOCK = 4096
-#: Units a worker keeps from then on; later ones are learnt batch by batch.
-KEEP_UNITS = 400_000
+#: Marks that may close a word.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Units a worker keeps; beyond, those of a run are learnt for the run alone.
+KEEP_UNITS = 600_000
 
 
 class TextEncoder:
@@ -58,7 +60,13 @@ class TextEncoder:
         self.opens = np.array([(self.library.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         self.bits = max(1, (size - 1).bit_length())
         self.kind = np.dtype("<u2" if self.bits <= 16 else "<u4")
+        # the byte-level pattern ends a token between a letter and such marks
+        steps = json.loads(self.library.to_str())
+        self.cuts_marks = steps["normalizer"] is None and (steps["pre_tokenizer"] or {}).get("type") == "ByteLevel" and bool(
+            steps["pre_tokenizer"].get("use_regex", True)
+        )
         self.units: dict[str, bytes | None] = {}
+        self.heads: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         import numpy as np
@@ -66,12 +74,45 @@ class TextEncoder:
         ids = self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
         return np.array(ids, self.kind).tobytes()
 
-    def learn(self, words) -> dict[str, bytes | None]:
-        """Ids of each word behind a space; None if the cut would not be safe."""
+    def learn(self, words: list[str]) -> dict[str, bytes | None]:
+        """Ids of each word behind a space; None if the cut would not be safe.
+
+        Where the vocabulary cuts between a letter and closing marks anyway, letters and
+        marks are learnt apart, once for all words.
+        """
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not self.cuts_marks or not words:
+            return self._learnt(words)
+        every = pa.array(words, pa.string())
+        stems = pc.utf8_rtrim(every, MARKS)
+        lettered = pc.utf8_is_alpha(stems)
+        known = self._learnt(every.filter(pc.invert(lettered)).to_numpy(zero_copy_only=False).tolist())
+        whole = every.filter(lettered)
+        stems = stems.filter(lettered).dictionary_encode()
+        names = stems.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = self._learnt([w for w in names if w not in self.units])
+        ids = [found[w] if w in found else self.units[w] for w in names]
+        marks = pc.utf8_slice_codeunits(whole, 0, 0)
+        size = pc.subtract(pc.utf8_length(whole), pc.utf8_length(stems.cast(pa.string())))
+        for n in pc.unique(size).to_pylist():
+            if n:
+                chosen = pc.equal(size, n)
+                marks = pc.if_else(chosen, pc.utf8_slice_codeunits(whole, -n), marks)
+        marks = marks.dictionary_encode()
+        closing = marks.dictionary.to_pylist()
+        self.open_with([m for m in closing if m])
+        ends = [self.heads[m] if m else b"" for m in closing]
+        pairs = zip(stems.indices.to_numpy().tolist(), marks.indices.to_numpy().tolist())
+        known.update(zip(whole.to_numpy(zero_copy_only=False).tolist(), [ids[i] + ends[j] for i, j in pairs]))
+        return known
+
+    def _learnt(self, words) -> dict[str, bytes | None]:
         import numpy as np
 
-        plain = [w for w in words if w and not (w[0].isspace() or w[-1].isspace())]
-        known: dict[str, bytes | None] = dict.fromkeys(words)
+        plain = [w for w in words if w and w.strip() == w]
+        known: dict[str, bytes | None] = dict.fromkeys(words) if len(plain) < len(words) else {}
         step = self.kind.itemsize
         for at in range(0, len(plain), 4096):
             some = plain[at : at + 4096]
@@ -81,29 +122,58 @@ class TextEncoder:
                 raise ValueError("a token crosses a space")
             data = ids.astype(self.kind).tobytes()
             begins = (cut * step).tolist()
-            known.update({w: data[x:y] for w, x, y in zip(some, begins, [*begins[1:], len(data)])})
+            known.update(zip(some, [data[x:y] for x, y in zip(begins, [*begins[1:], len(data)])]))
         return known
 
+    def open_with(self, heads) -> None:
+        """Learns first words, which have no space before them, in one call of the library."""
+        import numpy as np
+
+        new = list(set(heads).difference(self.heads))
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
+            for head, found in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
+                self.heads[head] = np.array(found.ids, self.kind).tobytes()
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        split = [[""] if self.added.search(t) else t.split(" ") for t in texts]  # no head: whole
-        units = self.units
-        new = self.learn(set().union(*[words[1:] for words in split]).difference(units))
-        if len(units) < KEEP_UNITS:
-            units.update(new)
+        """Ids of each text: its words are numbered by Arrow, each different word is
+        looked up or learnt once, and ids are gathered by word number."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        heads, rests = [], []
+        for text in texts:
+            head, space, rest = text.partition(" ")
+            # without a safe head the text goes to the library whole
+            heads.append(None if not head or head[-1].isspace() or self.added.search(text) else head)
+            rests.append(rest if space and heads[-1] else None)
+        if len(self.heads) > KEEP_UNITS:
+            self.heads.clear()
+        self.open_with([h for h in heads if h])
+        lists = pc.split_pattern(pa.array(rests, pa.string()), " ")
+        numbered = lists.flatten().dictionary_encode()
+        words, number = numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), numbered.indices.to_numpy()
+        new = self.learn([w for w in words if w not in self.units])
+        if len(self.units) < KEEP_UNITS:
+            self.units.update(new)
             new = {}
+        ids = [new[w] if w in new else self.units[w] for w in words]
+        cut = np.array([x is not None for x in ids] or [True])
+        sizes = np.array([len(x) if x else 0 for x in ids] or [0]) // self.kind.itemsize
+        table = np.frombuffer(b"".join([x for x in ids if x]), self.kind)
+        firsts = np.cumsum(sizes) - sizes
+        each = sizes[number]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        tokens = table[np.repeat(firsts[number] - ends[:-1], each) + np.arange(ends[-1])]
+        unsafe = np.concatenate([[0], np.cumsum(~cut[number])])
+        places = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         out = []
-        for text, words in zip(texts, split):
-            head = words[0]
-            try:
-                if not head or head[-1].isspace():
-                    raise TypeError
-                if new:
-                    ids = b"".join([new[w] if w in new else units[w] for w in words[1:]])
-                else:
-                    ids = b"".join([units[w] for w in words[1:]])
-                out.append(self.whole(head) + ids)
-            except TypeError:  # a unit that can't be cut
+        for text, head, a, b in zip(texts, heads, places[:-1].tolist(), places[1:].tolist()):
+            if head is None or unsafe[a] < unsafe[b]:
                 out.append(self.whole(text) if text else b"")
+            else:
+                out.append(self.heads[head] + tokens[ends[a] : ends[b]].tobytes())
         return out
 
 

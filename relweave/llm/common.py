@@ -6,7 +6,7 @@ import gc
 import sys
 import types
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -148,23 +148,29 @@ def _open(named: DataFrame) -> DataFrame:
     return named.join(mixed.select("key", "k"), "key")
 
 
+def let_go(spark: SparkSession) -> None:
+    """Has the driver drop plans nobody holds any more, and with them the shuffle files
+    they left on the executors, which else stay until its memory happens to run low."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again."""
+    """``df`` written as a table in the shared folder and read again; what led to it is let go."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    let_go(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes ``stored`` tables that no later plan reads, and lets the driver drop its
-    plans, so that the shuffle files behind them go as well. Results derived from the
-    tables must be stored before."""
+    """Deletes ``stored`` tables that no later plan reads. Results derived from them must
+    be stored before."""
     spark = tables[0].sparkSession
     for path in {file.rsplit("/", 1)[0] for table in tables for file in table.inputFiles()}:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    gc.collect()
-    spark._jvm.System.gc()
+    let_go(spark)
 
 
 def wider(df: DataFrame, **types: str) -> StructType:

@@ -37,6 +37,8 @@ PASSAGE_WORDS = 20
 WINNOW = 28
 SIMILARITY = 0.8
 RECALL = 0.99
+#: Lengths of surroundings that are tried together.
+BLOCK = 7
 #: Rows of a band: four make chance collisions of half-alike paragraphs rare.
 BAND_ROWS = 4
 
@@ -275,7 +277,7 @@ def surroundings(docs: DataFrame, cuts: DataFrame) -> DataFrame:
 
 
 def beginnings(docs: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(cls, least, j, key): the first j words beside each seed's passage, for each j.
+    """(cls, least, keys): the j-th key hashes the first j words beside the seed's passage.
 
     ``seeds`` has (doc_id, tag, first, left, side, cls), one row per class.
     """
@@ -287,21 +289,47 @@ def beginnings(docs: DataFrame, seeds: DataFrame) -> DataFrame:
         import xxhash
 
         for batch in batches:
-            out = [], [], [], []
+            classes, least, keys, sizes = [], [], [], [0]
             for text, asked, doc in zip(*(batch.column(i) for i in range(3))):
                 doc, words = doc.as_py(), text.as_py().encode().split()
                 for s in asked.as_py():
                     at = s["first"]
                     beside = words[max(0, at - reach) : at][::-1] if s["left"] else words[at + span : at + span + reach]
                     running = xxhash.xxh64(s["side"].to_bytes(8, "little", signed=True))
-                    for j, word in enumerate(beside, 1):
+                    for word in beside:
                         running.update(word + b" ")
-                        out[0].append(s["cls"]), out[1].append(doc), out[2].append(j), out[3].append(running.intdigest())
-            if out[0]:
-                keys = pa.array(np.array(out[3], np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), keys], names=["cls", "least", "j", "key"])
+                        keys.append(running.intdigest())
+                    classes.append(s["cls"]), least.append(doc), sizes.append(len(keys))
+            if classes:
+                values = pa.array(np.array(keys, np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(classes, pa.int64()), pa.array(least, pa.int64()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values)], names=["cls", "least", "keys"]
+                )
 
-    return _with_text(docs, seeds, ["first", "left", "side", "cls"]).mapInArrow(run, "cls long, least long, j int, key long")
+    return _with_text(docs, seeds, ["first", "left", "side", "cls"]).mapInArrow(run, "cls long, least long, keys array<long>")
+
+
+def reached(starts: DataFrame) -> DataFrame:
+    """(cls, j, lo): most words j beside its passage that a class of ``starts`` (cls, least, keys)
+    shares with one of smaller document, and the least such document.
+
+    Sharing j words means sharing fewer, so the first word of each block of lengths is
+    tried first; then lengths inside a block, by the classes that share its first
+    word with one whose answer lies there.
+    """
+    lengths = list(range(0, WINNOW - 1, BLOCK))
+    shared = lambda rows: rows.groupBy("key").agg(F.min("least").alias("lo"), F.max("least").alias("hi")).where("lo < hi").drop("hi")
+    firsts = F.filter(F.transform(F.array(*map(F.lit, lengths)), lambda b: F.struct(b.alias("b"), F.get("keys", b).alias("key"))), lambda x: x["key"].isNotNull())
+    tried = starts.select("cls", "least", F.explode(firsts).alias("x")).select("cls", "least", "x.b", "x.key")
+    met = stored(tried.join(shared(tried), "key"), "met")
+    lies = met.where("lo < least").groupBy("cls").agg(F.max_by("key", "b").alias("key"))
+    blocks = met.join(lies.select("key").distinct(), "key", "left_semi").select("cls", "b")
+    inside = F.posexplode(F.slice("keys", F.col("b") + 1, BLOCK))
+    steps = starts.join(blocks, "cls").select("cls", "least", "b", inside.alias("i", "key"))
+    steps = stored(steps.select("cls", "least", (F.col("b") + F.col("i") + 1).alias("j"), "key"), "steps")
+    found = stored(steps.join(shared(steps), "key").where("lo < least").groupBy("cls").agg(F.max("j").alias("j"), F.max_by("lo", "j").alias("lo")), "reached")
+    discard(met, steps)
+    return found
 
 
 def extensions(docs: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -317,17 +345,17 @@ def extensions(docs: DataFrame, cuts: DataFrame) -> DataFrame:
     open_classes = least.join(mixed, "side").select("cls", "least")
     place = F.min(F.struct("tag", "first", "left", "side")).alias("p")
     seeds = sides.join(open_classes, "cls").where("doc_id = least").groupBy("cls", "doc_id").agg(place)
-    steps = stored(beginnings(docs, seeds.select("doc_id", "p.tag", "p.first", "p.left", "p.side", "cls")), "steps")
-    met = steps.groupBy("key").agg(F.min("least").alias("lo"), F.max("least").alias("hi")).where("lo < hi").drop("hi")
-    reached = steps.join(met, "key").where("lo < least").groupBy("cls").agg(F.max("j").alias("j"), F.max_by("lo", "j").alias("lo"))
-    told = sides.drop("side").join(least.drop("side").join(reached, "cls", "left"), "cls")
+    starts = stored(beginnings(docs, seeds.select("doc_id", "p.tag", "p.first", "p.left", "p.side", "cls")), "starts")
+    common = reached(starts)
+    discard(starts)
+    told = sides.drop("side").join(least.drop("side").join(common, "cls", "left"), "cls")
     copy = F.col("doc_id") > F.col("least")
     more = told.withColumn("more", F.when(copy, F.col("size")).otherwise(F.col("j"))).where("more > 0")
     out = stored(more.select(
         "doc_id", "tag", F.when(F.col("left"), F.col("first") - F.col("more")).otherwise(F.col("first")).alias("first"),
         (F.col("more") + PASSAGE_WORDS).alias("n"), F.when(copy, F.col("least")).otherwise(F.col("lo")).alias("kept_doc_id"),
     ), "spans")
-    discard(sides, least, steps)
+    discard(sides, least, common)
     return out
 
 

@@ -51,49 +51,89 @@ def bands_for(similarity: float = SIMILARITY, recall: float = RECALL, rows: int
     return bands
 
 
-def units(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, first, n, h, shingles) of all passages and paragraphs.
+def _hashing():
+    """Functions of task code, made anew so that they travel with it: (split, shingle, weighted, mixed).
 
-    ``first`` and ``n`` count words; ``h`` hashes the words; shingles is NULL for
-    passages. ``tag`` is the text's CRC.
+    ``split`` gives a text's words and their hashes, ``shingle`` the hashes of all
+    five-word shingles, ``weighted`` the factors of an n-word hash.
     """
-    size, span, near, least = SHINGLE, PASSAGE_WORDS, WINNOW, MIN_WORDS
+    size = SHINGLE
 
-    def run(batches):
+    def mixed(x):
+        import numpy as np
+
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        return x ^ (x >> np.uint64(29))
+
+    def weighted(n):
+        import numpy as np
+
+        with np.errstate(over="ignore"):
+            return np.cumprod(np.full(n, 0x9E3779B97F4A7C15, np.uint64))[::-1].copy()
+
+    def split(data):
         import numpy as np
-        import pyarrow as pa
         import xxhash
 
-        digest = xxhash.xxh64_intdigest
-        odd, even = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+        words = data.split()
+        return words, np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+    def shingle(hashes):
+        import numpy as np
+
+        count, factors = len(hashes) - size + 1, weighted(size)
+        s = np.zeros(count, np.uint64)
+        for i in range(size):
+            s += hashes[i : i + count] * factors[i]
+        return mixed(s)
+
+    return split, shingle, weighted, mixed
 
-        def powers(base, n):
-            with np.errstate(over="ignore"):
-                return np.cumprod(np.full(n, base, np.uint64))[::-1].copy()
 
-        def mixed(x):
-            x = (x ^ (x >> np.uint64(31))) * even
-            return x ^ (x >> np.uint64(29))
+def units(docs: DataFrame) -> DataFrame:
+    """(doc_id, tag, first, n, h, lcls, rcls, lsize, rsize, keys) of all passages and paragraphs.
+
+    ``first`` and ``n`` count words; ``h`` hashes the words; ``tag`` is the text's CRC.
+    A passage has the hashes lcls and rcls of itself with its lsize and rsize, up to
+    WINNOW - 1, words to the left and right, and no keys. A paragraph has one key a band.
+    """
+    span, near, least, reach = PASSAGE_WORDS, WINNOW, MIN_WORDS, WINNOW - 1
+    size, rows_of, bands = SHINGLE, BAND_ROWS, bands_for()
+    split, shingle, weighted, mixed = _hashing()
 
-        p_shingle, p_whole = powers(odd, size), powers(odd, span)
-        offsets = np.arange(span)
-        kinds = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("first", pa.int32()), ("n", pa.int32()),
-                           ("h", pa.int64()), ("shingles", pa.list_(pa.int32()))])
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
 
-        def passages(text):
-            """(first, h) of content-cut passages and (first, n, h, shingles) of paragraphs."""
+        digest = xxhash.xxh64_intdigest
+        p_whole, p_beside = weighted(span), weighted(reach + 1)[:reach]
+        offsets, beside = np.arange(span), np.arange(reach)
+        rng = np.random.default_rng(5)
+        factor = rng.integers(1, 2**63, rows_of * bands, dtype=np.uint64) | np.uint64(1)
+        shift = rng.integers(0, 2**63, rows_of * bands, dtype=np.uint64)
+        kinds = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("h", pa.int64()),
+                           ("lcls", pa.int64()), ("rcls", pa.int64()), ("lsize", pa.int8()), ("rsize", pa.int8()), ("keys", pa.list_(pa.int64()))])
+
+        def around(hashes, at, h):
+            """lcls, rcls, lsize, rsize of the passages at ``at``: words beyond the text count as hash 0."""
+            blank = np.zeros(reach, np.uint64)
+            padded = np.concatenate([blank, hashes, blank])
+            left = padded[at[:, None] + reach - 1 - beside]
+            right = padded[at[:, None] + reach + span + beside]
+            lsize, rsize = np.minimum(at, reach), np.minimum(len(hashes) - at - span, reach)
+            whole = lambda words, n, side: mixed(mixed(h + (words * p_beside).sum(axis=1, dtype=np.uint64)) + n.astype(np.uint64) * np.uint64(2) + np.uint64(side))
+            return whole(left, lsize, 0), whole(right, rsize, 1), lsize, rsize
+
+        def cut(text):
+            """Passages (first, h, lcls, rcls, lsize, rsize) and paragraphs (first, n, h, shingles)."""
             data = text.encode()
-            words = data.split()
+            words, hashes = split(data)
             n = len(words)
             if n < least:
                 return None, []
-            hashes = np.fromiter(map(digest, words), np.uint64, n)
-            count = n - size + 1
-            s = np.zeros(count, np.uint64)
-            for i in range(size):
-                s += hashes[i : i + count] * p_shingle[i]
-            s = mixed(s)
-            found = None
+            s = shingle(hashes)
+            count, found = len(s), None
             if n >= span:
                 if count > near:
                     at = np.lib.stride_tricks.sliding_window_view(s, near).argmin(axis=1) + np.arange(count - near + 1)
@@ -101,94 +141,97 @@ def units(docs: DataFrame) -> DataFrame:
                 else:
                     at = np.array([s.argmin()])
                 at = at[at + span <= n]
-                found = at, mixed((hashes[at[:, None] + offsets] * p_whole).sum(axis=1, dtype=np.uint64))
+                h = mixed((hashes[at[:, None] + offsets] * p_whole).sum(axis=1, dtype=np.uint64))
+                found = at, h, *around(hashes, at, h)
             lines, first = [], 0
             for line in data.split(b"\n"):
                 own = line.split()
                 m = len(own)
                 if m >= least:
-                    whole = b" ".join(own)
-                    lines.append((first, m, digest(whole, 1), np.unique(s[first : first + m - size + 1] >> np.uint64(32))))
+                    lines.append((first, m, digest(b" ".join(own), 1), s[first : first + m - size + 1] >> np.uint64(32)))
                 first += m
             return found, lines
 
-        def table(rows):
-            ids, tags, firsts, sizes, hs, sets, lengths = [], [], [], [], [], [], []
-            for doc, tag, (found, lines) in rows:
-                if found is not None and len(found[0]):
-                    at, whole = found
-                    k = len(at)
-                    ids.append(np.full(k, doc)), tags.append(np.full(k, tag)), firsts.append(at), sizes.append(np.full(k, span))
-                    hs.append(whole), lengths.append(np.zeros(k, np.int64))
-                if lines:
-                    k = len(lines)
-                    ids.append(np.full(k, doc)), tags.append(np.full(k, tag))
-                    firsts.append(np.array([x[0] for x in lines])), sizes.append(np.array([x[1] for x in lines]))
-                    hs.append(np.array([x[2] for x in lines], np.uint64))
-                    sets += [x[3] for x in lines]
-                    lengths.append(np.array([len(x[3]) for x in lines]))
-            if not ids:
-                return None
-            lengths = np.concatenate(lengths)
-            ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-            values = (np.concatenate(sets) if sets else np.zeros(0, np.uint64)).astype(np.uint32).view(np.int32)
-            shingles = pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=pa.array(lengths == 0))
+        def signatures(sets):
+            """Band keys of each paragraph, as one flat list."""
+            values = np.concatenate(sets)
+            starts = np.concatenate([[0], np.cumsum([len(x) for x in sets])[:-1]])
+            keys = np.zeros((bands, len(sets)), np.uint64)
+            for i in range(rows_of * bands):
+                x = values * factor[i] + shift[i]
+                x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+                low = np.minimum.reduceat(x ^ (x >> np.uint64(32)), starts)
+                keys[i // rows_of] = (keys[i // rows_of] ^ low) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i // rows_of)
+            return keys.T.ravel()
+
+        def tables(rows):
+            cuts = [(doc, tag, found) for doc, tag, (found, _) in rows if found is not None and len(found[0])]
             column = lambda x, kind: pa.array(np.concatenate(x).astype(kind))
-            return pa.RecordBatch.from_arrays(
-                [column(ids, np.int64), column(tags, np.int64), column(firsts, np.int32), column(sizes, np.int32),
-                 pa.array(np.concatenate(hs).view(np.int64)), shingles],
-                schema=kinds,
-            )
+            hashed = lambda x: pa.array(np.concatenate(x).view(np.int64))
+            if cuts:
+                sizes = [len(f[0]) for _, _, f in cuts]
+                k, none = sum(sizes), pa.nulls(sum(sizes), kinds.field("keys").type)
+                at, h, lcls, rcls, lsize, rsize = zip(*(f for _, _, f in cuts))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat([d for d, _, _ in cuts], sizes), pa.int64()), pa.array(np.repeat([t for _, t, _ in cuts], sizes), pa.int64()),
+                     column(at, np.int32), pa.array(np.full(k, span, np.int32)), hashed(h), hashed(lcls), hashed(rcls),
+                     column(lsize, np.int8), column(rsize, np.int8), none], schema=kinds)
+            lines = [(doc, tag, *x) for doc, tag, (_, own) in rows for x in own]
+            if lines:
+                docs, tags, firsts, ns, hs, sets = zip(*lines)
+                keys = pa.array(signatures(sets).view(np.int64))
+                ends = pa.array(np.arange(len(lines) + 1) * bands, pa.int32())
+                none, small = pa.nulls(len(lines), pa.int64()), pa.nulls(len(lines), pa.int8())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(docs, pa.int64()), pa.array(tags, pa.int64()), pa.array(firsts, pa.int32()), pa.array(ns, pa.int32()),
+                     pa.array(np.array(hs, np.uint64).view(np.int64)), none, none, small, small, pa.ListArray.from_arrays(ends, keys)], schema=kinds)
 
         for batch in batches:
             rows, chars = [], 0
             for doc, tag, text in zip(batch.column(0), batch.column(1), batch.column(2)):
                 text = text.as_py()
-                rows.append((doc.as_py(), tag.as_py(), passages(text)))
+                rows.append((doc.as_py(), tag.as_py(), cut(text)))
                 chars += len(text)
                 if chars > 2_000_000:
-                    if (out := table(rows)) is not None:
-                        yield out
+                    yield from tables(rows)
                     rows, chars = [], 0
-            if rows and (out := table(rows)) is not None:
-                yield out
+            if rows:
+                yield from tables(rows)
 
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
         F.col("doc_id").cast("long"), F.crc32(F.col("text").cast("binary")).alias("tag"), F.col("text").cast("string").alias("text")
     )
-    return rows.mapInArrow(run, "doc_id long, tag long, first int, n int, h long, shingles array<int>")
+    return rows.mapInArrow(run, "doc_id long, tag long, first int, n int, h long, lcls long, rcls long, lsize byte, rsize byte, keys array<long>")
 
 
-def banded(paragraphs: DataFrame) -> DataFrame:
-    """(key, id, shingles) of each band of each paragraph (id, shingles)."""
-    rows, bands = BAND_ROWS, bands_for()
+def shingles(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(id, shingles): the distinct 32-bit shingle hashes of each line (id, doc_id, tag, first, n)."""
+    split, shingle, _, _ = _hashing()
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        rng = np.random.default_rng(5)
-        factor = rng.integers(1, 2**63, rows * bands, dtype=np.uint64) | np.uint64(1)
-        shift = rng.integers(0, 2**63, rows * bands, dtype=np.uint64)
-        for batch in batches:
-            sets = batch.column(1)
-            starts = sets.offsets.to_numpy()[:-1] - sets.offsets[0].as_py()
-            values = sets.flatten().to_numpy().view(np.uint32).astype(np.uint64)
-            if not len(values):
-                continue
-            keys = np.zeros((bands, len(sets)), np.uint64)
-            for i in range(rows * bands):
-                x = values * factor[i] + shift[i]
-                x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-                least = np.minimum.reduceat(x ^ (x >> np.uint64(32)), starts)
-                keys[i // rows] = (keys[i // rows] ^ least) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i // rows)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(keys.T.ravel().view(np.int64)), bands).cast(pa.list_(pa.int64()))],
-                names=["id", "keys"],
-            )
+        def table(ids, sets):
+            ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+            values = pa.array(np.concatenate(sets).astype(np.uint32).view(np.int32))
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(ends, values)], names=["id", "shingles"])
 
-    keyed = paragraphs.select("id", "shingles").mapInArrow(run, "id long, keys array<long>")
-    return keyed.select(F.explode("keys").alias("key"), "id")
+        for batch in batches:
+            ids, sets, held = [], [], 0
+            for text, asked in zip(batch.column(0), batch.column(1)):
+                hashes = split(text.as_py().encode())[1]
+                for x in asked.as_py():
+                    ids.append(x["id"])
+                    sets.append(np.unique(shingle(hashes[x["first"] : x["first"] + x["n"]]) >> np.uint64(32)))
+                    held += len(sets[-1])
+                if held > 500_000:
+                    yield table(ids, sets)
+                    ids, sets, held = [], [], 0
+            if ids:
+                yield table(ids, sets)
+
+    return _with_text(docs, lines, ["id", "first", "n"]).mapInArrow(run, "id long, shingles array<int>")
 
 
 def similar_in_crowd(rows: DataFrame) -> DataFrame:
@@ -233,49 +276,6 @@ def _with_text(docs: DataFrame, asked: DataFrame, columns: list[str]) -> DataFra
     return once.join(lists, ["doc_id", "tag"]).select("text", "asked", "doc_id", "tag")
 
 
-def surroundings(docs: DataFrame, cuts: DataFrame) -> DataFrame:
-    """(doc_id, tag, first, left, side, cls, size) of each cut (h, doc_id, tag, first) and side.
-
-    ``side`` stands for the passage and the side, ``cls`` for these and the up to
-    WINNOW - 1 words beside the passage; ``size`` counts these words.
-    """
-    span, reach = PASSAGE_WORDS, WINNOW - 1
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-        import xxhash
-
-        digest, signed = xxhash.xxh64_intdigest, lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-
-        def table(rows):
-            docs, tags, firsts, lefts, sides, classes, sizes = zip(*rows)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), pa.array(tags, pa.int64()), pa.array(firsts, pa.int32()), pa.array(lefts, pa.bool_()),
-                 signed(sides), signed(classes), pa.array(sizes, pa.int32())],
-                names=["doc_id", "tag", "first", "left", "side", "cls", "size"],
-            )
-
-        for batch in batches:
-            rows = []
-            for text, cuts, doc, tag in zip(*(batch.column(i) for i in range(4))):
-                doc, tag = doc.as_py(), tag.as_py()
-                words = text.as_py().encode().split()
-                for c in cuts.as_py():
-                    at, h = c["first"], c["h"].to_bytes(8, "little", signed=True)
-                    for left in (False, True):
-                        beside = words[max(0, at - reach) : at][::-1] if left else words[at + span : at + span + reach]
-                        rows.append((doc, tag, at, left, digest(h, left), digest(h + b" ".join(beside), left), len(beside)))
-                if len(rows) > 20_000:
-                    yield table(rows)
-                    rows = []
-            if rows:
-                yield table(rows)
-
-    joined = _with_text(docs, cuts, ["first", "h"])
-    return joined.mapInArrow(run, "doc_id long, tag long, first int, left boolean, side long, cls long, size int")
-
-
 def beginnings(docs: DataFrame, seeds: DataFrame) -> DataFrame:
     """(cls, least, keys): the j-th key hashes the first j words beside the seed's passage.
 
@@ -333,52 +333,64 @@ def reached(starts: DataFrame) -> DataFrame:
 
 
 def extensions(docs: DataFrame, cuts: DataFrame) -> DataFrame:
-    """(doc_id, tag, first, n, kept_doc_id): cuts with what equals a document of smaller id beside them.
+    """(doc_id, place, first, n, kept_doc_id): cuts with what equals a document of smaller id beside them.
 
-    Cuts with equal surroundings are one class, which its least document keeps; where
-    a passage has several classes, one member of each has its words fetched and meets
-    the others by the hashes of all its beginnings.
+    Cuts with equal words on a side are one class, which its least document keeps;
+    where a passage has several classes, one member of each has its words fetched and
+    meets the others by the hashes of all its beginnings.
     """
-    sides = stored(surroundings(docs, cuts), "sides")
-    least = stored(sides.groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("side").alias("side")), "classes")
-    mixed = least.groupBy("side").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("side")
-    open_classes = least.join(mixed, "side").select("cls", "least")
-    place = F.min(F.struct("tag", "first", "left", "side")).alias("p")
-    seeds = sides.join(open_classes, "cls").where("doc_id = least").groupBy("cls", "doc_id").agg(place)
-    starts = stored(beginnings(docs, seeds.select("doc_id", "p.tag", "p.first", "p.left", "p.side", "cls")), "starts")
+    side = lambda left, cls, size: cuts.select("h", "doc_id", "place", F.lit(left).alias("left"), F.col(cls).alias("cls"), F.col(size).alias("size"))
+    sides = side(True, "lcls", "lsize").unionByName(side(False, "rcls", "rsize"))
+    least = stored(sides.groupBy("cls").agg(
+        F.min("doc_id").alias("least"), F.min_by("place", "doc_id").alias("place"), F.min("h").alias("h"), F.min("left").alias("left")), "classes")
+    mixed = least.groupBy("h", "left").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("h", "left")
+    seeds = least.join(mixed, ["h", "left"]).select(
+        F.col("least").alias("doc_id"), *_at("place"), "left", F.xxhash64("h", "left").alias("side"), "cls")
+    starts = stored(beginnings(docs, seeds), "starts")
     common = reached(starts)
     discard(starts)
-    told = sides.drop("side").join(least.drop("side").join(common, "cls", "left"), "cls")
+    told = sides.join(least.select("cls", "least").join(common, "cls", "left"), "cls")
     copy = F.col("doc_id") > F.col("least")
     more = told.withColumn("more", F.when(copy, F.col("size")).otherwise(F.col("j"))).where("more > 0")
+    tag, first = _at("place")
     out = stored(more.select(
-        "doc_id", "tag", F.when(F.col("left"), F.col("first") - F.col("more")).otherwise(F.col("first")).alias("first"),
-        (F.col("more") + PASSAGE_WORDS).alias("n"), F.when(copy, F.col("least")).otherwise(F.col("lo")).alias("kept_doc_id"),
+        "doc_id", tag, (first - F.when(F.col("left"), F.col("more")).otherwise(0)).cast("int").alias("first"),
+        (F.col("more") + PASSAGE_WORDS).cast("int").alias("n"), F.when(copy, F.col("least")).otherwise(F.col("lo")).alias("kept_doc_id"),
     ), "spans")
-    discard(sides, least, common)
+    discard(least, common)
     return out
 
 
+def _at(place: str) -> tuple:
+    """tag and first of a place, which holds both in one number."""
+    return F.shiftrightunsigned(place, 32).alias("tag"), F.expr(f"cast({place} & 4294967295 as int)").alias("first")
+
+
 def repeated(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, first, n, kept_doc_id) of every passage to remove; spans may overlap."""
+    """(doc_id, tag, first, n, kept_doc_id) of every passage to remove; spans may overlap.
+
+    Passages are done, and their tables gone, before paragraphs are compared.
+    """
     all_units = stored(units(docs), "units")
-    place = F.shiftleft(F.col("tag"), 32).bitwiseOR(F.col("first").cast("long"))
-    cut = all_units.where("shingles is null").select("h", "doc_id", place.alias("place"))
+    place = F.shiftleft(F.col("tag"), 32).bitwiseOR(F.col("first").cast("long")).alias("place")
+    cut = all_units.where("keys is null").select("h", "doc_id", place, "lcls", "rcls", "lsize", "rsize")
     owners = cut.groupBy("h").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("last"))
     owners = owners.where("kept_doc_id < last").drop("last")
-    shared_cuts = stored(cut.join(owners, "h").distinct(), "cuts")
-    tag, first = F.shiftrightunsigned("place", 32).alias("tag"), F.expr("cast(place & 4294967295 as int)").alias("first")
-    exact = shared_cuts.where("doc_id != kept_doc_id").select("doc_id", tag, first, F.lit(PASSAGE_WORDS).alias("n"), "kept_doc_id")
-    exact = stored(exact.unionByName(extensions(docs, shared_cuts.select("h", "doc_id", tag, first))), "exact")
-    discard(shared_cuts)
-
-    lines = all_units.where("shingles is not null").withColumnRenamed("h", "id")
-    index = banded(lines.select("id", "shingles"))
+    shared_cuts = stored(cut.join(owners, "h"), "cuts")
+    lines = stored(all_units.where("keys is not null").select(F.col("h").alias("id"), "doc_id", "tag", "first", "n", "keys"), "lines")
+    discard(all_units)
+    beside = extensions(docs, shared_cuts)
+    exact = shared_cuts.where("doc_id != kept_doc_id").select("doc_id", *_at("place"), F.lit(PASSAGE_WORDS).alias("n"), "kept_doc_id")
+    exact = stored(exact.unionByName(beside), "exact")
+    discard(shared_cuts, beside)
+
+    index = lines.select("id", F.explode("keys").alias("key"))
     shared = index.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
     weights = lines.groupBy("id").agg(F.count("*").alias("weight"))
-    members = settled(index.join(shared, "key").distinct().join(weights, "id"))
+    members = stored(index.join(shared, "key").distinct().join(weights, "id"), "members")
     wanted = members.select("id").distinct()
-    sets = stored(lines.select("id", "shingles").join(wanted, "id", "left_semi").dropDuplicates(["id"]), "shingles")
+    places = lines.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.min_by(place, "doc_id").alias("place"), F.min("n").alias("n"))
+    sets = stored(shingles(docs, places.join(wanted, "id", "left_semi").select("id", "doc_id", *_at("place"), "n")), "shingles")
 
     def alike(pairs):
         left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
@@ -392,7 +404,9 @@ def repeated(docs: DataFrame) -> DataFrame:
     named = settled(groups.join(roots, F.col("id") == F.col("node"), "left").select("id", "lo", "hi", F.coalesce("root", "id").alias("root")))
     clusters = named.groupBy("root").agg(F.min("lo").alias("kept_doc_id"), F.max("hi").alias("last")).where("kept_doc_id < last")
     owners = named.join(clusters, "root").select("id", "kept_doc_id")
-    near = lines.drop("shingles").join(owners, "id").where("doc_id != kept_doc_id").select("doc_id", "tag", "first", "n", "kept_doc_id")
+    near = lines.drop("keys").join(owners, "id").where("doc_id != kept_doc_id").select("doc_id", "tag", "first", "n", "kept_doc_id")
+    near = stored(near, "near")
+    discard(members, sets, lines)
     return exact.unionByName(near)
 
 

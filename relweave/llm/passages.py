@@ -52,42 +52,49 @@ def bands_for(similarity: float = SIMILARITY, recall: float = RECALL, rows: int
 
 
 def _hashing():
-    """Functions of task code, made anew so that they travel with it: (split, shingle, weighted, mixed).
+    """Functions of task code, made anew so that they travel with it: (split, runs, shingle).
 
-    ``split`` gives a text's words and their hashes, ``shingle`` the hashes of all
-    five-word shingles, ``weighted`` the factors of an n-word hash.
+    ``split`` hashes a text's words; ``runs`` gives a function of (starts, ends) that hashes
+    runs of words from running sums, so that a run costs the same at any length; ``shingle``
+    hashes all five-word shingles.
     """
-    size = SHINGLE
+    size, base = SHINGLE, 0x9E3779B97F4A7C15
+    factors = {}  # powers of the base and of its inverse, for the longest text so far
 
-    def mixed(x):
+    def split(data):
         import numpy as np
+        import xxhash
 
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
-        return x ^ (x >> np.uint64(29))
+        words = data.split()
+        return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
-    def weighted(n):
+    def runs(hashes):
         import numpy as np
 
-        with np.errstate(over="ignore"):
-            return np.cumprod(np.full(n, 0x9E3779B97F4A7C15, np.uint64))[::-1].copy()
+        n = len(hashes)
+        if factors.get("n", -1) < n:
+            for name, x in (("base", base), ("inverse", pow(base, -1, 1 << 64))):
+                factors[name] = np.full(2 * n + 1, x, np.uint64)
+                factors[name][0] = 1
+                factors[name] = factors[name].cumprod()
+            factors["n"] = 2 * n
+        back, sums = factors["inverse"], np.zeros(n + 1, np.uint64)
+        np.cumsum(hashes * factors["base"][:n], out=sums[1:])
 
-    def split(data):
-        import numpy as np
-        import xxhash
+        def of(starts, ends):
+            x = (sums[ends] - sums[starts]) * back[starts]
+            x = (x ^ (x >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+            return x ^ (x >> np.uint64(29))
 
-        words = data.split()
-        return words, np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        return of
 
-    def shingle(hashes):
+    def shingle(hashes, of=None):
         import numpy as np
 
-        count, factors = len(hashes) - size + 1, weighted(size)
-        s = np.zeros(count, np.uint64)
-        for i in range(size):
-            s += hashes[i : i + count] * factors[i]
-        return mixed(s)
+        starts = np.arange(len(hashes) - size + 1)
+        return (of or runs(hashes))(starts, starts + size)
 
-    return split, shingle, weighted, mixed
+    return split, runs, shingle
 
 
 def units(docs: DataFrame) -> DataFrame:
@@ -99,7 +106,7 @@ def units(docs: DataFrame) -> DataFrame:
     """
     span, near, least, reach = PASSAGE_WORDS, WINNOW, MIN_WORDS, WINNOW - 1
     size, rows_of, bands = SHINGLE, BAND_ROWS, bands_for()
-    split, shingle, weighted, mixed = _hashing()
+    split, runs, shingle = _hashing()
 
     def run(batches):
         import numpy as np
@@ -107,48 +114,47 @@ def units(docs: DataFrame) -> DataFrame:
         import xxhash
 
         digest = xxhash.xxh64_intdigest
-        p_whole, p_beside = weighted(span), weighted(reach + 1)[:reach]
-        offsets, beside = np.arange(span), np.arange(reach)
+        odd, even = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
         rng = np.random.default_rng(5)
-        factor = rng.integers(1, 2**63, rows_of * bands, dtype=np.uint64) | np.uint64(1)
-        shift = rng.integers(0, 2**63, rows_of * bands, dtype=np.uint64)
+        factor = rng.integers(1, 2**32, rows_of * bands, dtype=np.uint32) | np.uint32(1)
+        shift = rng.integers(0, 2**32, rows_of * bands, dtype=np.uint32)
         kinds = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("h", pa.int64()),
                            ("lcls", pa.int64()), ("rcls", pa.int64()), ("lsize", pa.int8()), ("rsize", pa.int8()), ("keys", pa.list_(pa.int64()))])
 
-        def around(hashes, at, h):
-            """lcls, rcls, lsize, rsize of the passages at ``at``: words beyond the text count as hash 0."""
-            blank = np.zeros(reach, np.uint64)
-            padded = np.concatenate([blank, hashes, blank])
-            left = padded[at[:, None] + reach - 1 - beside]
-            right = padded[at[:, None] + reach + span + beside]
-            lsize, rsize = np.minimum(at, reach), np.minimum(len(hashes) - at - span, reach)
-            whole = lambda words, n, side: mixed(mixed(h + (words * p_beside).sum(axis=1, dtype=np.uint64)) + n.astype(np.uint64) * np.uint64(2) + np.uint64(side))
-            return whole(left, lsize, 0), whole(right, rsize, 1), lsize, rsize
+        def around(of, n, at, h):
+            """lcls, rcls, lsize, rsize of the passages at ``at`` in a text of ``n`` words."""
+            lsize, rsize = np.minimum(at, reach), np.minimum(n - at - span, reach)
+            def whole(words, sizes, side):
+                x = (h * odd + words) * even + sizes.astype(np.uint64) * np.uint64(2) + np.uint64(side)
+                x = (x ^ (x >> np.uint64(31))) * odd
+                return x ^ (x >> np.uint64(29))
+            return whole(of(at - lsize, at), lsize, 0), whole(of(at + span, at + span + rsize), rsize, 1), lsize, rsize
 
         def cut(text):
             """Passages (first, h, lcls, rcls, lsize, rsize) and paragraphs (first, n, h, shingles)."""
             data = text.encode()
-            words, hashes = split(data)
-            n = len(words)
+            hashes = split(data)
+            n = len(hashes)
             if n < least:
                 return None, []
-            s = shingle(hashes)
+            of = runs(hashes)
+            s = shingle(hashes, of)
             count, found = len(s), None
             if n >= span:
                 if count > near:
                     at = np.lib.stride_tricks.sliding_window_view(s, near).argmin(axis=1) + np.arange(count - near + 1)
-                    at = at[np.r_[True, at[1:] != at[:-1]]]
+                    at = at[np.flatnonzero(np.diff(at, prepend=-1))]
                 else:
                     at = np.array([s.argmin()])
                 at = at[at + span <= n]
-                h = mixed((hashes[at[:, None] + offsets] * p_whole).sum(axis=1, dtype=np.uint64))
-                found = at, h, *around(hashes, at, h)
+                h = of(at, at + span)
+                found = at, h, *around(of, n, at, h)
             lines, first = [], 0
             for line in data.split(b"\n"):
                 own = line.split()
                 m = len(own)
                 if m >= least:
-                    lines.append((first, m, digest(b" ".join(own), 1), s[first : first + m - size + 1] >> np.uint64(32)))
+                    lines.append((first, m, digest(b" ".join(own), 1), (s[first : first + m - size + 1] >> np.uint64(32)).astype(np.uint32)))
                 first += m
             return found, lines
 
@@ -159,8 +165,8 @@ def units(docs: DataFrame) -> DataFrame:
             keys = np.zeros((bands, len(sets)), np.uint64)
             for i in range(rows_of * bands):
                 x = values * factor[i] + shift[i]
-                x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-                low = np.minimum.reduceat(x ^ (x >> np.uint64(32)), starts)
+                x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+                low = np.minimum.reduceat(x ^ (x >> np.uint32(13)), starts).astype(np.uint64)
                 keys[i // rows_of] = (keys[i // rows_of] ^ low) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i // rows_of)
             return keys.T.ravel()
 
@@ -206,7 +212,7 @@ def units(docs: DataFrame) -> DataFrame:
 
 def shingles(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(id, shingles): the distinct 32-bit shingle hashes of each line (id, doc_id, tag, first, n)."""
-    split, shingle, _, _ = _hashing()
+    split, _, shingle = _hashing()
 
     def run(batches):
         import numpy as np
@@ -220,7 +226,7 @@ def shingles(docs: DataFrame, lines: DataFrame) -> DataFrame:
         for batch in batches:
             ids, sets, held = [], [], 0
             for text, asked in zip(batch.column(0), batch.column(1)):
-                hashes = split(text.as_py().encode())[1]
+                hashes = split(text.as_py().encode())
                 for x in asked.as_py():
                     ids.append(x["id"])
                     sets.append(np.unique(shingle(hashes[x["first"] : x["first"] + x["n"]]) >> np.uint64(32)))

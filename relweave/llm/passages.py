@@ -78,11 +78,11 @@ def _hashing():
                 factors[name][0] = 1
                 factors[name] = factors[name].cumprod()
             factors["n"] = 2 * n
-        back, sums = factors["inverse"], np.zeros(n + 1, np.uint64)
-        np.cumsum(hashes * factors["base"][:n], out=sums[1:])
+        up, sums = factors["base"], np.zeros(n + 1, np.uint64)
+        np.cumsum(hashes * factors["inverse"][:n], out=sums[1:])
 
         def of(starts, ends):
-            x = (sums[ends] - sums[starts]) * back[starts]
+            x = (sums[ends] - sums[starts]) * up[ends]
             x = (x ^ (x >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
             return x ^ (x >> np.uint64(29))
 

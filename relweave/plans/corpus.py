@@ -370,6 +370,19 @@ def incremental_analysis(d: Data):
     return co.incremental_functions(now, previous).select("name", "file_path", "reused")
 
 
+@query("incremental_manifest", f"""
+SELECT path AS file_path, CASE WHEN f.k % 6 = 0 THEN 0 ELSE coalesce(n, 0) END::BIGINT AS n_functions,
+ CASE WHEN f.k % 6 = 0 THEN 3 WHEN f.k % 5 = 0 OR f.k % 4 = 0 THEN 2 ELSE 1 END AS version, f.k % 6 = 0 AS deleted
+FROM {FILES} f LEFT JOIN (SELECT path, count(*) AS n FROM {ALL_FUNCTIONS} GROUP BY 1) USING (path)""")
+def incremental_manifest(d: Data):
+    """Three runs: the first lacks every fifth file and sees other text in every fourth; the last lacks every sixth."""
+    now, k = source_files(d), F.regexp_extract("path", r"mod_(\d+)", 1).cast("bigint")
+    other = F.when(k % 4 == 0, F.concat("content", F.lit("\nx = 1\n"))).otherwise(F.col("content"))
+    found = co.analyse_changes(now.where(k % 5 != 0).withColumn("content", other), 1)
+    found = co.analyse_changes(now, 2, *found)
+    return co.analyse_changes(now.where(k % 6 != 0), 3, *found)[1].drop("file_hash")
+
+
 @query("codebase_language", f"SELECT 'pkg' || p_partkey // 200 AS package, 'python' AS language FROM part GROUP BY 1 UNION ALL SELECT DISTINCT source, 'unknown' FROM documents")
 def codebase_language(d: Data):
     code = source_files(d).select(co.package_of(F.col("path")).alias("package"), "path")

@@ -249,3 +249,26 @@ def test_incremental(files):
     rows = co.incremental_functions(changed, first).collect()
     assert {r.name for r in rows if not r.reused} == {"new"}
     assert {r.file_path for r in rows if r.reused} == {"app/main.py", "app/store.py", "lib/tools.py"}
+
+
+def test_manifest(spark, files):
+    text = F.col("content")
+    first, told = co.analyse_changes(files, 1)
+    assert {(r.file_path, r.n_functions, r.version, r.deleted) for r in told.collect()} >= {("empty.py", 0, 1, False), ("bad.py", 0, 1, False), ("lib/more.py", 2, 1, False)}
+    assert "notes.txt" not in {r.file_path for r in told.collect()}
+    # one file gets other text, one is gone, one has no text any more
+    changed = files.where("path != 'lib/tools.py'").withColumn("content", F.when(F.col("path") == "lib/more.py", "def new():\n    pass\n").when(F.col("path") != "app/main.py", text))
+    second, told = co.analyse_changes(changed, 2, first, told)
+    rows = {r.file_path: (r.n_functions, r.version, r.deleted) for r in told.collect()}
+    assert rows["empty.py"] == (0, 1, False) and rows["bad.py"] == (0, 1, False)  # not parsed again
+    assert rows["lib/more.py"] == (1, 2, False) and rows["lib/tools.py"] == (0, 2, True) and rows["app/main.py"] == (0, 2, False)
+    assert {r.file_path for r in second.collect()} == {"app/store.py", "lib/more.py"}
+    # the deleted file comes back as it was; the tombstone goes
+    third, told = co.analyse_changes(files, 3, second, told)
+    rows = {r.file_path: r.version for r in told.where("not deleted").collect()}
+    assert rows == {"app/main.py": 3, "app/store.py": 1, "lib/tools.py": 3, "lib/more.py": 3, "bad.py": 1, "empty.py": 1}
+    key = lambda df: sorted((r.file_path, r.name, r.file_hash) for r in df.collect())
+    assert key(third) == key(first)
+    none = files.where("false")
+    last, told = co.analyse_changes(none, 4, third, told)
+    assert last.count() == 0 and told.where("not deleted").count() == 0 and co.analyse_changes(none, 1)[1].count() == 0

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from relweave.operators import relations as rel
 from relweave.operators import windows as win
+from relweave.operators.prefetch import Prefetch, prefetch
 from relweave.plans.projection import nullable_orders, rows
 from relweave.plans.registry import Data, query
 
@@ -131,6 +132,28 @@ def prefetch_related(d: Data):
     return out.select("c_custkey", zero("chunk", "chunk"), zero("n", "n_orders"), empty.alias("order_keys"))
 
 
+TREE = """WITH l AS (SELECT * FROM lineitem WHERE l_quantity > 10 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) <= 2),
+ o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders WHERE o_orderstatus = 'F' QUALIFY rn <= 3),
+ ol AS (SELECT o_custkey, rn, o_orderkey, coalesce(list(l_linenumber ORDER BY l_extendedprice DESC, l_linenumber) FILTER (l_linenumber IS NOT NULL), []) AS lines
+  FROM o LEFT JOIN l ON l_orderkey = o_orderkey GROUP BY ALL)"""
+
+
+@query("prefetch_tree", f"""{TREE}
+SELECT n_nationkey, c_custkey, rn::INT AS place, o_orderkey, lines FROM nation JOIN customer ON c_nationkey = n_nationkey LEFT JOIN ol ON o_custkey = c_custkey
+WHERE n_name LIKE 'A%' OR n_regionkey = 2""")
+def prefetch_tree(d: Data):
+    """Three levels under some nations: all customers in chunks, three closed orders of
+    each, and two large lines of these."""
+    lines = Prefetch("lines", d.lineitem.where("l_quantity > 10"), "l_orderkey", "o_orderkey", ("l_linenumber",), ("-l_extendedprice", "l_linenumber"), take=2)
+    orders = Prefetch("orders", d.orders.where("o_orderstatus = 'F'"), "o_custkey", "c_custkey", ("o_orderkey",), ("-o_totalprice", "o_orderkey"), take=3, inner=(lines,))
+    customers = Prefetch("customers", d.customer, "c_nationkey", "n_nationkey", ("c_custkey",), ("c_custkey",), inner=(orders,))
+    _, lists = prefetch(d.nation.where("n_name like 'A%' or n_regionkey = 2"), customers)
+    one = lists["customers"].select(F.col("c_nationkey").alias("n_nationkey"), F.explode("customers").alias("c"))
+    placed = one.select("n_nationkey", F.col("c.c_custkey").alias("c_custkey"), F.posexplode_outer("c.orders").alias("place", "o"))
+    numbers = F.transform("o.lines", lambda x: x["l_linenumber"])
+    return placed.select("n_nationkey", "c_custkey", (F.col("place") + 1).alias("place"), F.col("o.o_orderkey").alias("o_orderkey"), numbers.alias("lines"))
+
+
 @query("sliced_prefetch", """
 SELECT o_custkey, o_orderkey, rn FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn > 1 AND rn <= 4""")
 def sliced_prefetch(d: Data):

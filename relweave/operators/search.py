@@ -211,6 +211,56 @@ def headline(text: Column, terms: list[str], start: str = "<b>", stop: str = "</
     return F.regexp_replace(F.array_join(piece, " "), rx, f"{start}$1{stop}")
 
 
+def headline_fragments(
+    text: Column, terms: list[str], max_fragments: int = 2, max_words: int = 35, min_words: int = 15, short_word: int = 3,
+    highlight_all: bool = False, start: str = "<b>", stop: str = "</b>", delimiter: str = " ... ",
+) -> Column:
+    """The fragments with most matches, in text order, matches wrapped in the markers.
+
+    One fold over the matches cuts them into pieces of at most ``max_words`` words; the
+    best have most matches, then fewest words, then come first. Each is stretched to
+    ``max_words``, at most half-way to its neighbour, and does not begin or end with a
+    word of ``short_word`` letters or fewer unless it matches. A text without a match
+    gives its first ``min_words`` words; ``highlight_all`` gives the whole text. NULL
+    stays NULL.
+    """
+    rx = r"(?iu)(?<![\p{L}\p{N}_])(" + "|".join(re.escape(t) for t in terms) + r")(?![\p{L}\p{N}_])"
+    marked = lambda x: F.regexp_replace(x, rx, f"{start}$1{stop}")
+    if highlight_all:
+        return marked(text)
+    parts = F.split(F.trim(text), r"\s+")
+    hits = F.filter(F.transform(parts, lambda p, i: F.when(p.rlike(rx), i)), lambda i: i.isNotNull())
+    piece = lambda s, e, n: F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"), n.cast("int").alias("n"))
+    none = piece(F.lit(None), F.lit(None), F.lit(0))
+    empty = F.struct(F.array().cast("array<struct<s:int,e:int,n:int>>").alias("done"), none.alias("cur"))
+    closed = lambda st: F.when(st["cur"]["n"] > 0, F.concat(st["done"], F.array(st["cur"]))).otherwise(st["done"])
+
+    def step(st: Column, h: Column) -> Column:
+        cur = st["cur"]
+        longer = F.struct(st["done"].alias("done"), piece(cur["s"], h, cur["n"] + 1).alias("cur"))
+        fresh = F.struct(closed(st).alias("done"), piece(h, h, F.lit(1)).alias("cur"))
+        return F.when((cur["n"] > 0) & (h < cur["s"] + max_words), longer).otherwise(fresh)
+
+    ranked = F.array_sort(F.transform(F.aggregate(hits, empty, step, closed), lambda x: F.struct(
+        (-x["n"]).alias("less"), (x["e"] - x["s"]).alias("span"), x["s"].alias("s"), x["e"].alias("e"))))
+    best = F.array_sort(F.transform(F.slice(ranked, 1, max_fragments), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
+
+    def shown(all_best: Column, x: Column, i: Column) -> Column:
+        room = F.lit(max_words) - (x["e"] - x["s"] + 1)
+        before = F.when(i > 0, F.get(all_best, i - 1)["e"]).otherwise(F.lit(None))
+        after = F.get(all_best, i + 1)["s"]
+        # of the words between two fragments the former may take the lesser half
+        low = F.greatest(x["s"] - F.floor(room / 2), F.coalesce(before + 1 + F.floor((x["s"] - before - 1) / 2), F.lit(0)))
+        high = F.least(x["e"] + room - F.floor(room / 2), F.coalesce(x["e"] + F.floor((after - x["e"] - 1) / 2), F.size(parts) - 1))
+        long_word = lambda j, own: (F.length(F.get(parts, j.cast("int"))) > short_word) | (j == own)
+        first = F.array_min(F.filter(F.sequence(low.cast("int"), x["s"]), lambda j: long_word(j, x["s"])))
+        last = F.array_max(F.filter(F.sequence(x["e"], high.cast("int")), lambda j: long_word(j, x["e"])))
+        return marked(F.array_join(F.slice(parts, first + 1, last - first + 1), " "))
+
+    found = F.array_join(F.transform(best, lambda x, i: shown(best, x, i)), delimiter)
+    return F.when(F.size(hits) > 0, found).otherwise(F.array_join(F.slice(parts, 1, min_words), " "))
+
+
 def trigrams(text: Column) -> Column:
     """Distinct trigrams of each word, padded by two blanks before and one after."""
     return F.array_distinct(_trigram_row(text))

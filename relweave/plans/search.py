@@ -63,6 +63,12 @@ def headline(d: Data):
     return hits.select("doc_id", se.headline(F.col("text"), ["the", "der"], max_words=12, lead=3).alias("headline"))
 
 
+@query("headline_fragments")
+def headline_fragments(d: Data):
+    pieces = se.headline_fragments(F.col("text"), ["the", "der"], max_fragments=3, max_words=8, min_words=4)
+    return d.documents.select("doc_id", pieces.alias("headline"))
+
+
 GRAMS = "list_distinct(flatten(list_transform({t}, lambda w: list_transform(range(1, len(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"
 PGRAMS = GRAMS.format(t="string_split(p_name, ' ')")
 QGRAMS = GRAMS.format(t="['hot', 'plates']")

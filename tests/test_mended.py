@@ -209,3 +209,22 @@ def test_unaccent(spark):
     cases = {"Łódź žaba Ærø": "Lodz zaba AEro", "Straße": "Strasse", "e\u0301t\u00e9": "ete", "Ελλάδα": "Ελλάδα", "Việt Đức": "Viet Duc", "ﬁn": "ﬁn"}
     frame = spark.createDataFrame(list(cases), "string").select("value", tx.unaccent(F.col("value")).alias("got"))
     assert {r["value"]: r.got for r in frame.collect()} == cases
+
+
+def test_headline_fragments(spark):
+    text = "alpha beta gamma cat delta cat epsilon zeta eta theta iota kappa lambda dog mu nu xi omicron pi rho sigma cat tau"
+    f = lambda **o: se.headline_fragments(F.lit(text), ["cat", "dog"], **o)
+    got = one(
+        spark, f(max_fragments=1, max_words=5), f(max_fragments=2, max_words=5), f(max_fragments=3, max_words=3), f(max_fragments=1, max_words=5, short_word=4),
+        f(highlight_all=True, start="[", stop="]"), se.headline_fragments(F.lit(text), ["none"], min_words=2), se.headline_fragments(F.lit(""), ["cat"]),
+        se.headline_fragments(F.lit(None).cast("string"), ["cat"]), f(max_fragments=2, max_words=9, short_word=0, delimiter=" | "), se.headline_fragments(F.lit("Cat, a category"), ["cat"], short_word=0),
+    )
+    assert tuple(got) == (
+        "gamma <b>cat</b> delta <b>cat</b> epsilon",
+        "gamma <b>cat</b> delta <b>cat</b> epsilon ... kappa lambda <b>dog</b>",
+        "<b>cat</b> delta <b>cat</b> ... lambda <b>dog</b> ... sigma <b>cat</b>",
+        "gamma <b>cat</b> delta <b>cat</b> epsilon",
+        text.replace("cat", "[cat]").replace("dog", "[dog]"), "alpha beta", "", None,
+        "alpha beta gamma <b>cat</b> delta <b>cat</b> epsilon zeta eta | <b>dog</b> mu nu xi omicron pi rho sigma <b>cat</b>",
+        "<b>Cat</b>, a category",
+    )

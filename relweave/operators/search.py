@@ -12,6 +12,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from relweave.functions.temporal import let
+
 WORD = r"[\p{L}\p{N}_]+"
 # Weight of the labels D, C, B, A.
 WEIGHTS = {"D": 0.1, "C": 0.2, "B": 0.4, "A": 1.0}
@@ -268,11 +270,12 @@ def trigrams(text: Column) -> Column:
 
 def _trigram_row(text: Column) -> Column:
     """The same in order, repeats included."""
-    def grams(w: Column) -> Column:
-        p = F.concat(F.lit("  "), w, F.lit(" "))
-        return F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(p, i, F.lit(3)))
+    return F.flatten(F.transform(words(text), _word_grams))
+
 
-    return F.flatten(F.transform(words(text), grams))
+def _word_grams(w: Column) -> Column:
+    p = F.concat(F.lit("  "), w, F.lit(" "))
+    return F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(p, i, F.lit(3)))
 
 
 def set_similarity(a: Column, b: Column) -> Column:
@@ -289,33 +292,41 @@ def distance(a: Column, b: Column) -> Column:
     return 1 - similarity(a, b)
 
 
-def _windows(text: Column) -> Column:
-    """Trigram sets of all runs of whole words."""
-    w = words(text)
-    n = F.size(w)
-    starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    runs = F.flatten(F.transform(starts, lambda i: F.transform(
-        F.sequence(i, F.greatest(n, F.lit(1))), lambda j: F.array_join(F.slice(w, i, j - i + 1), " "))))
-    return F.transform(runs, trigrams)
+def _best_extent(needle: Column, units: Column) -> Column:
+    """Best similarity of the needle to an unbroken run of ``units`` (lists of trigrams).
+
+    One fold over the units that share a trigram with the needle. The best run that
+    ends with a unit starts where one of the needle's trigrams came last, since any
+    longer run has no more of them; so the fold carries, per trigram of the needle, what
+    the run from that place holds. A run is dropped once even all of the needle could not
+    lift it over the best one found, so runs stay short however long the text is.
+    """
+    def fold(t: Column, u: Column) -> Column:
+        hits = F.filter(F.transform(u, lambda x, i: F.when(F.arrays_overlap(t, x), i + 1)), lambda i: i.isNotNull())
+
+        def step(s: Column, at: Column) -> Column:
+            here = F.array_distinct(F.element_at(u, at))
+            added = F.array_distinct(F.flatten(F.slice(u, s["at"] + 1, at - s["at"])))
+            runs = let(added, lambda more: F.transform(t, lambda g, i: F.when(F.array_contains(here, g), here).otherwise(
+                F.array_union(F.get(s["runs"], i), more))))
+            return let(runs, lambda r: let(F.greatest(s["best"], F.array_max(F.transform(r, lambda e: set_similarity(t, e)))), lambda best: F.struct(
+                at.alias("at"), F.transform(r, lambda e: F.when(F.size(e) * best < F.size(t), e)).alias("runs"), best.alias("best"))))
+
+        none = F.transform(t, lambda g: F.lit(None).cast("array<string>"))
+        start = F.struct(F.lit(0).alias("at"), none.alias("runs"), F.lit(0.0).alias("best"))
+        return F.aggregate(hits, start, step, lambda s: s["best"])
+
+    return F.coalesce(let(needle, lambda t: let(units, lambda u: fold(t, u))), F.lit(0.0))
 
 
 def strict_word_similarity(needle: Column, text: Column) -> Column:
     """Best similarity of the needle to a run of whole words of the text."""
-    t = trigrams(needle)
-    return F.coalesce(F.array_max(F.transform(_windows(text), lambda w: set_similarity(t, w))), F.lit(0.0))
+    return _best_extent(trigrams(needle), F.transform(words(text), _word_grams))
 
 
 def word_similarity(needle: Column, text: Column) -> Column:
-    """Best similarity of the needle to an unbroken extent of the text's trigrams.
-
-    Only extents that start and end with a trigram of the needle can be best.
-    """
-    t, row = trigrams(needle), _trigram_row(text)
-    hits = F.filter(F.sequence(F.lit(1), F.size(row)), lambda k: F.array_contains(t, F.element_at(row, k)))
-    extents = F.flatten(F.transform(hits, lambda i: F.transform(
-        F.filter(hits, lambda j: j >= i), lambda j: F.array_distinct(F.slice(row, i, j - i + 1)))))
-    best = F.array_max(F.transform(extents, lambda e: set_similarity(t, e)))
-    return F.when(F.size(row) > 0, F.coalesce(best, F.lit(0.0))).otherwise(0.0)
+    """Best similarity of the needle to an unbroken extent of the text's trigrams."""
+    return _best_extent(trigrams(needle), F.transform(_trigram_row(text), lambda g: F.array(g)))
 
 
 def similarity_join(left: DataFrame, right: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -91,7 +91,7 @@ def sphere_distance(d: Data):
 @query("nearest_neighbours", f"""
 SELECT id, vec_id, rn AS position FROM (SELECT id, vec_id, row_number() OVER (PARTITION BY id ORDER BY sqrt((x - cx) ** 2 + (y - cy) ** 2), vec_id) AS rn FROM {POLY}, {PTS}) WHERE rn <= 3""")
 def nearest_neighbours(d: Data):
-    out = sp.nearest(polygons(d), points(d), "id", "vec_id", "center", "p", 3, 0.02)
+    out = sp.nearest(polygons(d), points(d), "id", "vec_id", "center", "p", 3)
     return out.select("id", "vec_id", F.col("position").cast("bigint").alias("position"))
 
 

@@ -178,7 +178,7 @@ def test_nearest_brute(spark):
     t = [(i, math.sin(i * 12.9), math.cos(i * 78.2)) for i in range(50)] + [(99, 40.0, 40.0)]
     q = [(i, i * 0.3 - 1, 0.5 - i * 0.2) for i in range(8)] + [(50, 60.0, -60.0)]
     mk = lambda rows, n: spark.createDataFrame(rows, f"{n} int, x double, y double").select(n, g.point(F.col("x"), F.col("y")).alias("p" + n))
-    out = sp.nearest(mk(q, "a"), mk(t, "b"), "a", "b", "pa", "pb", 4, 0.05)
+    out = sp.nearest(mk(q, "a"), mk(t, "b"), "a", "b", "pa", "pb", 4, leaf=3)
     got = {}
     for r in out.collect():
         got.setdefault(r.a, {})[r.position] = r.b

@@ -123,7 +123,8 @@ def _fuzzy_matches(open_calls: DataFrame, functions: DataFrame, imports: DataFra
     pairs = spread(open_calls.join(names, "call").join(place, "target"))
     scored = context_scores(pairs, imports)
     conf = F.col("ratio") * 0.7 + F.col("score") * 0.3
-    return scored.select("source", "call", "target", conf.alias("confidence"), F.lit("fuzzy").alias("match_type"))
+    ratio = F.format_string("%.2f", F.bround("ratio", 2)).alias("detail")
+    return scored.select("source", "call", "target", conf.alias("confidence"), F.lit("fuzzy").alias("match_type"), ratio)
 
 
 def _import_matches(open_calls: DataFrame, functions: DataFrame, imports: DataFrame) -> DataFrame:
@@ -137,30 +138,31 @@ def _import_matches(open_calls: DataFrame, functions: DataFrame, imports: DataFr
     w = Window.partitionBy("call", "import").orderBy("name")
     cand = cand.select("call", "import", "name").distinct()
     cand = cand.withColumn("r", F.row_number().over(w)).where(F.col("r") <= BEST).drop("r")
-    out = own.join(cand, ["call", "import"])
-    return out.select("source", "call", F.col("name").alias("target"), F.lit(IMPORTED).alias("confidence"), F.lit("import").alias("match_type")).distinct()
+    out = own.join(cand, ["call", "import"]).groupBy("source", "call", F.col("name").alias("target")).agg(F.min("import").alias("detail"))
+    return out.select("source", "call", "target", F.lit(IMPORTED).alias("confidence"), F.lit("import").alias("match_type"), "detail")
 
 
 def resolve_scored(functions: DataFrame, chunk: int = 1000) -> DataFrame:
     """Every call of every function to its best five targets:
-    (source, call, target, confidence, match_type, position).
+    (source, call, target, confidence, match_type, detail, position). ``detail`` is
+    the ratio of a fuzzy match and the least import that gives an import match.
 
     An exact name ends the search. Otherwise constructor, methods by context,
     fuzzy names if nothing scores 0.7 yet, and imports.
     """
     calls = functions.select(
         F.col("name").alias("source"), F.col("file_path").alias("source_file"), F.explode("calls").alias("call"))
-    names = functions.select(F.col("name").alias("call"))
+    names, none = functions.select(F.col("name").alias("call")), F.lit(None).cast("string").alias("detail")
     direct = calls.join(names, "call", "left_semi").select(
-        "source", "call", F.col("call").alias("target"), F.lit(1.0).alias("confidence"), F.lit("direct").alias("match_type"))
+        "source", "call", F.col("call").alias("target"), F.lit(1.0).alias("confidence"), F.lit("direct").alias("match_type"), none)
     open_calls = calls.join(names, "call", "left_anti")
     imports = import_table(functions)
     inits = functions.where(F.col("name").endswith(".__init__")).select(
         F.expr("left(name, length(name) - 9)").alias("call"), F.col("name").alias("target"))
     made = open_calls.join(inits, "call").select(
-        "source", "call", "target", F.lit(CONSTRUCTOR).alias("confidence"), F.lit("constructor").alias("match_type"))
+        "source", "call", "target", F.lit(CONSTRUCTOR).alias("confidence"), F.lit("constructor").alias("match_type"), none)
     methods = _method_matches(open_calls, functions, imports, chunk)
-    early = made.unionByName(methods.select(*made.columns))
+    early = made.unionByName(methods.withColumn("detail", none).select(*made.columns))
     sure = early.where(F.col("confidence") >= FUZZY_BELOW).select("source", "call").distinct()
     fuzzy = _fuzzy_matches(open_calls.join(sure, ["source", "call"], "left_anti"), functions, imports)
     found = early.unionByName(fuzzy).unionByName(_import_matches(open_calls, functions, imports))
@@ -177,6 +179,12 @@ def reasoning() -> Column:
         F.when(F.col("match_type") == "direct", "Exact function name match")
         .when(F.col("match_type") == "constructor", F.concat(F.lit("Constructor call: "), c, F.lit("() -> "), t))
         .when(F.col("match_type") == "method", F.concat(F.lit("Method resolution: "), c, F.lit(" -> "), t))
-        .when(F.col("match_type") == "fuzzy", F.concat(F.lit("Fuzzy match: "), c, F.lit(" ~= "), t))
-        .otherwise(F.concat(F.lit("Import resolution: "), c, F.lit(" via import")))
+        .when(F.col("match_type") == "fuzzy", F.concat(F.lit("Fuzzy match: "), c, F.lit(" ~= "), t, F.lit(" (sim: "), F.col("detail"), F.lit(")")))
+        .otherwise(F.concat(F.lit("Import resolution: "), c, F.lit(" via "), F.col("detail")))
     )
+
+
+def match_counts(matches: DataFrame) -> DataFrame:
+    """(match_type, matches, calls, average_confidence): how calls were resolved."""
+    return matches.groupBy("match_type").agg(
+        F.count("*").alias("matches"), F.count_distinct("source", "call").alias("calls"), F.avg("confidence").alias("average_confidence"))

@@ -121,15 +121,18 @@ def rank_cover(index: DataFrame, key: str, terms: list[str], normalization: int
         full = full & last.isNotNull()
     spans = hits.select(key, "position", F.when(full, start).alias("start")).where(F.col("start").isNotNull())
     spans = spans.groupBy(key, "start").agg(F.min(F.col("position") - F.col("start") + 1).alias("span"))
-    out = spans.groupBy(key).agg(F.sum(1 / F.col("span")).alias("rank"))
+    centre = F.col("start") + (F.col("span") - 1) / 2
+    gap = centre - F.lag(centre).over(Window.partitionBy(key).orderBy("start"))  # stretches of one text
+    spans = spans.withColumn("near", 1 / gap) if normalization & 4 else spans.withColumn("near", F.lit(None).cast("double"))
+    out = spans.groupBy(key).agg(F.sum(1 / F.col("span")).alias("rank"), F.sum("near").alias("near"), F.count("*").alias("n"))
+    out = out.select(key, _spaced("rank", F.col("near"), F.col("n")).alias("rank"))
     return _normalized(out, index, key, normalization)
 
 
 def _normalized(ranks: DataFrame, index: DataFrame, key: str, flags: int) -> DataFrame:
     """Flags add up: 1 and 2 divide by text length (log, plain), 8 and 16 by
-    distinct words (plain, log), 32 maps r to r / (r + 1)."""
-    if flags & 4:
-        raise ValueError("the distance between stretches (4) is not counted")
+    distinct words (plain, log), 32 maps r to r / (r + 1). 4, the distance between
+    stretches, counts in cover ranks only, which apply it themselves."""
     if flags & (1 | 2 | 8 | 16):
         size = index.groupBy(key).agg(F.count("*").alias("__n"), F.count_distinct("token").alias("__u"))
         ranks = ranks.join(size, key)
@@ -178,26 +181,36 @@ def cover_rank_texts(df: DataFrame, key: str, terms: list[str], normalization: i
     wanted = sorted({t.lower() for t in terms})
     hits = F.filter("__w", lambda x: x["token"].isin(wanted))
     names = F.array(*[F.lit(t) for t in wanted])
-    zero = F.struct(F.transform(names, lambda _: F.lit(0)).alias("last"), F.lit(0).alias("start"), F.lit(0.0).alias("sum"))
+    zero = F.struct(
+        F.transform(names, lambda _: F.lit(0)).alias("last"), F.lit(0).alias("start"), F.lit(0.0).alias("sum"),
+        F.lit(0).alias("n"), F.lit(0.0).alias("centre"), F.lit(0.0).alias("near"))
 
     def step(state, hit):
         last = F.zip_with(state["last"], names, lambda p, t: F.when(t == hit["token"], hit["position"]).otherwise(p))
         start = F.array_min(last)
-        new = (start > 0) & (start != state["start"])
+        new, centre = (start > 0) & (start != state["start"]), (start + hit["position"]) / 2
         return F.struct(
             last.alias("last"), F.when(new, start).otherwise(state["start"]).alias("start"),
-            F.when(new, state["sum"] + 1 / (hit["position"] - start + 1)).otherwise(state["sum"]).alias("sum"))
+            F.when(new, state["sum"] + 1 / (hit["position"] - start + 1)).otherwise(state["sum"]).alias("sum"),
+            (state["n"] + new.cast("int")).alias("n"), F.when(new, centre).otherwise(state["centre"]).alias("centre"),
+            F.when(new & (state["n"] > 0), state["near"] + 1 / (centre - state["centre"])).otherwise(state["near"]).alias("near"))
 
     rows = df.select(key, _placed(**weighted).alias("__w"))
-    rows = rows.withColumn("rank", F.aggregate(hits, zero, step)["sum"]).where("rank > 0")
+    rows = rows.withColumn("__f", F.aggregate(hits, zero, step)).withColumn("rank", F.col("__f.sum")).where("rank > 0")
+    if normalization & 4:
+        rows = rows.withColumn("rank", _spaced("rank", F.col("__f.near"), F.col("__f.n")))
     return _sized(rows, normalization).select(key, "rank")
 
 
+def _spaced(rank: str, near: Column, n: Column) -> Column:
+    """Rank over the harmonic mean of the distances between the centres of ``n`` stretches;
+    ``near`` is the sum of 1 / distance."""
+    return F.when(near > 0, F.col(rank) * near / n).otherwise(F.col(rank))
+
+
 def _sized(rows: DataFrame, flags: int) -> DataFrame:
     """``_normalized`` for rows that hold their words; distinct words are counted only if asked for."""
     n, u, r = F.size("__w"), F.size(F.array_distinct(F.transform("__w", lambda x: x["token"]))), F.col("rank")
-    if flags & 4:
-        raise ValueError("the distance between stretches (4) is not counted")
     for bit, by in ((1, 1 + F.log(n)), (2, n), (8, u), (16, 1 + F.log(u))):
         r = r / by if flags & bit else r
     return rows.withColumn("rank", r / (r + 1) if flags & 32 else r)

@@ -360,6 +360,11 @@ def corpus_stats(d: Data):
     return co.corpus_stats(files, f).withColumn("average_complexity", F.round("average_complexity", 6))
 
 
+@query("match_type_counts")
+def match_type_counts(d: Data):
+    return rs.match_counts(rs.resolve_scored(functions(d))).withColumn("average_confidence", F.round("average_confidence", 6))
+
+
 @query("incremental_analysis", f"SELECT name, path AS file_path, k % 4 <> 0 AS reused FROM {ALL_FUNCTIONS}")
 def incremental_analysis(d: Data):
     """The earlier run saw other text in every fourth file."""

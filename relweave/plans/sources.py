@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import lzma
+import zipfile
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -30,6 +32,14 @@ def extra_sql_fragment(d: Data):
     return tb.extra(d.part, {"double_size": "p_size * 2"}, ["p_size > 10", "p_name LIKE '%r%'"]).select("p_partkey", "double_size")
 
 
+@query("extra_sql_tables", "SELECT n_name, s_suppkey, r_name AS region FROM nation, supplier, region WHERE s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND s_acctbal > 0")
+def extra_sql_tables(d: Data):
+    joined = tb.extra(
+        d.nation, {"region": "r.r_name", "s_suppkey": "s.s_suppkey"},
+        ["s.s_nationkey = n_nationkey", "n_regionkey = r.r_regionkey", "s.s_acctbal > 0"], tables={"s": d.supplier, "r": d.region})
+    return joined.select("n_name", "s_suppkey", "region")
+
+
 def customers(d: Data):
     """Customers as fixture rows; the balance is unknown for every ninth."""
     c = d.customer.withColumn("balance", F.when(F.col("c_custkey") % 9 != 0, F.col("c_acctbal")))
@@ -66,7 +76,7 @@ def xml_fixture(d: Data):
     return back(fx.load_xml(d.spark, path))
 
 
-@query("load_compressed", f"SELECT 'gzip' AS kind, * FROM ({CUSTOMERS}) UNION ALL SELECT 'bzip2', * FROM ({CUSTOMERS}) UNION ALL SELECT 'xz', * FROM ({CUSTOMERS})")
+@query("load_compressed", f"SELECT 'gzip' AS kind, * FROM ({CUSTOMERS}) UNION ALL SELECT 'bzip2', * FROM ({CUSTOMERS}) UNION ALL SELECT 'xz', * FROM ({CUSTOMERS}) UNION ALL SELECT 'zip', * FROM ({CUSTOMERS})")
 def load_compressed(d: Data):
     out = None
     for kind in ("gzip", "bzip2"):
@@ -76,14 +86,22 @@ def load_compressed(d: Data):
         out = part if out is None else out.unionByName(part)
     lines = customers(d).select(F.to_json(F.struct("model", "pk", "fields"), {"ignoreNullFields": "false"}).alias("v"))
 
+    def zipped(text):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("part.jsonl", text)
+        return out.getvalue()
+
     def pack(batches):
         for b in batches:
-            blob = lzma.compress("\n".join(b["v"]).encode()) if len(b) else None
-            if blob:
-                yield pd.DataFrame({"path": ["part.jsonl.xz"], "content": [blob]})
+            text = "\n".join(b["v"]).encode()
+            if text:
+                yield pd.DataFrame({"path": ["part.jsonl.xz", "part.zip"], "content": [lzma.compress(text), zipped(text)]})
 
     packed = lines.mapInPandas(pack, "path string, content binary")
-    return out.unionByName(back(fx.load_packed(packed)).withColumn("kind", F.lit("xz")))
+    for kind in ("xz", "zip"):
+        out = out.unionByName(back(fx.load_packed(packed.where(F.col("path").endswith(kind)))).withColumn("kind", F.lit(kind)))
+    return out
 
 
 @query("load_natural_keys", """
@@ -95,6 +113,18 @@ def load_natural_keys(d: Data):
     return fx.resolve_natural(named, ["nation_name"], d.nation, ["n_name"], "n_nationkey", "nation")
 
 
+@query("dump_natural_keys", "SELECT c_custkey AS pk, CASE WHEN c_custkey % 7 <> 0 THEN c_nationkey END AS nation, FALSE AS unresolved FROM customer")
+def dump_natural_keys(d: Data):
+    """Customers dumped with their nation's name instead of its key; every seventh has none."""
+    rows = d.customer.select("c_custkey", "c_name", F.when(F.col("c_custkey") % 7 != 0, F.col("c_nationkey")).alias("nation"))
+    named = fx.with_natural(rows, "nation", d.nation, "n_nationkey", ["n_name"])
+    path = scratch_path(d.spark, "natural")
+    fx.dump_jsonl(fx.fixture_rows(named, "shop.customer", F.col("c_custkey"), ["c_name", "nation"]), path)
+    loaded = fx.model_rows(fx.load_jsonl(d.spark, path), "shop.customer", "c_name string, nation array<string>", "pk")
+    loaded = loaded.select("pk", F.get("nation", F.lit(0)).alias("nation_name"))
+    return fx.resolve_natural(loaded, ["nation_name"], d.nation, ["n_name"], "n_nationkey", "nation").select("pk", "nation", F.coalesce("unresolved", F.lit(False)).alias("unresolved"))
+
+
 @query("dump_links", """
 SELECT s_suppkey AS pk, list(DISTINCT p_size ORDER BY p_size) AS sizes FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY 1""")
 def dump_links(d: Data):

@@ -88,6 +88,17 @@ def resolve_natural(rows: DataFrame, names: list[str], target: DataFrame, natura
     return out.withColumn("unresolved", given & F.col(column).isNull()).drop(*names, *[f"__{n}" for n in natural])
 
 
+def with_natural(rows: DataFrame, column: str, target: DataFrame, pk: str, natural: list[str]) -> DataFrame:
+    """``column``, a foreign key, replaced by the list of the target's natural key, as a
+    dump holds it. NULL stays; a key without a target row fails the job, since the dump
+    could not be loaded again."""
+    key = F.array(*[F.col(n).cast("string") for n in natural])
+    keys = target.select(F.col(pk).alias("__pk"), key.alias("__key"))
+    lost = F.raise_error(F.concat(F.lit(f"{column} points at no row: "), F.col(column).cast("string"))).cast("array<string>")
+    value = F.when(F.col(column).isNotNull(), F.coalesce("__key", lost))
+    return rows.join(keys, F.col(column) == F.col("__pk"), "left").select(*[value.alias(c) if c == column else F.col(c) for c in rows.columns])
+
+
 def fixture_rows(df: DataFrame, model: str, pk: Column | None, fields: list[str]) -> DataFrame:
     """(model, pk, fields struct); ``pk`` None leaves it out (natural keys)."""
     cols = [F.lit(model).alias("model")]

@@ -23,8 +23,24 @@ def raw_sql(spark: SparkSession, sql: str, params: dict | list | None = None,
     return out.withColumnsRenamed(translations or {})
 
 
-def extra(df: DataFrame, select: dict[str, str] | None = None, where: list[str] = (), order_by: list[Column] = ()) -> DataFrame:
-    """SQL fragments added to a query."""
+def extra(df: DataFrame, select: dict[str, str] | None = None, where: list[str] = (), order_by: list[Column] = (),
+          tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """SQL fragments added to a query.
+
+    ``tables`` are further tables, which fragments name as ``name.column``. A row comes
+    once for each combination that fulfils ``where``, whose equalities become the join
+    keys; without any condition there is nothing to join by, which is an error.
+    """
+    if tables:
+        if not where:
+            raise ValueError("further tables need a condition that joins them")
+        own, df = df.columns, df.alias("__own")
+        for name, table in tables.items():
+            df = df.join(table.alias(name))
+        for cond in where:
+            df = df.where(cond)
+        made = [F.expr(expr).alias(name) for name, expr in (select or {}).items()]
+        df, select, where = df.select(*[F.col(f"__own.`{c}`") for c in own if c not in (select or {})], *made), None, ()
     for cond in where:
         df = df.where(cond)
     for name, expr in (select or {}).items():

@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
+from relweave.runtime import cut_lineage
 from relweave.operators import corpus as co
 from relweave.operators import graph as gr
 from relweave.operators import resolve as rs
@@ -118,6 +119,26 @@ def test_resolve_scored(functions, chunk):
     assert got == naive_scored(functions)
 
 
+def test_match_details_and_counts(spark, data):
+    from relweave.plans import corpus as pc
+
+    ratio = lambda a, b: SequenceMatcher(None, a.lower(), b.lower()).ratio()
+    rows = cut_lineage(rs.resolve_scored(pc.functions(data)))
+    found = rows.withColumn("why", rs.reasoning()).collect()
+    assert all(r.why for r in found)
+    for r in found:
+        if r.match_type == "fuzzy":
+            assert r.why == f"Fuzzy match: {r.call} ~= {r.target} (sim: {ratio(r.call, r.target):.2f})"
+        if r.match_type == "import":
+            assert r.call in r.detail and r.why.endswith(f" via {r.detail}")
+        if r.match_type in ("direct", "constructor", "method"):
+            assert r.detail is None
+    kinds = {r.match_type for r in found}
+    got = {r.match_type: (r.matches, r.calls) for r in rs.match_counts(rows).collect()}
+    assert {"fuzzy", "import"} <= kinds
+    assert got == {k: (sum(r.match_type == k for r in found), len({(r.source, r.call) for r in found if r.match_type == k})) for k in kinds}
+
+
 def test_resolve_scored_generated(spark, data):
     from relweave.plans import corpus as pc
 

@@ -22,6 +22,8 @@ from relweave.operators import windows as win
 from relweave.operators.relations import Rows, Store, star_catalog
 from relweave.runtime import scratch_path
 from relweave.sources import files as fl
+from relweave.sources import fixtures as fx
+from relweave.sources import tables as tb
 from relweave.streaming import jobs
 
 
@@ -188,7 +190,7 @@ def test_urls(spark):
     assert {r["value"] for r in frame.collect() if r.ok} == set(good)
 
 
-@pytest.mark.parametrize("flags", [0, 1, 2, 8, 16, 32, 1 | 8 | 32])
+@pytest.mark.parametrize("flags", [0, 1, 2, 4, 8, 16, 32, 1 | 8 | 32, 2 | 4 | 32])
 def test_ranks_with_and_without_index(spark, flags):
     rng = random.Random(flags)
     rows = [(i, " ".join(rng.choices(["a", "b", "c", "d", "E"], k=rng.randint(0, 30))), rng.choice(["a x", "b", None])) for i in range(60)]
@@ -199,8 +201,6 @@ def test_ranks_with_and_without_index(spark, flags):
     assert exact(se.rank_texts(texts, "id", ["a", "E"], normalization=flags, A=("title",), D=("body",))) == near(se.rank(index, "id", ["a", "E"], normalization=flags))
     terms = ["a", "b", "c"]
     assert exact(se.cover_rank_texts(texts, "id", terms, flags, A=("title",), D=("body",))) == near(se.rank_cover(index, "id", terms, flags))
-    with pytest.raises(ValueError):
-        se.rank_texts(texts, "id", ["a"], normalization=4, D=("body",))
 
 
 def test_unaccent(spark):
@@ -228,3 +228,25 @@ def test_headline_fragments(spark):
         "alpha beta gamma <b>cat</b> delta <b>cat</b> epsilon zeta eta | <b>dog</b> mu nu xi omicron pi rho sigma <b>cat</b>",
         "<b>Cat</b>, a category",
     )
+
+
+def test_distance_between_stretches(spark):
+    """Stretches (1, 2), (2, 5), (5, 6) have centres two apart; a single one has no distance."""
+    texts = spark.createDataFrame([(1, "a e x x a e"), (2, "a e"), (3, "a x")], "id int, body string")
+    ranks = lambda flags: {r.id: round(r["rank"], 6) for r in se.cover_rank_texts(texts, "id", ["a", "e"], flags, D=("body",)).collect()}
+    assert ranks(0) == {1: 1.25, 2: 0.5} and ranks(4) == {1: round(1.25 / 3, 6), 2: 0.5}
+
+
+def test_fragments_with_tables_and_natural_dumps(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "id long, ref string")
+    b = spark.createDataFrame([("x", 5), ("x", 6), ("y", 0)], "ref string, id long")
+    got = tb.extra(a, {"n": "b.id"}, ["b.ref = __own.ref", "b.id > 0"], tables={"b": b})
+    assert got.columns == ["id", "ref", "n"] and sorted(map(tuple, got.collect())) == [(1, "x", 5), (1, "x", 6)]
+    with pytest.raises(ValueError):
+        tb.extra(a, tables={"b": b})
+    keys = spark.createDataFrame([(10, "x", "u")], "pk long, p string, q string")
+    rows = spark.createDataFrame([(1, 10), (2, None)], "id long, link long")
+    out = fx.with_natural(rows, "link", keys, "pk", ["p", "q"])
+    assert {r.id: r.link for r in out.collect()} == {1: ["x", "u"], 2: None}
+    with pytest.raises(Exception, match="points at no row"):
+        fx.with_natural(spark.createDataFrame([(1, 11)], "id long, link long"), "link", keys, "pk", ["p"]).collect()

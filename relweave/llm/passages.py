@@ -381,7 +381,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     place = F.shiftleft(F.col("tag"), 32).bitwiseOR(F.col("first").cast("long")).alias("place")
     cut = all_units.where("keys is null").select("h", "doc_id", place, "lcls", "rcls", "lsize", "rsize")
     owners = cut.groupBy("h").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("last"))
-    owners = owners.where("kept_doc_id < last").drop("last")
+    owners = settled(owners.where("kept_doc_id < last").drop("last"))  # on its own, so that AQE may split a hot passage
     shared_cuts = stored(cut.join(owners, "h"), "cuts")
     lines = stored(all_units.where("keys is not null").select(F.col("h").alias("id"), "doc_id", "tag", "first", "n", "keys"), "lines")
     discard(all_units)

@@ -294,11 +294,18 @@ def beginnings(docs: DataFrame, seeds: DataFrame) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
+        def table(classes, least, keys, sizes):
+            values = pa.array(np.array(keys, np.uint64).view(np.int64))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(classes, pa.int64()), pa.array(least, pa.int64()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values)], names=["cls", "least", "keys"]
+            )
+
         for batch in batches:
             classes, least, keys, sizes = [], [], [], [0]
             for text, asked, doc in zip(*(batch.column(i) for i in range(3))):
                 doc, words = doc.as_py(), text.as_py().encode().split()
-                for s in asked.as_py():
+                for s in asked:
+                    s = s.as_py()
                     at = s["first"]
                     beside = words[max(0, at - reach) : at][::-1] if s["left"] else words[at + span : at + span + reach]
                     running = xxhash.xxh64(s["side"].to_bytes(8, "little", signed=True))
@@ -306,11 +313,11 @@ def beginnings(docs: DataFrame, seeds: DataFrame) -> DataFrame:
                         running.update(word + b" ")
                         keys.append(running.intdigest())
                     classes.append(s["cls"]), least.append(doc), sizes.append(len(keys))
+                    if len(keys) > 200_000:
+                        yield table(classes, least, keys, sizes)
+                        classes, least, keys, sizes = [], [], [], [0]
             if classes:
-                values = pa.array(np.array(keys, np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(classes, pa.int64()), pa.array(least, pa.int64()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values)], names=["cls", "least", "keys"]
-                )
+                yield table(classes, least, keys, sizes)
 
     return _with_text(docs, seeds, ["first", "left", "side", "cls"]).mapInArrow(run, "cls long, least long, keys array<long>")
 

@@ -31,7 +31,8 @@ def resolve_basic(calls: DataFrame, functions: DataFrame) -> DataFrame:
     methods = functions.where(F.col("name").contains(".")).select(
         F.substring_index("name", ".", -1).alias("method"), "name", "file_path", "line_number")
     methods = methods.groupBy("method").agg(F.min_by("name", F.struct("file_path", "line_number")).alias("t_method"))
-    method = F.when(F.col("call").contains("."), F.substring_index("call", ".", -1))
+    # A plain call has no method; its key, which no method has, keeps such calls apart.
+    method = F.when(F.col("call").contains("."), F.substring_index("call", ".", -1)).otherwise(F.concat(F.lit("."), "call"))
     # Each distinct call is resolved once, then joined back.
     known = calls.select("call").distinct().withColumn("method", method)
     known = known.join(exact, "call", "left").join(init, "call", "left").join(methods, "method", "left")

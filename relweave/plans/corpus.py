@@ -19,7 +19,7 @@ from relweave.operators import graph as gr
 from relweave.operators import resolve as rs
 from relweave.operators import similarity as sm
 from relweave.plans.registry import Data, query
-from relweave.runtime import cut_lineage
+from relweave.runtime import stored
 from relweave.sources import files as fl
 
 def key() -> Column:
@@ -62,7 +62,7 @@ def source_files(d: Data) -> DataFrame:
 
 def functions(d: Data) -> DataFrame:
     """Parsed once and stored; later steps reuse the rows."""
-    return cut_lineage(co.last_definitions(co.parse_functions(source_files(d))))
+    return stored(co.last_definitions(co.parse_functions(source_files(d))))
 
 
 # The same corpus as SQL: one row per function, its name, place and facts.
@@ -313,7 +313,7 @@ def dependency_raw_calls(d: Data):
 @query("dependency_closure_scored")
 def dependency_closure_scored(d: Data):
     f = functions(d)
-    matches = cut_lineage(rs.resolve_scored(f))
+    matches = stored(rs.resolve_scored(f))
     return gr.scored_closure(roots(f), matches, comprehensive=False, functions=f)
 
 
@@ -334,8 +334,8 @@ def topo_order(d: Data):
 @query("topo_order_scored")
 def topo_order_scored(d: Data):
     f = functions(d)
-    matches = cut_lineage(rs.resolve_scored(f))
-    members = cut_lineage(gr.scored_closure(roots(f), matches, comprehensive=False))
+    matches = stored(rs.resolve_scored(f))
+    members = stored(gr.scored_closure(roots(f), matches, comprehensive=False))
     return gr.topo_order_scored(members, matches)
 
 

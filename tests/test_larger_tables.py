@@ -3,7 +3,9 @@
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
+from relweave.operators.ranges import overlap_join, point_in_range_join
 from relweave.plans import corpus as pc
 
 
@@ -13,8 +15,9 @@ def plan(df):
 
 @pytest.fixture(scope="module")
 def parts(spark):
-    rows = [(k, k % 50 + 1, f"part {k}") for k in range(120)]
-    return SimpleNamespace(spark=spark, part=spark.createDataFrame(rows, "p_partkey bigint, p_size int, p_name string").coalesce(1))
+    k = F.col("id")  # a table of known, small size, as a file has it
+    rows = spark.range(120).select(k.alias("p_partkey"), (k % 50 + 1).cast("int").alias("p_size"), F.concat(F.lit("part "), k).alias("p_name"))
+    return SimpleNamespace(spark=spark, part=rows)
 
 
 def test_import_resolution_sends_no_side_of_a_join_whole(parts):
@@ -30,3 +33,43 @@ def test_plain_calls_meet_no_method(spark):
     calls = spark.createDataFrame([("m",), ("x.m",), ("m2",), (None,), (".m",)], "call string")
     found = {r.call: r.target for r in resolve_basic(calls, functions).collect()}
     assert found == {"m": None, "x.m": "A.m", "m2": "m2", None: None, ".m": "A.m"}
+
+
+def test_locate_definition_sends_no_side_of_a_join_whole(parts):
+    out = pc.locate_definition(parts)
+    assert "BroadcastHashJoin" not in plan(out)
+    assert out.where("function_name = 'unknown'").count() == sum(k % 4 == 3 and k % 50 != 1 for k in range(120))
+
+
+@pytest.mark.parametrize("name", ["topo_order", "cycle_detection", "dependency_report", "dependency_closure", "dependency_raw_calls"])
+def test_closures_send_no_side_of_a_join_whole(parts, name):
+    assert "BroadcastHashJoin" not in plan(getattr(pc, name)(parts))
+
+
+@pytest.fixture(scope="module")
+def spans(spark):
+    k = F.col("id")
+    ends = F.when(k % 5 != 0, k + k % 7)
+    return spark.range(60).select(k.alias("a"), (k % 3).alias("room"), F.when(k % 11 != 0, k.cast("double")).alias("lo"), ends.cast("double").alias("hi"))
+
+
+def inside(x, y):
+    return (x.lo is None or y.hi is None or x.lo < y.hi) and (x.lo is None or x.hi is None or x.lo < x.hi)
+
+
+def test_range_overlap_join_sends_no_side_whole(spans):
+    other = spans.toDF("b", "room2", "lo2", "hi2")
+    out = overlap_join(spans, other, [("room", "room2")], ("lo", "hi"), ("lo2", "hi2"), 2.0)
+    assert "BroadcastHashJoin" not in plan(out) and "SortMergeJoin" in plan(out)
+    rows = spans.collect()
+    want = sorted((x.a, y.a) for x in rows for y in rows if x.room == y.room and inside(x, y) and inside(y, x))
+    assert sorted((r.a, r.b) for r in out.collect()) == want
+
+
+def test_range_point_join_sends_no_side_whole(spark, spans):
+    points = spark.range(60).select(F.col("id").alias("p"), (F.col("id") % 3).alias("of"), (F.col("id") + 0.5).alias("at"))
+    out = point_in_range_join(points, spans, "at", "lo", "hi", 2.0, [("of", "room")], "[)")
+    assert "BroadcastHashJoin" not in plan(out) and "SortMergeJoin" in plan(out)
+    rows = spans.collect()
+    want = sorted((p, x.a) for p in range(60) for x in rows if p % 3 == x.room and (x.lo is None or x.lo <= p + 0.5) and (x.hi is None or p + 0.5 < x.hi))
+    assert sorted((r.p, r.a) for r in out.collect()) == want

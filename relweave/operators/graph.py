@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relweave.operators.resolve import resolve_basic
-from relweave.runtime import cut_lineage
+from relweave.runtime import stored
 
 # Driver functions left out of scored results unless certain.
 ORCHESTRATION = (
@@ -22,15 +22,15 @@ ORCHESTRATION = (
 def reach(starts: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(start, name, depth): everything reachable over edges(source, target);
     depth is the fewest steps. The start itself has depth 0."""
-    step = cut_lineage(edges.select("source", "target").distinct())
-    frontier = cut_lineage(starts.select("start", F.col("start").alias("name"), F.lit(0).alias("depth")).distinct())
+    step = stored(edges.select("source", "target").distinct())
+    frontier = stored(starts.select("start", F.col("start").alias("name"), F.lit(0).alias("depth")).distinct())
     seen, depth = frontier, 0
     while max_depth is None or depth < max_depth:
         depth += 1
         new = frontier.join(step, frontier["name"] == step["source"])
         new = new.select("start", F.col("target").alias("name")).distinct()
-        new = new.join(seen, ["start", "name"], "left_anti").withColumn("depth", F.lit(depth))
-        frontier = cut_lineage(new)
+        new = new.join(seen.hint("merge"), ["start", "name"], "left_anti").withColumn("depth", F.lit(depth))
+        frontier = stored(new)
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)  # each part is stored; nothing is rewritten
@@ -77,20 +77,20 @@ def peel(members: DataFrame, edges: DataFrame) -> DataFrame:
     is one above the last of its needs. Members on or behind a cycle get NULL."""
     keys = ["start", "name"]
     inside = edges.join(members.select("start", F.col("name").alias("needs")), ["start", "needs"], "left_semi")
-    inside = cut_lineage(inside.join(members.select(*keys), keys, "left_semi").select(*keys, "needs").distinct())
-    left = cut_lineage(members.select(*keys).distinct())
+    inside = stored(inside.join(members.select(*keys), keys, "left_semi").select(*keys, "needs").distinct())
+    left = stored(members.select(*keys).distinct())
     done, level = None, 0
     while True:
         ready = left.join(inside.select(*keys).distinct(), keys, "left_anti").withColumn("level", F.lit(level))
-        ready = cut_lineage(ready)
+        ready = stored(ready)
         if ready.isEmpty():
             break
         done = ready if done is None else done.unionByName(ready)
-        left = cut_lineage(left.join(ready.select(*keys), keys, "left_anti"))
+        left = stored(left.join(ready.select(*keys), keys, "left_anti"))
         if left.isEmpty():
             break
         gone = ready.select("start", F.col("name").alias("needs"))
-        inside = cut_lineage(inside.join(gone, ["start", "needs"], "left_anti"))
+        inside = stored(inside.join(gone, ["start", "needs"], "left_anti"))
         level += 1
     stuck = left.withColumn("level", F.lit(None).cast("int"))
     return stuck if done is None else done.unionByName(stuck)
@@ -106,7 +106,7 @@ def topo_order(closure: DataFrame, functions: DataFrame) -> DataFrame:
     """
     one = F.lit(0).alias("start")
     edges = functions.select(one, "name", F.explode("calls").alias("needs"))
-    levels = cut_lineage(peel(functions.select(one, "name"), edges).select("name", "level"))
+    levels = stored(peel(functions.select(one, "name"), edges).select("name", "level"))
     return closure.select("start", "name").distinct().join(levels, "name").select("start", "name", "level")
 
 

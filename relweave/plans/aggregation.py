@@ -70,13 +70,13 @@ def agg_count(d: Data):
 
 @query("agg_sum", "SELECT l_linestatus, sum(l_quantity) AS qty, sum(DISTINCT l_quantity) AS qty_distinct, CAST(sum(date_diff('day', o_orderdate, l_shipdate)) * 86400 AS DOUBLE) AS waited FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
 def agg_sum(d: Data):
-    """Also over durations."""
+    """Also over durations; their sum in microseconds would pass 64 bits, so seconds are summed as decimals."""
     from relweave.functions.temporal import interval_seconds
 
     j = d.lineitem.join(d.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    gap = F.sum(F.col("l_shipdate") - F.col("o_orderdate"))
+    gap = interval_seconds(F.col("l_shipdate") - F.col("o_orderdate")).cast("decimal(20,6)")
     return j.groupBy("l_linestatus").agg(
-        F.sum("l_quantity").alias("qty"), F.sum_distinct("l_quantity").alias("qty_distinct"), interval_seconds(gap).alias("waited"))
+        F.sum("l_quantity").alias("qty"), F.sum_distinct("l_quantity").alias("qty_distinct"), F.sum(gap).cast("double").alias("waited"))
 
 
 @query("agg_avg", "SELECT p_brand, round(avg(p_retailprice), 7) AS mean, round(avg(DISTINCT p_size), 4) AS mean_size FROM part GROUP BY 1")

@@ -1,11 +1,13 @@
 """What grows with the tables stays off the driver and out of single tasks."""
 
+from datetime import date
 from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from relweave.operators.ranges import overlap_join, point_in_range_join
+from relweave.plans import aggregation as pa
 from relweave.plans import corpus as pc
 
 
@@ -73,3 +75,15 @@ def test_range_point_join_sends_no_side_whole(spark, spans):
     rows = spans.collect()
     want = sorted((p, x.a) for p in range(60) for x in rows if p % 3 == x.room and (x.lo is None or x.lo <= p + 0.5) and (x.hi is None or p + 0.5 < x.hi))
     assert sorted((r.p, r.a) for r in out.collect()) == want
+
+
+def test_agg_sum_over_durations_of_more_than_64_bits(spark):
+    k = F.col("id")
+    day = lambda text: F.expr(f"timestamp_ntz'{text}'")
+    items = spark.range(100).select(
+        k.alias("l_orderkey"), F.when(k % 2 == 0, "F").otherwise("O").alias("l_linestatus"), F.lit(1.5).alias("l_quantity"),
+        F.when(k % 2 == 0, day("9000-01-01 00:00:00")).otherwise(day("2000-01-02 00:00:00.25")).alias("l_shipdate"))
+    orders = spark.range(100).select(k.alias("o_orderkey"), F.when(k % 2 == 0, day("1000-01-01 00:00:00")).otherwise(day("2000-01-01 00:00:00")).alias("o_orderdate"))
+    got = {r.l_linestatus: (r.qty, r.qty_distinct, r.waited) for r in pa.agg_sum(SimpleNamespace(lineitem=items, orders=orders)).collect()}
+    days = (date(9000, 1, 1) - date(1000, 1, 1)).days
+    assert got == {"F": (75.0, 1.5, 50 * days * 86400.0), "O": (75.0, 1.5, 50 * 86400.25)}

@@ -14,12 +14,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROW = "model string, pk string, fields string"
+#: Control characters stand in JSON only escaped, so no file is ended by them.
+NO_LINE = "\u0001\u0003\u0002\u0001"
+FILE_ROWS = 10_000  # rows of a file that has to be read as a whole
 XML_ROW = "_model string, _pk string, field array<struct<_VALUE:string,_name:string,_type:string,None:string>>"
 
 
 def load_json(spark: SparkSession, path: str) -> DataFrame:
-    """(model, pk, fields as JSON text) of files that hold one array each."""
-    return spark.read.schema(ROW).json(path, multiLine=True)
+    """(model, pk, fields as JSON text) of files that hold one array each.
+
+    A file is read as one line: the multi-line reader goes back to the file for the
+    text of every single pk and fields.
+    """
+    return spark.read.schema(ROW).json(path, lineSep=NO_LINE)
 
 
 def load_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -118,7 +125,8 @@ def dump_jsonl(rows: DataFrame, path: str, compression: str | None = None) -> No
 
 
 def dump_json(rows: DataFrame, path: str) -> None:
-    """One JSON array per part file, written row by row."""
+    """One JSON array per part file, written row by row; about FILE_ROWS rows a file."""
+    rows = rows.repartition(max(1, -(-rows.count() // FILE_ROWS)))
     text = rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
 
     def bracket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

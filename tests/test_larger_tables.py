@@ -1,5 +1,6 @@
 """What grows with the tables stays off the driver and out of single tasks."""
 
+import json
 from datetime import date
 from types import SimpleNamespace
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from relweave.operators.ranges import overlap_join, point_in_range_join
 from relweave.plans import aggregation as pa
 from relweave.plans import corpus as pc
+from relweave.sources import fixtures as fx
 
 
 def plan(df):
@@ -87,3 +89,23 @@ def test_agg_sum_over_durations_of_more_than_64_bits(spark):
     got = {r.l_linestatus: (r.qty, r.qty_distinct, r.waited) for r in pa.agg_sum(SimpleNamespace(lineitem=items, orders=orders)).collect()}
     days = (date(9000, 1, 1) - date(1000, 1, 1)).days
     assert got == {"F": (75.0, 1.5, 50 * days * 86400.0), "O": (75.0, 1.5, 50 * 86400.25)}
+
+
+def test_json_fixture_is_written_in_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    k = F.col("id")
+    rows = fx.fixture_rows(spark.range(0, 95, 1, 1).withColumn("name", F.concat(F.lit("é\n"), k)), "m", k, ["name"])
+    monkeypatch.setattr(fx, "FILE_ROWS", 10)
+    fx.dump_json(rows, str(tmp_path / "many"))
+    files = [json.loads(f.read_text()) for f in (tmp_path / "many").glob("part-*")]
+    assert len(files) == 10 and max(map(len, files)) <= 20 and sum(map(len, files)) == 95
+    back = fx.load_json(spark, str(tmp_path / "many")).collect()
+    assert sorted((int(r.pk), json.loads(r.fields)["name"]) for r in back) == [(i, f"é\n{i}") for i in range(95)]
+    fx.dump_json(rows.where("false"), str(tmp_path / "none"))
+    assert fx.load_json(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_json_fixture_keeps_the_text_of_numbers(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"model": "m", "pk": 1.10, "fields": {"b": 1.10,\n "a": 12345678901234567890123.450}},\n {"model": "n"}]')
+    (tmp_path / "b.json").write_text('{"model": "one", "pk": "7", "fields": {}}')
+    got = {(r.model, r.pk, r.fields) for r in fx.load_json(spark, str(tmp_path)).collect()}
+    assert got == {("m", "1.10", '{"b": 1.10,\n "a": 12345678901234567890123.450}'), ("n", None, None), ("one", "7", "{}")}

@@ -7,6 +7,8 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
+from relweave.functions import geometry as g
+from relweave.operators import spatial as sp
 from relweave.operators.ranges import overlap_join, point_in_range_join
 from relweave.plans import aggregation as pa
 from relweave.plans import corpus as pc
@@ -109,3 +111,52 @@ def test_json_fixture_keeps_the_text_of_numbers(spark, tmp_path):
     (tmp_path / "b.json").write_text('{"model": "one", "pk": "7", "fields": {}}')
     got = {(r.model, r.pk, r.fields) for r in fx.load_json(spark, str(tmp_path)).collect()}
     assert got == {("m", "1.10", '{"b": 1.10,\n "a": 12345678901234567890123.450}'), ("n", None, None), ("one", "7", "{}")}
+
+
+def shapes(spark):
+    """Pairs of a triangle, a square or an odd ring with others on a grid, many of which touch."""
+    k = F.col("id")
+    at = lambda x, y: g.point(x, y)
+    x, y = (k % 5).cast("double") / 2, F.floor(k / 5).cast("double") / 2
+    square = F.array(at(x, y), at(x + 1, y), at(x + 1, y + 1), at(x, y + 1), at(x, y))
+    triangle = F.array(at(x, y), at(x + 1.5, y + 0.25), at(x + 0.5, y + 2), at(x, y))
+    nothing = F.lit(None).cast(square_type := "array<struct<x:double,y:double>>")
+    odd = F.when(k % 7 == 0, F.array().cast(square_type)).when(k % 7 == 1, nothing).when(k % 7 == 2, F.array(at(x, y))).when(
+        k % 7 == 3, F.array(at(x, y), F.lit(None).cast("struct<x:double,y:double>"), at(x + 1, y))).when(
+        k % 7 == 4, F.array(at(x, y), at(F.lit(float("nan")), y), at(x, y + 1), at(x, y))).otherwise(triangle)
+    ring = F.when(k % 3 == 0, square).when(k % 3 == 1, triangle).otherwise(odd)
+    return spark.range(0, 25, 1, 2).select(k.alias("id"), at(x + 0.5, y + 0.5).alias("p"), ring.alias("ring"))
+
+
+def test_geometry_in_batches_tells_what_the_expressions_tell(spark, monkeypatch):
+    monkeypatch.setattr(g, "BLOCK", 16)
+    one = shapes(spark)
+    both = one.crossJoin(one.toDF("other", "p2", "ring2"))
+    tests = ((g.many_rings_intersect, g.rings_intersect, "ring", "ring2"), (g.many_within, g.within, "p2", "ring"), (g.many_covered_by, g.covered_by, "p2", "ring"))
+    cols = [f(F.col(a), F.col(b)).alias(f"{kind}{i}") for i, (many, plain, a, b) in enumerate(tests) for kind, f in (("m", many), ("p", plain))]
+    rows = both.select(*cols).collect()
+    for i in range(3):
+        assert [r[f"m{i}"] for r in rows] == [r[f"p{i}"] for r in rows]
+        assert {True, False, None} >= {r[f"p{i}"] for r in rows} >= {True, False}
+
+
+def test_spatial_joins_send_no_side_whole_and_find_all(spark):
+    k = F.col("id")
+    ring = F.array(*[g.point(k % 9 / 10 + x, F.floor(k / 9) / 10 + y) for x, y in ((0, 0), (0.2, 0.05), (0.1, 0.25), (0, 0))])
+    polygons = spark.range(60).select(k.alias("id"), ring.alias("ring"))
+    points = spark.range(200).select(k.alias("vec_id"), g.point(k % 20 / 19, F.floor(k / 20) / 11).alias("p"))
+    pairs = points.crossJoin(polygons)
+    for test, edge in ((g.within, False), (g.covered_by, True)):
+        want = sorted((r.vec_id, r.id) for r in pairs.where(test(F.col("p"), F.col("ring"))).collect())
+        out = sp.point_in_polygon(points, polygons, "p", "ring", 0.1, boundary=edge)
+        assert "BroadcastHashJoin" not in plan(out) and sorted((r.vec_id, r.id) for r in out.collect()) == want
+        held = sp.point_in_polygon(points, polygons, "p", "ring", 0.1, boundary=edge, holders=True)
+        assert held.columns == ["id", "ring"] and {r.id for r in held.collect()} == {b for _, b in want}
+        own = points.withColumn("own", F.col("vec_id") % 60)
+        got = sp.point_in_polygon(own, polygons, "p", "ring", 0.1, boundary=edge, own=("own", "id"))
+        assert sorted((r.vec_id, r.id) for r in got.collect()) == [(a, b) for a, b in want if a % 60 == b]
+    other = polygons.toDF("other", "ring2")
+    meet = g.BOX_TESTS["bboverlaps"](g.box(F.col("ring")), g.box(F.col("ring2"))) & g.rings_intersect(F.col("ring"), F.col("ring2"))
+    want = sorted((r.id, r.other) for r in polygons.crossJoin(other).where((k < F.col("other")) & meet).collect())
+    out = sp.polygons_intersect(polygons, other, "ring", "ring2", 0.1, k < F.col("other"))
+    assert "BroadcastHashJoin" not in plan(out) and sorted((r.id, r.other) for r in out.collect()) == want

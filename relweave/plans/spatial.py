@@ -70,8 +70,8 @@ def polygons_intersect(d: Data):
 @query("polygons_disjoint_same", f"SELECT id, TRUE AS same FROM {POLY} WHERE id NOT IN (SELECT id FROM ({INSIDE}))")
 def polygons_disjoint_same(d: Data):
     """Polygons that hold no point; vertex-wise equality with themselves."""
-    hit = sp.point_in_polygon(points(d), polygons(d), "p", "ring", 0.1).select("id")
-    free = polygons(d).join(hit, "id", "left_anti")
+    hit = sp.point_in_polygon(points(d), polygons(d), "p", "ring", 0.1, holders=True).select("id")
+    free = polygons(d).join(hit.hint("merge"), "id", "left_anti")
     return free.select("id", (F.col("ring") == g.from_wkt(g.as_wkt(F.col("ring")))).alias("same"))
 
 

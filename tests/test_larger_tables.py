@@ -1,13 +1,16 @@
 """What grows with the tables stays off the driver and out of single tasks."""
 
 import json
+import random
 from datetime import date
+from difflib import SequenceMatcher
 from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from relweave.functions import geometry as g
+from relweave.operators import similarity as sm
 from relweave.operators import spatial as sp
 from relweave.operators.ranges import overlap_join, point_in_range_join
 from relweave.plans import aggregation as pa
@@ -160,3 +163,32 @@ def test_spatial_joins_send_no_side_whole_and_find_all(spark):
     want = sorted((r.id, r.other) for r in polygons.crossJoin(other).where((k < F.col("other")) & meet).collect())
     out = sp.polygons_intersect(polygons, other, "ring", "ring2", 0.1, k < F.col("other"))
     assert "BroadcastHashJoin" not in plan(out) and sorted((r.id, r.other) for r in out.collect()) == want
+
+
+@pytest.mark.parametrize("variants", [0, 6, 600])
+def test_names_that_meet_by_deletion_or_by_tokens(spark, monkeypatch, variants):
+    monkeypatch.setattr(sm, "VARIANTS", variants)
+    pick = random.Random(5)
+    names = ["".join(pick.choice("abé_") for _ in range(pick.randint(1, 14))) for _ in range(150)] + ["Total", "total", "TOTALS", "", None]
+    near = [n[: (i := pick.randrange(len(n)))] + pick.choice("xab") + n[i + 1 :] for n in names[:60]] + ["aaaaaaaaaaaa", "Total"]
+    frame = lambda ns: spark.createDataFrame([(n,) for n in ns], "name string")
+    want = set()
+    for a in {n for n in names if n}:
+        for b in set(near):
+            r = SequenceMatcher(None, "", "")
+            r.set_seq2(b.lower())
+            r.set_seq1(a.lower())
+            if r.ratio() >= 0.8:
+                want.add((a, b, r.ratio()))
+    got = sm.ratio_join(frame(names), frame(near), 0.8).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want and len(want) > 60
+
+
+def test_random_names_make_few_candidates(spark):
+    """Of 3,000 random names the tokens of each meet about 700 others."""
+    k = F.col("id")
+    names = lambda low: spark.range(low, low + 3000).select(F.concat(F.lit("f"), F.substring(F.md5(k.cast("string")), 1, 12)).alias("name"))
+    listed = [sm._left_overs(names(low).withColumnRenamed("name", "n"), {13: {11}}) for low in (0, 2990)]
+    pairs = listed[0].join(listed[1].withColumnRenamed("n", "b"), "key").select("n", "b").distinct()
+    assert 10 <= pairs.count() < 50
+    assert sm._classes({13: 9}, {13: 9}, 0.8)[1] == {(13, 13)}

@@ -192,3 +192,18 @@ def test_random_names_make_few_candidates(spark):
     pairs = listed[0].join(listed[1].withColumnRenamed("n", "b"), "key").select("n", "b").distinct()
     assert 10 <= pairs.count() < 50
     assert sm._classes({13: 9}, {13: 9}, 0.8)[1] == {(13, 13)}
+
+
+def test_a_file_is_walked_once(monkeypatch):
+    """Functions inside functions do not have their trees read again."""
+    from relweave.operators import corpus as co
+
+    walked = []
+    plain = co.ast.walk
+    monkeypatch.setattr(co.ast, "walk", lambda node: walked.append(node) or plain(node))
+    source = "import a\nclass C:\n    def m(self, x: int) -> str:\n        import b\n        def inner(y=h(1)):\n            return self.n(y) if y and x or g.f.k() else o.p()\n        while x:\n            self.q()\n        return inner\n"
+    rows = co._functions_of("a.py", source)
+    assert not walked
+    assert [(r[0], r[4], r[5], r[8], r[9], r[10]) for r in rows] == [
+        ("C.m", ["C.n", "C.q", "h", "k", "n", "o.p", "p", "q", "self.n", "self.q"], ["a"], {"x": "int"}, "str", 4.0),
+        ("C.inner", ["C.n", "h", "k", "n", "o.p", "p", "self.n"], ["a", "b"], {}, None, 3.0)]

@@ -243,8 +243,6 @@ def headline_fragments(
     marked = lambda x: F.regexp_replace(x, rx, f"{start}$1{stop}")
     if highlight_all:
         return marked(text)
-    parts = F.split(F.trim(text), r"\s+")
-    hits = F.filter(F.transform(parts, lambda p, i: F.when(p.rlike(rx), i)), lambda i: i.isNotNull())
     piece = lambda s, e, n: F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"), n.cast("int").alias("n"))
     none = piece(F.lit(None), F.lit(None), F.lit(0))
     empty = F.struct(F.array().cast("array<struct<s:int,e:int,n:int>>").alias("done"), none.alias("cur"))
@@ -256,11 +254,7 @@ def headline_fragments(
         fresh = F.struct(closed(st).alias("done"), piece(h, h, F.lit(1)).alias("cur"))
         return F.when((cur["n"] > 0) & (h < cur["s"] + max_words), longer).otherwise(fresh)
 
-    ranked = F.array_sort(F.transform(F.aggregate(hits, empty, step, closed), lambda x: F.struct(
-        (-x["n"]).alias("less"), (x["e"] - x["s"]).alias("span"), x["s"].alias("s"), x["e"].alias("e"))))
-    best = F.array_sort(F.transform(F.slice(ranked, 1, max_fragments), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
-
-    def shown(all_best: Column, x: Column, i: Column) -> Column:
+    def shown(parts: Column, all_best: Column, x: Column, i: Column) -> Column:
         room = F.lit(max_words) - (x["e"] - x["s"] + 1)
         before = F.when(i > 0, F.get(all_best, i - 1)["e"]).otherwise(F.lit(None))
         after = F.get(all_best, i + 1)["s"]
@@ -270,10 +264,18 @@ def headline_fragments(
         long_word = lambda j, own: (F.length(F.get(parts, j.cast("int"))) > short_word) | (j == own)
         first = F.array_min(F.filter(F.sequence(low.cast("int"), x["s"]), lambda j: long_word(j, x["s"])))
         last = F.array_max(F.filter(F.sequence(x["e"], high.cast("int")), lambda j: long_word(j, x["e"])))
-        return marked(F.array_join(F.slice(parts, first + 1, last - first + 1), " "))
-
-    found = F.array_join(F.transform(best, lambda x, i: shown(best, x, i)), delimiter)
-    return F.when(F.size(hits) > 0, found).otherwise(F.array_join(F.slice(parts, 1, min_words), " "))
+        return marked(let(first, lambda at: F.array_join(F.slice(parts, at + 1, last - at + 1), " ")))
+
+    def cut(parts: Column, hits: Column) -> Column:
+        ranked = F.array_sort(F.transform(F.aggregate(hits, empty, step, closed), lambda x: F.struct(
+            (-x["n"]).alias("less"), (x["e"] - x["s"]).alias("span"), x["s"].alias("s"), x["e"].alias("e"))))
+        best = F.array_sort(F.transform(F.slice(ranked, 1, max_fragments), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
+        found = let(best, lambda b: F.array_join(F.transform(b, lambda x, i: shown(parts, b, x, i)), delimiter))
+        return F.when(F.size(hits) > 0, found).otherwise(F.array_join(F.slice(parts, 1, min_words), " "))
+
+    matching = lambda parts: F.filter(F.transform(parts, lambda p, i: F.when(p.rlike(rx), i)), lambda i: i.isNotNull())
+    # The text is split once, and its words are tested once.
+    return let(F.split(F.trim(text), r"\s+"), lambda parts: let(matching(parts), lambda hits: cut(parts, hits)))
 
 
 def trigrams(text: Column) -> Column:

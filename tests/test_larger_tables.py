@@ -207,3 +207,12 @@ def test_a_file_is_walked_once(monkeypatch):
     assert [(r[0], r[4], r[5], r[8], r[9], r[10]) for r in rows] == [
         ("C.m", ["C.n", "C.q", "h", "k", "n", "o.p", "p", "q", "self.n", "self.q"], ["a"], {"x": "int"}, "str", 4.0),
         ("C.inner", ["C.n", "h", "k", "n", "o.p", "p", "self.n"], ["a", "b"], {}, None, 3.0)]
+
+
+def test_fragments_split_a_text_once(spark):
+    """Words bound once; as part of each use they were made again for every word looked at."""
+    from relweave.operators import search as se
+
+    df = spark.createDataFrame([("a cat and a dog " * 30,)], "text string").select(se.headline_fragments(F.col("text"), ["cat"], max_fragments=3, max_words=8))
+    made = df._jdf.queryExecution().optimizedPlan().toString()
+    assert made.count("split(") == 1 and made.count("RLIKE") == 1

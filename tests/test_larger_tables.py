@@ -6,6 +6,7 @@ from datetime import date
 from difflib import SequenceMatcher
 from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,6 +214,26 @@ def test_fragments_split_a_text_once(spark):
     """Words bound once; as part of each use they were made again for every word looked at."""
     from relweave.operators import search as se
 
-    df = spark.createDataFrame([("a cat and a dog " * 30,)], "text string").select(se.headline_fragments(F.col("text"), ["cat"], max_fragments=3, max_words=8))
+    df = spark.createDataFrame([("a cat and a dog " * 30,)], "text string").select(se.headline_fragments(F.col("text"), ["cat"], max_fragments=3, max_words=8).alias("pieces"))
     made = df._jdf.queryExecution().optimizedPlan().toString()
     assert made.count("split(") == 1 and made.count("RLIKE") == 1
+
+
+def test_batches_of_long_texts_are_bounded_in_bytes(spark, tmp_path):
+    """10,000 rows a batch is Spark's other limit, whatever they hold."""
+    from relweave.plans import registry
+
+    name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", lambda batches: (pd.DataFrame({"n": [len(b)]}) for b in batches)
+    was = spark.conf.get(name)
+    spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("abcdefghij"), 400).alias("t")).write.parquet(str(tmp_path / "long.parquet"))
+    try:
+        spark.conf.set(name, "64m")
+        registry.query("batch_sizes")(lambda d: d.long.mapInPandas(seen, "n int"))
+        sizes = [r.n for r in registry.QUERIES["batch_sizes"](spark, str(tmp_path)).collect()]
+        assert sum(sizes) == 4000 and max(sizes) < 2000
+        spark.conf.set(name, "1m")  # a smaller limit of the session's own stays
+        assert max(r.n for r in registry.QUERIES["batch_sizes"](spark, str(tmp_path)).collect()) < 500
+    finally:
+        registry.QUERIES.pop("batch_sizes", None)
+        registry.MODULES.pop("batch_sizes", None)
+        spark.conf.set(name, was)

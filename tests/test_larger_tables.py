@@ -237,3 +237,12 @@ def test_batches_of_long_texts_are_bounded_in_bytes(spark, tmp_path):
         registry.QUERIES.pop("batch_sizes", None)
         registry.MODULES.pop("batch_sizes", None)
         spark.conf.set(name, was)
+
+
+def test_the_earlier_run_is_parsed_once(parts):
+    """Its rows are read for the reused functions and for the known files."""
+    out = pc.incremental_analysis(parts)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    assert "BroadcastHashJoin" not in plan(out)
+    got = out.where("file_path = 'pkg0/mod_8.py' or file_path = 'pkg0/mod_9.py'").select("file_path", "reused").distinct().collect()
+    assert sorted(map(tuple, got)) == [("pkg0/mod_8.py", False), ("pkg0/mod_9.py", True)]

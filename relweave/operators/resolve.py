@@ -21,6 +21,8 @@ CONTEXT_CAP = 0.95
 CONSTRUCTOR, IMPORTED = 0.95, 0.8
 FUZZY_BELOW = 0.7
 BEST = 5
+# Calls from which a name is joined apart.
+HOT = 100_000
 
 
 def resolve_basic(calls: DataFrame, functions: DataFrame) -> DataFrame:
@@ -38,7 +40,23 @@ def resolve_basic(calls: DataFrame, functions: DataFrame) -> DataFrame:
     known = calls.select("call").distinct().withColumn("method", method)
     known = known.join(exact, "call", "left").join(init, "call", "left").join(methods, "method", "left")
     known = known.select("call", F.coalesce("t_exact", "t_init", "t_method").alias("target"))
-    return calls.join(known, "call", "left")
+    return join_called(calls, known, "call", "left")
+
+
+def join_called(calls: DataFrame, named: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Calls joined with ``named``, which holds a called name (``key``) once.
+
+    A name that a share of all code calls, such as ``dumps``, would send its calls to one
+    task. Names are counted first; those with more than ``HOT`` calls, at most one per
+    ``HOT`` calls in all, meet their rows without a shuffle of the calls.
+    """
+    counts = calls.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > HOT)
+    hot = [r[0] for r in counts.select(key).where(F.col(key).isNotNull()).collect()]
+    if not hot:
+        return calls.join(named, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    few = F.broadcast(named.where(is_hot))  # as many rows as hot names at most
+    return calls.where(~is_hot).join(named.where(~is_hot), key, how).unionByName(calls.where(is_hot).join(few, key, how))
 
 
 def _context(same_file: Column, same_package: Column, linked: Column, ratio: Column) -> Column:

@@ -227,7 +227,7 @@ def context_score(d: Data):
     """Scores of the exact edges; the name part is taken off for the comparison."""
     f = functions(d)
     edges = f.select(F.col("name").alias("source"), F.col("file_path").alias("source_file"), F.explode("calls").alias("target"))
-    pairs = edges.join(f.select(F.col("name").alias("target"), F.col("file_path").alias("target_file")), "target")
+    pairs = rs.join_called(edges, f.select(F.col("name").alias("target"), F.col("file_path").alias("target_file")), "target")
     scored = rs.context_scores(pairs, co.import_table(f))
     return scored.select("source", "target", F.round(F.col("score") - sm.match_ratio("target", "source") * 0.1, 2).alias("place_score"))
 

@@ -246,3 +246,20 @@ def test_the_earlier_run_is_parsed_once(parts):
     assert "BroadcastHashJoin" not in plan(out)
     got = out.where("file_path = 'pkg0/mod_8.py' or file_path = 'pkg0/mod_9.py'").select("file_path", "reused").distinct().collect()
     assert sorted(map(tuple, got)) == [("pkg0/mod_8.py", False), ("pkg0/mod_9.py", True)]
+
+
+def test_calls_of_hot_names_are_not_shuffled(spark, parts, monkeypatch):
+    from relweave.operators import resolve as rs
+
+    calls = spark.createDataFrame([(i, "dumps" if i % 2 else "f" if i % 4 else f"g{i % 3}") for i in range(200)] + [(200, None)], "id int, call string")
+    named = spark.createDataFrame([("f", 1), ("g0", 2), ("g1", 3), ("h", 4)], "call string, n int").hint("merge")
+    monkeypatch.setattr(rs, "HOT", 40)
+    for how in ("inner", "left"):
+        out, want = rs.join_called(calls, named, "call", how), calls.join(named, "call", how)
+        key = lambda r: tuple(map(str, r))
+        assert out.columns == want.columns and sorted(out.collect(), key=key) == sorted(want.collect(), key=key)
+        assert plan(out).count("BroadcastHashJoin") == 1 and plan(out).count("SortMergeJoin") == 1
+    monkeypatch.undo()
+    want = sorted(pc.context_score(parts).collect())
+    monkeypatch.setattr(rs, "HOT", 3)
+    assert sorted(pc.context_score(parts).collect()) == want and want

@@ -48,15 +48,19 @@ def join_called(calls: DataFrame, named: DataFrame, key: str, how: str = "inner"
 
     A name that a share of all code calls, such as ``dumps``, would send its calls to one
     task. Names are counted first; those with more than ``HOT`` calls, at most one per
-    ``HOT`` calls in all, meet their rows without a shuffle of the calls.
+    ``HOT`` calls in all, meet their rows without a shuffle of the calls. These rows are
+    joined by the name's number: Spark holds rows of any other key but one 64-bit number in
+    pages of up to 64 MB, on the driver and on every executor, however few they are.
     """
     counts = calls.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > HOT)
     hot = [r[0] for r in counts.select(key).where(F.col(key).isNotNull()).collect()]
     if not hot:
         return calls.join(named, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    few = F.broadcast(named.where(is_hot))  # as many rows as hot names at most
-    return calls.where(~is_hot).join(named.where(~is_hot), key, how).unionByName(calls.where(is_hot).join(few, key, how))
+    number = F.array_position(F.array(*map(F.lit, hot)), F.col(key)).alias("__hot")
+    few = F.broadcast(named.where(is_hot).select("*", number).drop(key))  # as many rows as hot names at most
+    met = calls.where(is_hot).select("*", number).join(few, "__hot", how).drop("__hot")
+    return calls.where(~is_hot).join(named.where(~is_hot), key, how).unionByName(met)
 
 
 def _context(same_file: Column, same_package: Column, linked: Column, ratio: Column) -> Column:

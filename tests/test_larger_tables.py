@@ -263,3 +263,40 @@ def test_calls_of_hot_names_are_not_shuffled(spark, parts, monkeypatch):
     want = sorted(pc.context_score(parts).collect())
     monkeypatch.setattr(rs, "HOT", 3)
     assert sorted(pc.context_score(parts).collect()) == want and want
+
+
+def broadcast_bytes(df):
+    """What Spark holds for each broadcast side once the query has run."""
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "BroadcastExchange":
+            found.append(node.metrics().apply("dataSize").value())
+        todo += [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if name.endswith("QueryStage") else []
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_rows_of_hot_names_are_held_in_no_page_of_64_mb(spark, monkeypatch):
+    from relweave.operators import resolve as rs
+
+    calls = spark.createDataFrame([(i, "dumps" if i % 2 else "f") for i in range(200)] + [(200, None), (201, "g")], "id int, call string")
+    named = spark.createDataFrame([("f", 1), ("dumps", 2), ("g", None)], "call string, n int").hint("merge")
+    monkeypatch.setattr(rs, "HOT", 40)
+    out = rs.join_called(calls, named, "call", "left")
+    assert out.columns == ["call", "id", "n"]
+    assert {(r.call, r.n) for r in out.collect()} == {("f", 1), ("dumps", 2), ("g", None), (None, None)} and out.count() == 202
+    sizes = broadcast_bytes(out)
+    assert len(sizes) == 1 and 0 < sizes[0] < 4 << 20
+
+
+@pytest.mark.parametrize("name", ["topo_order", "cycle_detection", "dependency_report"])
+def test_hot_names_change_no_order(parts, monkeypatch, name):
+    from relweave.operators import resolve as rs
+
+    rows = lambda: sorted(getattr(pc, name)(parts).collect(), key=str)
+    want = rows()
+    monkeypatch.setattr(rs, "HOT", 3)
+    assert rows() == want and want

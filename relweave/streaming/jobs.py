@@ -137,12 +137,14 @@ def bucketed_upsert(spark: SparkSession, path: str, keys: list[str], order: list
         if not there(f"{staged}/_SUCCESS"):
             rows = batch.withColumn(BUCKET, bucket).withColumn("__new", F.lit(1))
             if there(table):
+                batch.persist()  # read twice: a stream's state would be worked out again
                 touched = [r[0] for r in rows.select(BUCKET).distinct().collect()]  # at most ``buckets`` numbers
                 old = spark.read.schema(rows.drop("__new").schema).parquet(table).where(F.col(BUCKET).isin(touched))
                 rows = rows.unionByName(old.withColumn("__new", F.lit(0)))
             newest = [*(order or []), -F.col("__new")]
             merged = wr.first_per_key(rows, keys, newest).drop("__new")
             merged.repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(staged)
+            batch.unpersist()
         done = spark.read.schema(batch.withColumn(BUCKET, bucket).schema).parquet(staged)
         writer = done.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy(BUCKET).parquet(table)

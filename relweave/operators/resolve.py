@@ -174,17 +174,19 @@ def _fuzzy_matches(open_calls: DataFrame, functions: DataFrame, imports: DataFra
     return scored.select("source", "call", "target", conf.alias("confidence"), F.lit("fuzzy").alias("match_type"), ratio)
 
 
-def _import_matches(open_calls: DataFrame, functions: DataFrame, imports: DataFrame) -> DataFrame:
-    """Functions of the files that hold an import naming the call. All score the
-    same, so the first five names per (call, import) suffice for any caller."""
+def _import_matches(open_calls: DataFrame, functions: DataFrame, imports: DataFrame, best: int | None = None) -> DataFrame:
+    """Functions of the files that hold an import naming the call, all of them. With
+    ``best`` only the first so many names per (call, import): all score the same, so
+    that is enough for the first ``best`` targets of any caller."""
     own = open_calls.join(imports.withColumnRenamed("file_path", "source_file"), "source_file")
     own = own.where(F.col("import").contains(F.col("call")))
     keys = own.select("call", "import").distinct()
     holders = functions.select("name", "file_path").join(imports, "file_path")
     cand = keys.join(holders.hint("merge"), "import").where(F.col("name").contains(F.col("call")))
-    w = Window.partitionBy("call", "import").orderBy("name")
     cand = cand.select("call", "import", "name").distinct()
-    cand = cand.withColumn("r", F.row_number().over(w)).where(F.col("r") <= BEST).drop("r")
+    if best is not None:
+        w = Window.partitionBy("call", "import").orderBy("name")
+        cand = cand.withColumn("r", F.row_number().over(w)).where(F.col("r") <= best).drop("r")
     out = own.join(cand.hint("merge"), ["call", "import"]).groupBy("source", "call", F.col("name").alias("target")).agg(F.min("import").alias("detail"))
     return out.select("source", "call", "target", F.lit(IMPORTED).alias("confidence"), F.lit("import").alias("match_type"), "detail")
 
@@ -212,7 +214,7 @@ def resolve_scored(functions: DataFrame, chunk: int = 1000) -> DataFrame:
     early = made.unionByName(methods.withColumn("detail", none).select(*made.columns))
     sure = early.where(F.col("confidence") >= FUZZY_BELOW).select("source", "call").distinct()
     fuzzy = _fuzzy_matches(open_calls.join(sure, ["source", "call"], "left_anti"), functions, imports)
-    found = early.unionByName(fuzzy).unionByName(_import_matches(open_calls, functions, imports))
+    found = early.unionByName(fuzzy).unionByName(_import_matches(open_calls, functions, imports, BEST))
     rank = F.expr("array_position(array('constructor', 'method', 'fuzzy', 'import'), match_type)")
     w = Window.partitionBy("source", "call").orderBy(F.desc("confidence"), rank, "target")
     found = found.withColumn("position", F.row_number().over(w)).where(F.col("position") <= BEST)

@@ -1,7 +1,11 @@
 """Whole results, and rows that grow no faster than the tables."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
+from relweave.operators import ranges as rg
 from relweave.operators import resolve as rs
 
 
@@ -15,3 +19,53 @@ def test_import_resolution_names_every_function(spark):
     assert sorted((r.source, r.target) for r in got) == [(a, b) for a in names for b in names]
     few = rs._import_matches(calls, functions, imports, rs.BEST).collect()
     assert sorted((r.source, r.target) for r in few) == [(a, b) for a in names for b in names[:5]]
+
+
+def odd_spans(spark, rows=300):
+    """Ranges of very different lengths, some open, empty or turned round."""
+    pick = random.Random(3)
+    out = []
+    for i in range(rows):
+        lo = pick.choice([None, *[pick.uniform(0, 1000)] * 9])
+        hi = None if pick.random() < 0.1 else (lo or 0.0) + pick.choice([-5.0, 0.0, 0.3, 2.0, 40.0, 700.0]) * pick.random()
+        out.append((i, i % 4, lo, hi))
+    return spark.createDataFrame(out, "a int, room int, lo double, hi double")
+
+
+def test_ranges_and_points_are_listed_few_times(spark, monkeypatch):
+    spans, sizes = odd_spans(spark), []
+    listed = rg._listed
+
+    def counted(*args):
+        sides = listed(*args)
+        sizes.append([s.count() for s in sides])
+        return sides
+
+    monkeypatch.setattr(rg, "_listed", counted)
+    points = spark.range(400).select(F.col("id").alias("p"), (F.col("id") % 4).alias("of"), (F.col("id") * 2.5 + 0.1).alias("at"))
+    rows, at = spans.collect(), points.collect()
+    hold = lambda r, v: (r.lo is None or r.lo <= v) and (r.hi is None or v < r.hi)
+    for cost in (40, 0):  # few levels, all levels
+        monkeypatch.setattr(rg, "ROW_PAIRS", cost)
+        got = rg.point_in_range_join(points, spans, "at", "lo", "hi", 0.5, [("of", "room")], "[)").collect()
+        assert sorted((r.p, r.a) for r in got) == sorted((p.p, r.a) for p in at for r in rows if p.of == r.room and hold(r, p.at))
+        full = [r for r in rows if r.lo is None or r.hi is None or r.lo < r.hi]
+        meet = lambda x, y: (x.lo is None or y.hi is None or x.lo < y.hi) and (y.lo is None or x.hi is None or y.lo < x.hi)
+        got = rg.overlap_join(spans, spans.toDF("b", "room2", "lo2", "hi2"), [("room", "room2")], ("lo", "hi"), ("lo2", "hi2"), 0.5).collect()
+        assert sorted((r.a, r.b) for r in got) == sorted((x.a, y.a) for x in full for y in full if x.room == y.room and meet(x, y))
+    assert sizes[0][0] <= 3 * 400 and sizes[0][1] <= 2 * 300  # before: eleven rows a point
+
+
+def test_levels_follow_the_cheaper_sum():
+    assert rg.chosen_levels({}, 10, {}, 1) == []
+    assert rg.chosen_levels({0: 10, 9: 5}, 10, {0: 10, 9: 1}, 1) == [9]
+    spots = {0: 1 << 17, 4: 1 << 13, 17: 1}
+    assert rg.chosen_levels({0: 10**6, 4: 10**5, 17: 10**4}, 10**6, spots, 1) == [0, 4, 17]
+
+
+@pytest.mark.parametrize("width", [1.0, 1e-9])
+def test_ranges_without_rows(spark, width):
+    spans = odd_spans(spark, 8)
+    points = spark.createDataFrame([(1, 0, None)], "p int, of int, at double")
+    assert rg.point_in_range_join(points, spans, "at", "lo", "hi", width).count() == 0
+    assert rg.point_in_range_join(spark.createDataFrame([(1, 0, 5.0)], points.schema), spans.where("false"), "at", "lo", "hi", width).count() == 0

@@ -1,12 +1,14 @@
 """Whole results, and rows that grow no faster than the tables."""
 
 import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
 from relweave.operators import ranges as rg
 from relweave.operators import resolve as rs
+from relweave.operators import similarity as sm
 
 
 def test_import_resolution_names_every_function(spark):
@@ -69,3 +71,42 @@ def test_ranges_without_rows(spark, width):
     points = spark.createDataFrame([(1, 0, None)], "p int, of int, at double")
     assert rg.point_in_range_join(points, spans, "at", "lo", "hi", width).count() == 0
     assert rg.point_in_range_join(spark.createDataFrame([(1, 0, 5.0)], points.schema), spans.where("false"), "at", "lo", "hi", width).count() == 0
+
+
+def close_names(ratio=0.8):
+    """Names of 11 to 18 characters and others made of them by leaving out or adding some."""
+    pick = random.Random(7)
+    made = lambda k: "".join(pick.choice("abcd") for _ in range(k))
+    left = [made(pick.choice([11, 12, 13])) for _ in range(120)]
+    right = [made(pick.choice([13, 16, 18])) for _ in range(60)]
+    for n in left:
+        chars = list(n)
+        for _ in range(pick.randrange(3)):
+            del chars[pick.randrange(len(chars))]
+        for _ in range(pick.randrange(6)):
+            chars.insert(pick.randrange(len(chars) + 1), pick.choice("abcdx"))
+        right.append("".join(chars))
+    want = set()
+    for a in set(left):
+        for b in set(right):
+            m = SequenceMatcher(None, a, b)
+            if m.ratio() >= ratio:
+                want.add((a, b))
+    return left, right, want
+
+
+@pytest.mark.parametrize("goes", [1, 5])
+def test_names_that_meet_by_halves_in_several_goes(spark, monkeypatch, goes):
+    left, right, want = close_names()
+    lengths = [{k: sum(len(n) == k for n in set(ns)) for k in {len(n) for n in ns}} for ns in (left, right)]
+    alike = [0.01] * 20  # so unlikely that halves are always taken
+    monkeypatch.setattr(sm, "FEW_KEYS", 0)
+    monkeypatch.setattr(sm, "_alike", lambda sides, size: (alike, alike))
+    keep, done, _ = sm._classes(*lengths, 0.8, (alike, alike))
+    plain = sm._classes(*lengths, 0.8)[0]
+    ways = lambda k: sum(lengths[i][n] * sm._ways(s, n) for i in (0, 1) for n, specs in k[i].items() for s in specs)
+    assert any(isinstance(s, tuple) for specs in keep[1].values() for s in specs) and ways(keep) < ways(plain) / 3
+    monkeypatch.setattr(sm, "ROUND_KEYS", -(-ways(keep) // goes))
+    frame = lambda ns: spark.createDataFrame([(n,) for n in ns], "name string")
+    got = sm.ratio_join(frame(left), frame(right), 0.8).collect()
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want) > 100

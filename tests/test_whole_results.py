@@ -1,6 +1,7 @@
 """Whole results, and rows that grow no faster than the tables."""
 
 import random
+import time
 from difflib import SequenceMatcher
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from relweave.operators import ranges as rg
 from relweave.operators import resolve as rs
 from relweave.operators import similarity as sm
+from relweave.runtime import cut_lineage
 
 
 def test_import_resolution_names_every_function(spark):
@@ -110,3 +112,18 @@ def test_names_that_meet_by_halves_in_several_goes(spark, monkeypatch, goes):
     frame = lambda ns: spark.createDataFrame([(n,) for n in ns], "name string")
     got = sm.ratio_join(frame(left), frame(right), 0.8).collect()
     assert {(r.a, r.b) for r in got} == want and len(got) == len(want) > 100
+
+
+def test_what_a_checkpoint_shuffled_is_deleted(spark):
+    import glob
+    import os
+
+    root = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in root for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    before = files()
+    kept = cut_lineage(spark.range(50_000).repartition(4).groupBy((F.col("id") % 977).alias("k")).agg(F.count("*").alias("n")))
+    assert kept.count() == 977 and kept.agg(F.sum("n")).first()[0] == 50_000
+    until = time.time() + 20
+    while time.time() < until and any(os.path.getsize(f) > 5_000 for f in files() - before):
+        time.sleep(0.2)
+    assert not any(os.path.getsize(f) > 5_000 for f in files() - before)

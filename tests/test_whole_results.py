@@ -4,6 +4,8 @@ import random
 import time
 from difflib import SequenceMatcher
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +129,16 @@ def test_what_a_checkpoint_shuffled_is_deleted(spark):
     while time.time() < until and any(os.path.getsize(f) > 5_000 for f in files() - before):
         time.sleep(0.2)
     assert not any(os.path.getsize(f) > 5_000 for f in files() - before)
+
+
+def test_rows_for_many_lists_come_in_small_batches():
+    """A query that reads every list is copied thousands of times."""
+    from relweave.llm import postings
+
+    v = pa.array(np.arange(300 * 64, dtype=float).reshape(300, 64).tolist())
+    part = pa.RecordBatch.from_arrays([pa.array(range(300)), v], names=["q", "v"])
+    rows, lists = np.repeat(np.arange(300), 200), np.tile(np.arange(200, dtype=np.int32), 300)
+    out = list(postings.copied(part, rows, lists, ["q", "v"]))
+    assert max(b.nbytes for b in out) < 2 * postings.BATCH_BYTES < 30_000_000 < sum(b.nbytes for b in out)
+    assert np.concatenate([b.column("q") for b in out]).tolist() == rows.tolist()
+    assert np.concatenate([b.column("list") for b in out]).tolist() == lists.tolist()

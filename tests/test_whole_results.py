@@ -5,6 +5,7 @@ import time
 from difflib import SequenceMatcher
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -103,11 +104,12 @@ def close_names(ratio=0.8):
 def test_names_that_meet_by_halves_in_several_goes(spark, monkeypatch, goes):
     left, right, want = close_names()
     lengths = [{k: sum(len(n) == k for n in set(ns)) for k in {len(n) for n in ns}} for ns in (left, right)]
-    alike = [0.01] * 20  # so unlikely that halves are always taken
+    never = lambda k: 1e-9  # noqa: E731  so unlikely that halves are always taken
     monkeypatch.setattr(sm, "FEW_KEYS", 0)
-    monkeypatch.setattr(sm, "_alike", lambda sides, size: (alike, alike))
-    keep, done, _ = sm._classes(*lengths, 0.8, (alike, alike))
-    plain = sm._classes(*lengths, 0.8)[0]
+    monkeypatch.setattr(sm, "VARIANTS", 0)
+    monkeypatch.setattr(sm, "_alike", lambda *args: (never, never))
+    keep, done, _ = sm._classes(*lengths, 0.8, (never, never))
+    plain = sm._classes({**lengths[0]}, {k: 1000 * n for k, n in lengths[1].items()}, 0.8)[0]
     ways = lambda k: sum(lengths[i][n] * sm._ways(s, n) for i in (0, 1) for n, specs in k[i].items() for s in specs)
     assert any(isinstance(s, tuple) for specs in keep[1].values() for s in specs) and ways(keep) < ways(plain) / 3
     monkeypatch.setattr(sm, "ROUND_KEYS", -(-ways(keep) // goes))
@@ -131,6 +133,38 @@ def test_what_a_checkpoint_shuffled_is_deleted(spark):
     assert not any(os.path.getsize(f) > 5_000 for f in files() - before)
 
 
+def test_few_pairs_are_compared_block_by_block(monkeypatch):
+    """Names of random digits share few characters, which a bit table tells at once."""
+    pick = random.Random(2)
+    names = ["".join(pick.choice("abcdef0123456789é") for _ in range(pick.randint(0, 16))) for _ in range(60)] + ["x" * 70, "x" * 64 + "y", "A\x00b", "a\x00"]
+    a, b = zip(*((x, y) for x in names for y in names))
+
+    def longest(x, y):
+        row = [0] * (len(y) + 1)
+        for c in x:
+            new = [0]
+            for j, d in enumerate(y):
+                new.append(row[j] + 1 if c == d else max(new[-1], row[j + 1]))
+            row = new
+        return row[-1]
+
+    got = sm.common_characters(list(a), list(b))
+    assert [int(v) for v in got] == [longest(x, y) if max(len(x), len(y)) <= 63 else min(len(x), len(y)) for x, y in zip(a, b)]
+    calls = []
+    ratio = SequenceMatcher.ratio
+    monkeypatch.setattr(SequenceMatcher, "ratio", lambda m: calls.append(1) or ratio(m))
+    least = pd.Series([0.6] * len(a))
+    found = sm.match_ratio_from.func(pd.Series(a), pd.Series(b), least)
+    few = len(calls)
+    for x, y, r in zip(a, b, found):
+        m = SequenceMatcher(None, "", "")
+        m.set_seq2(y.lower())
+        m.set_seq1(x.lower())
+        want = ratio(m)
+        assert r == want if want >= 0.6 else pd.isna(r) or r == want
+    assert few < len(a) / 4
+
+
 def test_rows_for_many_lists_come_in_small_batches():
     """A query that reads every list is copied thousands of times."""
     from relweave.llm import postings
@@ -142,3 +176,13 @@ def test_rows_for_many_lists_come_in_small_batches():
     assert max(b.nbytes for b in out) < 2 * postings.BATCH_BYTES < 30_000_000 < sum(b.nbytes for b in out)
     assert np.concatenate([b.column("q") for b in out]).tolist() == rows.tolist()
     assert np.concatenate([b.column("list") for b in out]).tolist() == lists.tolist()
+
+
+def test_common_starts_and_ends_are_not_taken_for_rare(spark):
+    """A third of the names end alike; by their single characters a thousandth would."""
+    frame = lambda ns: spark.createDataFrame([(n,) for n in ns], "n string")
+    pick = random.Random(4)
+    ends = [".init_", "packed", "uvwxyz"]
+    names = ["".join(pick.choice("0123456789") for _ in range(10)) + ends[i % 3] for i in range(60)]
+    start, end = sm._alike([frame(names), frame(names)], [{16: 60}, {16: 60}], 0.8)
+    assert abs(end(6) - 1 / 3) < 1e-9 and 0.0 < start(6) < 0.05
